@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from graphloom.llm import langid, mixing, quality, secrets, simhash, warc
+from graphloom.llm import (
+    decontam,
+    langid,
+    licenses,
+    mixing,
+    quality,
+    quotes,
+    secrets,
+    simhash,
+    substring,
+    warc,
+)
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_substring": substring.op2_substring,
     "op3_langid": langid.op3_langid,
     "op4_quality": quality.op4_quality,
+    "op5_quotes": quotes.op5_quotes,
     "op6_secrets": secrets.op6_secrets,
     "op7_warc": warc.op7_warc,
+    "op8_decontam": decontam.op8_decontam,
+    "op9_licenses": licenses.op9_licenses,
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLES = {"op7_warc": warc.ORACLE_SQL}
+ORACLES = {"op5_quotes": quotes.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}
