@@ -179,34 +179,41 @@ def _key(passage: bytes) -> int:
     return digest - (1 << 64) if digest >> 63 else digest
 
 
+#: Bits of Spark's bitmap_construct_agg.
+BITS = 1 << 15
+
+
 def _trimmed(crowded: DataFrame, window: int) -> DataFrame:
-    """Passages cut down to windows whose hash occurs in two documents."""
+    """Passages cut down to windows whose hash occurs in two documents.
+
+    The repeated hashes of an anchor are sent to its passages as a bitmap of fixed size. A window that only shares its
+    bit with a repeated one stays in; the automaton then finds no match for it.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [gram_hashes(word_hashes(p.as_py().split()), window) for p in batch.column(2)]
             sizes = [len(f) for f in found]
             arrays = [
-                pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *found]))),
                 pa.array(np.repeat(np.asarray(batch.column(0)), sizes)),
                 pa.array(np.repeat(np.asarray(batch.column(1)), sizes)),
-                pa.array(np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in sizes)])),
+                pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *found]))),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["window", "doc_id", "start", "at"])
+            yield pa.RecordBatch.from_arrays(arrays, ["anchor", "doc_id", "window"])
 
-    hashes = crowded.select("doc_id", "start", "passage").mapInArrow(
-        hashed, "window long, doc_id long, start int, at int"
-    )
-    hashes = cut(hashes, "windows")
-    twice = hashes.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    kept = hashes.join(twice.select("window"), "window").groupBy("doc_id", "start").agg(F.collect_list("at").alias("at"))
+    hashes = crowded.select("anchor", "doc_id", "passage").mapInArrow(hashed, "anchor long, doc_id long, window long")
+    twice = hashes.groupBy("anchor", "window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    place = F.pmod(F.col("window"), F.lit(BITS).cast("long"))
+    repeated = twice.where("a < b").groupBy("anchor").agg(F.bitmap_construct_agg(place).alias("bits"))
 
     def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for row in batch.to_pylist():
                 words = row["passage"].split()
-                for a, b in runs(np.sort(np.array(row["at"]))):
+                bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
+                places = signed(gram_hashes(word_hashes(words), window)) % BITS
+                for a, b in runs(np.flatnonzero(bits[places])):
                     part = b" ".join(words[a : b + window - 1])
                     out.append((row["anchor"], row["doc_id"], row["start"] + a, b - a, _key(part), part))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
@@ -214,8 +221,8 @@ def _trimmed(crowded: DataFrame, window: int) -> DataFrame:
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["anchor", "doc_id", "start", "windows", "key", "passage"])
 
-    columns = ["anchor", "doc_id", "start", "passage", "at"]
-    return crowded.join(kept, ["doc_id", "start"]).select(*columns).mapInArrow(cutting, PASSAGES)
+    columns = ["anchor", "doc_id", "start", "passage", "bits"]
+    return crowded.join(repeated, "anchor").select(*columns).mapInArrow(cutting, PASSAGES)
 
 
 def _removed(window: int):
