@@ -61,39 +61,46 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> dict[int, in
     return chosen
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, reserve: int = RESERVE) -> np.ndarray:
-    """Numbers of each length whose total comes as near to ``budget`` from below as the steps above reach."""
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = 1, reserve: int = RESERVE) -> np.ndarray:
+    """How often to take documents of each length, in all at most ``most`` times their number.
+
+    The total comes as near to ``budget`` from below as the steps above reach. Documents are repeated only where
+    single takes leave a gap, as where the longest ones do not fit.
+    """
     total = int((lengths * counts).sum())
     take = np.zeros(len(lengths), np.int64)
     if budget <= 0 or not total:
         return take
-    if budget >= total:
-        return counts.copy()
-    take = np.array([int(c) * budget // total for c in counts], np.int64)
+    share = min(budget, total)
+    take = np.array([int(c) * share // total for c in counts], np.int64)
     rest = budget - int((take * lengths).sum())
     order = [int(i) for i in np.argsort(-lengths, kind="stable") if lengths[i] > 0]
-    for i in order:
-        more = min(int(counts[i] - take[i]), max(0, rest - reserve) // int(lengths[i]))
-        take[i] += more
-        rest -= more * int(lengths[i])
-    chosen = knapsack([int(lengths[i]) for i in order], [int(counts[i] - take[i]) for i in order], rest)
+    for limit in (1, most):
+        for i in order:
+            more = min(int(limit * counts[i] - take[i]), max(0, rest - reserve) // int(lengths[i]))
+            take[i] += more
+            rest -= more * int(lengths[i])
+    single = [max(0, int(counts[i] - take[i])) for i in order]
+    again = [int(most * counts[i] - take[i]) - one for i, one in zip(order, single, strict=True)]
+    chosen = knapsack([int(lengths[i]) for i in order] * 2, single + again, rest)
     return take + np.array([chosen.get(int(x), 0) for x in lengths], np.int64)
 
 
 def _plan(group: pd.DataFrame) -> pd.DataFrame:
     total, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
     epochs = min(CAP, int(target // total)) if total else 0
-    budget = round(target) - epochs * total if epochs < CAP else 0
+    budget = round(target) - epochs * total
     lengths, counts = group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
+    take = fit(lengths, counts, budget, CAP - epochs) if epochs < CAP else np.zeros(len(lengths), np.int64)
     return pd.DataFrame(
-        {"sid": group["sid"], "size": lengths, "n": counts, "epochs": epochs, "extra": fit(lengths, counts, budget)}
+        {"sid": group["sid"], "size": lengths, "n": counts, "epochs": epochs + take // counts, "extra": take % counts}
     )
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """Documents (doc_id, text, source, any more columns) to one row each with the words the mix takes of it.
 
-    Columns: doc_id, source, size, source_size, target (of its source), epochs (whole takes), taken. A null text has no
+    Columns: doc_id, source, size, source_size, target (of its source), epochs (takes of all of its length), taken. A null text has no
     words and is never taken; a null source is a source of its own, the last; equal documents are told apart by nothing,
     so any of them may be the one taken; an empty table gives no rows. Reruns choose the same documents.
     """
@@ -114,7 +121,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     plan = cut(plan, "plan")
     slot = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("n") / RANKED)).cast("long")
     ready = cut(named.join(plan, ["sid", "size"]).withColumn("slot", slot), "slots")
-    open_ = ready.where("extra > 0 and extra < n")
+    open_ = ready.where("extra > 0")
     before = W.partitionBy("sid", "size").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
     slots = open_.groupBy("sid", "size", "slot").agg(F.count("*").alias("m"))
     slots = slots.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).select(
@@ -123,7 +130,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     inside = W.partitionBy("sid", "size", "slot").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
     ranked = open_.withColumn("r", F.row_number().over(inside)).join(slots, ["sid", "size", "slot"])
     ranked = ranked.withColumn("more", (F.col("before") + F.col("r") <= F.col("extra")).cast("long"))
-    rest = ready.where("not (extra > 0 and extra < n)").withColumn("more", (F.col("extra") > 0).cast("long"))
+    rest = ready.where("extra = 0").withColumn("more", F.lit(0).cast("long"))
     columns = ["doc_id", "source", "size", "source_size", "target", "epochs", "more"]
     out = ranked.select(*columns).union(rest.select(*columns))
     return out.withColumn("taken", F.col("size") * (F.col("epochs") + F.col("more"))).drop("more")
