@@ -90,12 +90,13 @@ def validate(spark, d):
 
 @query(
     "csr",
-    """SELECT idx, id, coalesce(nbr_idx, []) AS nbr_idx FROM ix LEFT JOIN (
-  SELECT src, list(j.idx ORDER BY j.idx) AS nbr_idx FROM arcs JOIN ix j ON j.id = dst GROUP BY src) ON src = id""",
+    """SELECT idx, id, coalesce(nbr_idx, '') AS nbr_idx FROM ix LEFT JOIN (
+  SELECT src, string_agg(CAST(j.idx AS VARCHAR), ',' ORDER BY j.idx) AS nbr_idx FROM arcs JOIN ix j ON j.id = dst GROUP BY src) ON src = id""",
     "ix AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM nodes)",
 )
 def csr(spark, d):
-    return trade_graph(spark, d).csr().drop("w")
+    rows = trade_graph(spark, d).csr()
+    return rows.select("idx", "id", F.array_join(F.transform("nbr_idx", lambda i: i.cast("string")), ",").alias("nbr_idx"))
 
 
 # --- similarity -------------------------------------------------------------------------------------------------
