@@ -28,4 +28,9 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLES = {"op5_quotes": quotes.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}
+ORACLES = {
+    "op2_substring": substring.ORACLE_SQL,
+    "op5_quotes": quotes.ORACLE_SQL,
+    "op6_secrets": secrets.ORACLE_SQL,
+    "op7_warc": warc.ORACLE_SQL,
+}

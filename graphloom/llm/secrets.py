@@ -199,3 +199,57 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
     )
+
+
+def _located_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, rank, kind, hits[j] AS value,
+    list_sum(list_transform(gaps[1:j], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:j - 1], lambda h: length(h))), 0) AS s
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS j FROM (
+    SELECT doc_id, {rank} AS rank, '{kind}' AS kind, string_split_regex(t, '{quoted}') AS gaps,
+      regexp_extract_all(t, '{quoted}') AS hits, regexp_extract_all(t, '{quoted}', {group}) AS parts FROM d))
+  WHERE length(parts[j]) >= {least}"""
+
+
+def _oracle() -> str:
+    base = " UNION ALL ".join(_located_sql(k, i, p, g, n) for i, (k, p, g, n) in enumerate(KINDS))
+    allowed = " OR ".join(f"regexp_matches(value, '{p}')" for p in ALLOWED)
+    high = " OR ".join(
+        f"(letters = '{name}' AND h >= {least - SLACK!r})" for name, _, least in CLASSES
+    )
+    classes = ", ".join(
+        "('{}', '^[{}]+$')".format(name, letters.replace("-", "") + ("-" if "-" in letters else ""))
+        for name, letters, _ in CLASSES
+    )
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k, *_ in KINDS)
+    zero = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in KINDS)
+    listed_sql = "string_agg(concat_ws(':', kind, CAST(s AS BIGINT), CAST(s + length(value) AS BIGINT)), ',' ORDER BY s, rank)"
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS MATERIALIZED ({base}), c AS MATERIALIZED (
+  SELECT * FROM ({_located_sql("entropy", len(KINDS), CANDIDATE, 0, WINDOW)}) x
+  WHERE regexp_matches(value, '[0-9]') AND NOT ({allowed}) AND NOT EXISTS (
+    SELECT 1 FROM b WHERE b.doc_id = x.doc_id AND b.s < x.s + length(x.value) AND x.s < b.s + length(b.value))
+), v AS MATERIALIZED (SELECT DISTINCT value FROM c),
+w AS (
+  SELECT value, i, substr(value, i, {WINDOW}) AS part FROM (SELECT value, unnest(range(1, length(value) - {WINDOW - 2})) AS i FROM v)
+), k AS (SELECT * FROM (VALUES {classes}) AS k(letters, pattern)),
+e AS (
+  SELECT value, letters, i, -sum(n / {WINDOW}.0 * log2(n / {WINDOW}.0)) AS h FROM (
+    SELECT value, letters, i, ch, count(*) AS n FROM (
+      SELECT value, letters, i, unnest(string_split(part, '')) AS ch FROM w JOIN k ON regexp_matches(part, pattern)
+    ) GROUP BY ALL) GROUP BY ALL
+), g AS (SELECT DISTINCT value FROM e WHERE {high}),
+o AS (SELECT doc_id, {counts}, {listed_sql} AS listed FROM b GROUP BY doc_id),
+a AS (
+  SELECT doc_id, {listed_sql} AS spans FROM (
+    SELECT doc_id, rank, kind, value, s FROM b UNION ALL SELECT doc_id, rank, kind, value, s FROM c WHERE value IN (SELECT value FROM g)
+  ) GROUP BY doc_id
+)
+SELECT d.doc_id, {zero}, sha256(coalesce(listed, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN o ON o.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id
+"""
+
+
+ORACLE_SQL = _oracle()

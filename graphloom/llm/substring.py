@@ -329,3 +329,25 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+ORACLE_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), w AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + {WINDOW - 1}], ' ')) AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM d)
+), f AS (
+  SELECT k, min(doc_id) AS first FROM w GROUP BY k
+), r AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM w JOIN f USING (k) WHERE first < doc_id
+), x AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d
+), k AS (
+  SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.p) AS kept, count(*) AS n
+  FROM x ANTI JOIN r ON r.doc_id = x.doc_id AND r.p = x.p GROUP BY x.doc_id
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
