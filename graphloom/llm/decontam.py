@@ -1,5 +1,6 @@
 """Benchmark decontamination: latent semantic retrieval, then longest common subsequence and answer checks.
 
+0. Every document is written once as term numbers, the benchmark's terms apart from all other words.
 1. Document frequencies of the benchmark's terms over all passages of ``PASSAGE`` words of the corpus.
 2. A randomised SVD of the corpus's TF-IDF passage matrix A: every task adds up its rows' part of AᵀAΩ for a seeded
    random Ω; the sum over tasks gives the leading right singular vectors in one pass (Nyström form, as AᵀA is symmetric
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +31,18 @@ from graphloom.llm.tables import table
 from graphloom.plans import cut
 
 PASSAGE = 64
-RANK = 64
+RANK = 32
 OVERSAMPLE = 8
 SEED = 11
 #: Window sizes in words; each slides by a quarter of itself.
-WINDOWS = (8, 16, 32, 64)
-COSINE = 0.6
+WINDOWS = (16, 32, 64)
+COSINE = 0.65
 #: Share of an item's words in the common subsequence, and of its answer's weight found nearby.
 SUBSEQUENCE = 0.6
 ANSWER = 0.5
 BLOCK_ITEMS = 2000
+#: Documents of a batch whose windows are projected together.
+TOGETHER = 64
 #: The benchmark itself is collected; more text than this is refused.
 MAX_BYTES = 1 << 28
 
@@ -59,7 +63,7 @@ def last_sentence(text: str) -> list[bytes]:
     return tokens(text)
 
 
-def common_subsequence(words: list[bytes], masks: dict[bytes, int], size: int) -> int:
+def common_subsequence(words: list, masks: dict, size: int) -> int:
     """Length of the longest common subsequence with an item given as bit masks of its words (Hyyrö, 2004)."""
     full = (1 << size) - 1
     v = full
@@ -72,10 +76,12 @@ def common_subsequence(words: list[bytes], masks: dict[bytes, int], size: int) -
 
 @dataclass
 class Item:
+    """A benchmark item as term numbers."""
+
     item_id: int
-    words: list[bytes]
-    answer: list[bytes]
-    masks: dict[bytes, int] = field(default_factory=dict)
+    words: list[int]
+    answer: list[int]
+    masks: dict[int, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for i, w in enumerate(self.words):
@@ -87,7 +93,7 @@ class Space:
     """What is broadcast: terms, their weights, the latent basis and the items in it."""
 
     items: list[Item]
-    terms: dict[bytes, int]
+    terms: int
     idf: np.ndarray
     foreign: float
     basis: np.ndarray
@@ -96,69 +102,82 @@ class Space:
 
 def _ids(words: list[bytes], terms: dict[bytes, int]) -> np.ndarray:
     """Term numbers of words; the number of terms stands for any other word."""
-    get, other = terms.get, len(terms)
-    return np.fromiter((get(w, other) for w in words), np.int64, len(words))
+    return np.fromiter(map(terms.get, words, repeat(len(terms))), np.int64, len(words))
 
 
-def _frequencies(docs: DataFrame, terms) -> tuple[np.ndarray, int]:
-    """Passages that have each term, and the number of passages."""
+def _kind(terms: int) -> type:
+    """The smallest integers that number ``terms`` terms and the rest."""
+    return np.uint16 if terms < 1 << 16 else np.uint32
+
+
+def _numbered(docs: DataFrame, terms) -> DataFrame:
+    """(doc_id, ids): the term numbers of every document, as bytes of the smallest integers."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = terms.value
-        counts, passages = np.zeros(len(known) + 1, np.int64), 0
+        kind = _kind(len(known))
         for batch in batches:
-            for text in batch.column(0):
-                ids = _ids(tokens(text.as_py()), known)
-                here = np.arange(len(ids)) // PASSAGE
-                seen = np.unique(here * (len(known) + 1) + ids) % (len(known) + 1)
-                counts += np.bincount(seen, minlength=len(known) + 1)
-                passages += int(here[-1]) + 1 if len(ids) else 0
+            ids = [_ids(tokens(t.as_py()), known).astype(kind).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    return cut(docs.select("doc_id", "text").mapInArrow(emit, "doc_id long, ids binary"), "terms")
+
+
+def _frequencies(rows: DataFrame, terms: int) -> tuple[np.ndarray, int]:
+    """Passages that have each term, and the number of passages."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, passages = np.zeros(terms + 1, np.int64), 0
+        for batch in batches:
+            for held in batch.column(0):
+                ids = np.frombuffer(held.as_py(), _kind(terms))
+                passages += -(-len(ids) // PASSAGE)
+                inside = np.flatnonzero(ids < terms)
+                seen = np.unique((inside // PASSAGE) * terms + ids[inside]) % max(terms, 1)
+                counts[:-1] += np.bincount(seen.astype(np.int64), minlength=terms)
         counts[-1] = passages
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["term", "n"])
 
-    rows = docs.select("text").mapInArrow(emit, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(terms.value) + 1, np.int64)
-    for r in rows.collect():
+    found = rows.select("ids").mapInArrow(emit, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    out = np.zeros(terms + 1, np.int64)
+    for r in found.collect():
         out[r.term] = r.n
     return out[:-1], int(out[-1])
 
 
-def _sketch(docs: DataFrame, terms, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
+def _sketch(rows: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
     """AᵀAΩ over all passages, rows of A scaled to unit length."""
-    context = docs.sparkSession.sparkContext
-    sent = context.broadcast((np.append(idf, 0.0), np.vstack([omega, np.zeros(omega.shape[1])])))
-    width = omega.shape[1]
+    terms, width = omega.shape
+    sent = rows.sparkSession.sparkContext.broadcast((idf, (idf[:, None] * omega).astype(np.float32)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (weight, random) = terms.value, sent.value
-        weighted = (weight[:, None] * random).astype(np.float32)
-        total = np.zeros((len(known) + 1, width))
+        weight, weighted = sent.value
+        total = np.zeros((terms, width))
         for batch in batches:
-            for text in batch.column(0):
-                words = tokens(text.as_py())
-                for at in range(0, len(words), 256 * PASSAGE):
-                    ids = _ids(words[at : at + 256 * PASSAGE], known)
-                    inside = np.flatnonzero(ids < len(known))
-                    if not len(inside):
-                        continue
-                    ids, row = ids[inside], inside // PASSAGE
-                    heads = np.concatenate(([0], np.flatnonzero(np.diff(row)) + 1))
-                    sums = np.add.reduceat(weighted[ids], heads, axis=0)
-                    energy = np.add.reduceat(weight[ids] ** 2, heads)
-                    sums /= np.maximum(energy, 1e-12)[:, None]
-                    order = np.argsort(ids, kind="stable")
-                    of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(ids))))[order]
-                    sorted_ids = ids[order]
-                    starts = np.concatenate(([0], np.flatnonzero(np.diff(sorted_ids)) + 1))
-                    total[sorted_ids[starts]] += np.add.reduceat(sums[of], starts, axis=0)
+            for at in range(0, batch.num_rows, TOGETHER):
+                held = [np.frombuffer(x.as_py(), _kind(terms)) for x in batch.column(0).slice(at, TOGETHER)]
+                passages = np.cumsum([0, *(-(-len(h) // PASSAGE) for h in held)])
+                inside = [np.flatnonzero(h < terms) for h in held]
+                ids = np.concatenate([h[i] for h, i in zip(held, inside, strict=True)]).astype(np.int64)
+                if not len(ids):
+                    continue
+                row = np.concatenate([i // PASSAGE + p for i, p in zip(inside, passages, strict=False)])
+                heads = np.concatenate(([0], np.flatnonzero(np.diff(row)) + 1))
+                sums = np.add.reduceat(weighted[ids], heads, axis=0)
+                sums /= np.maximum(np.add.reduceat(weight[ids] ** 2, heads), 1e-12)[:, None]
+                order = np.argsort(ids, kind="stable")
+                of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(ids))))[order]
+                sorted_ids = ids[order]
+                starts = np.concatenate(([0], np.flatnonzero(np.diff(sorted_ids)) + 1))
+                total[sorted_ids[starts]] += np.add.reduceat(sums[of], starts, axis=0)
         total *= weight[:, None]
         some = np.flatnonzero(np.any(total, axis=1))
         arrays = [pa.array(some), *(pa.array(total[some, j]) for j in range(width))]
         yield pa.RecordBatch.from_arrays(arrays, ["term", *(f"y{j}" for j in range(width))])
 
     schema = "term long, " + ", ".join(f"y{j} double" for j in range(width))
-    parts = docs.select("text").mapInArrow(emit, schema)
+    parts = rows.select("ids").mapInArrow(emit, schema)
     sums = cut(parts.groupBy("term").agg(*(F.sum(f"y{j}").alias(f"y{j}") for j in range(width))), "sketch")
     out = np.zeros(omega.shape)
     for r in sums.toLocalIterator():
@@ -178,54 +197,78 @@ def basis_of(sketch: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
     return left[:, :rank]
 
 
-def fit(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -> Space:
-    """Weights and latent space for a block of items over all documents."""
-    made = [Item(i, tokens(t), last_sentence(t)) for i, t in items]
-    made = [m for m in made if m.words]
-    terms = {w: n for n, w in enumerate(sorted({w for m in made for w in m.words}))}
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
-    found, passages = _frequencies(docs, sent)
+def fit(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -> tuple[Space, DataFrame]:
+    """Weights and latent space for a block of items over all documents, and the documents as term numbers."""
+    made = [(i, tokens(t), last_sentence(t)) for i, t in items]
+    made = [m for m in made if m[1]]
+    terms = {w: n for n, w in enumerate(sorted({w for _, words, _ in made for w in words}))}
+    block = [Item(i, _ids(w, terms).tolist(), _ids(a, terms).tolist()) for i, w, a in made]
+    rows = _numbered(docs, docs.sparkSession.sparkContext.broadcast(terms))
+    found, passages = _frequencies(rows, len(terms))
     idf = np.log((passages + 1.0) / (found + 1.0)) + 1e-3
     foreign = float(np.median(idf)) if len(idf) else 1.0
-    width = min(rank + OVERSAMPLE, max(1, len(terms)))
-    omega = np.linalg.qr(np.random.default_rng(SEED).standard_normal((max(1, len(terms)), width)))[0]
     basis = np.zeros((len(terms), 1))
     if passages and terms:
-        basis = basis_of(_sketch(docs, sent, idf, omega), omega, rank)
-    vectors = np.zeros((len(made), len(terms)))
-    for n, m in enumerate(made):
-        np.add.at(vectors[n], _ids(m.words, terms), idf[_ids(m.words, terms)])
-    latent = vectors @ basis
+        width = min(rank + OVERSAMPLE, len(terms))
+        omega = np.linalg.qr(np.random.default_rng(SEED).standard_normal((len(terms), width)))[0]
+        basis = basis_of(_sketch(rows, idf, omega), omega, rank)
+    latent = np.zeros((len(block), basis.shape[1]))
+    for n, m in enumerate(block):
+        latent[n] = idf[m.words] @ basis[m.words]
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return Space(made, terms, idf, foreign, basis.astype(np.float32), latent.astype(np.float32))
+    return Space(block, len(terms), idf, foreign, basis.astype(np.float32), latent.astype(np.float32)), rows
 
 
-def candidates(ids: np.ndarray, space: Space, scaled: np.ndarray, energy: np.ndarray) -> dict[int, list]:
-    """Item number to [best cosine, window starts, window ends] for one document's term numbers."""
-    n = len(ids)
-    known = np.concatenate(([0.0], np.cumsum(np.where(ids < len(space.terms), energy[ids], 0.0))))
-    whole = np.concatenate(([0.0], np.cumsum(energy[ids])))
-    found: dict[int, list] = {}
+def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of all windows of documents of so many words laid end to end.
+
+    A document no longer than a window size is one window itself, at the first such size only.
+    """
+    offsets = np.cumsum(sizes) - sizes
+    owners, starts, ends, before = [], [], [], 0
     for size in WINDOWS:
-        size = min(size, n)
-        starts = np.unique(np.append(np.arange(0, n - size + 1, max(1, size // 4)), n - size))
-        share = (known[starts + size] - known[starts]) / np.maximum(whole[starts + size] - whole[starts], 1e-12)
-        starts, share = starts[share >= COSINE**2], share[share >= COSINE**2]
-        for at in range(0, len(starts), 512):
-            part = starts[at : at + 512]
-            windows = scaled[ids[part[:, None] + np.arange(size)]].sum(axis=1)
-            norm = np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-12)
-            near = (windows / norm) @ space.latent.T * np.sqrt(np.minimum(share[at : at + 512], 1.0))[:, None]
-            for w, item in zip(*np.nonzero(near >= COSINE), strict=True):
-                held = found.setdefault(int(item), [0.0, []])
-                held[0] = max(held[0], float(near[w, item]))
-                held[1].append((int(part[w]), int(part[w]) + size))
-        if size == n:
-            break
+        longer = np.flatnonzero(sizes > size)
+        step = size // 4
+        counts = -(-(sizes[longer] - size) // step) + 1
+        owner = np.repeat(longer, counts)
+        k = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = offsets[owner] + np.minimum(k * step, sizes[owner] - size)
+        whole = np.flatnonzero((sizes > before) & (sizes <= size))
+        owners += [owner, whole]
+        starts += [at, offsets[whole]]
+        ends += [at + size, offsets[whole] + sizes[whole]]
+        before = size
+    return np.concatenate(owners), np.concatenate(starts), np.concatenate(ends)
+
+
+def candidates(ids: np.ndarray, sizes: np.ndarray, space: Space, scaled: np.ndarray, energy: np.ndarray) -> dict:
+    """(document, item number) to [best cosine, windows] for documents laid end to end as term numbers."""
+    own = energy[ids]
+    whole = np.concatenate(([0.0], np.cumsum(own)))
+    own[ids == space.terms] = 0.0
+    known = np.concatenate(([0.0], np.cumsum(own)))
+    owner, start, end = windows(sizes)
+    share = (known[end] - known[start]) / np.maximum(whole[end] - whole[start], 1e-12)
+    close = share >= COSINE**2
+    owner, start, end, share = owner[close], start[close], end[close], np.sqrt(np.minimum(share[close], 1.0))
+    offsets = np.cumsum(sizes) - sizes
+    found: dict[tuple[int, int], list] = {}
+    for at in range(0, len(start), 1024):
+        a, b = start[at : at + 1024], end[at : at + 1024]
+        heads = np.cumsum(b - a) - (b - a)
+        words = np.arange((b - a).sum()) + np.repeat(a - heads, b - a)
+        summed = np.add.reduceat(scaled[ids[words]], heads, axis=0)
+        norm = np.maximum(np.linalg.norm(summed, axis=1, keepdims=True), 1e-12)
+        near = (summed / norm) @ space.latent.T * share[at : at + 1024, None]
+        for w, item in zip(*np.nonzero(near >= COSINE), strict=True):
+            doc = int(owner[at + w])
+            held = found.setdefault((doc, int(item)), [0.0, []])
+            held[0] = max(held[0], float(near[w, item]))
+            held[1].append((int(a[w] - offsets[doc]), int(b[w] - offsets[doc])))
     return found
 
 
-def verify(words: list[bytes], item: Item, spans: list[tuple[int, int]], weight) -> tuple[float, float]:
+def verify(words: list[int], item: Item, spans: list[tuple[int, int]], weights: list[float]) -> tuple[float, float]:
     """Best share of the item's words, and of its answer's weight, near any candidate window."""
     size, best = len(item.words), (0.0, 0.0)
     spans = sorted(spans)
@@ -245,40 +288,41 @@ def verify(words: list[bytes], item: Item, spans: list[tuple[int, int]], weight)
             share = common_subsequence(near, item.masks, size) / size
             if share >= SUBSEQUENCE and share > best[0]:
                 have = set(near)
-                total = sum(weight(w) for w in item.answer)
-                best = (share, sum(weight(w) for w in item.answer if w in have) / max(total, 1e-12))
+                total = sum(weights[w] for w in item.answer)
+                best = (share, sum(weights[w] for w in item.answer if w in have) / max(total, 1e-12))
     return best
 
 
 RESULT = "doc_id long, item_id long, cosine double, subsequence double, answer double"
 
 
-def _matches(docs: DataFrame, space: Space) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(space)
+def _matches(rows: DataFrame, space: Space) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(space)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Space = sent.value
         weights = np.append(own.idf, own.foreign)
         scaled = np.vstack([own.idf[:, None] * own.basis, np.zeros((1, own.basis.shape[1]))]).astype(np.float32)
-        energy = weights**2
-        weight = lambda w: float(weights[own.terms.get(w, len(own.terms))])
+        energy, listed = weights**2, weights.tolist()
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                words = tokens(text.as_py())
-                if not words or not own.items:
-                    continue
-                for n, (cosine, spans) in candidates(_ids(words, own.terms), own, scaled, energy).items():
-                    share, answer = verify(words, own.items[n], spans, weight)
+            for at in range(0, batch.num_rows if own.items else 0, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                held = [np.frombuffer(x.as_py(), _kind(own.terms)).astype(np.int64) for x in part.column(1)]
+                sizes = np.array([len(h) for h in held], np.int64)
+                found = candidates(np.concatenate(held), sizes, own, scaled, energy)
+                for (doc, n), (cosine, spans) in found.items():
+                    share, answer = verify(held[doc].tolist(), own.items[n], spans, listed)
                     if share >= SUBSEQUENCE and answer >= ANSWER:
-                        out.append((doc.as_py(), own.items[n].item_id, min(1.0, cosine), share, answer))
+                        name = part.column(0)[doc].as_py()
+                        out.append((name, own.items[n].item_id, min(1.0, cosine), share, answer))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
             names = ["doc_id", "item_id", "cosine", "subsequence", "answer"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.select("doc_id", "text").mapInArrow(search, RESULT)
+    return rows.mapInArrow(search, RESULT)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -295,7 +339,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = [items[i : i + BLOCK_ITEMS] for i in range(0, len(items), BLOCK_ITEMS)] or [[]]
     out = None
     for block in blocks:
-        found = _matches(docs, fit(docs, block))
+        space, rows = fit(docs, block)
+        found = _matches(rows, space)
         out = found if out is None else out.union(found)
     return out
 
