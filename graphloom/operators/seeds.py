@@ -19,6 +19,7 @@ from graphloom.operators.neighbours import triangle_counts
 from graphloom.operators.similarity import pair_features
 from graphloom.operators.traversal import bfs
 from graphloom.plans.lineage import cut
+from graphloom.plans.numbering import numbered
 from graphloom.sources.graph import PropertyGraph
 
 
@@ -27,12 +28,6 @@ def hashed(*parts: Column | str, seed: int) -> Column:
     return F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(1 << 62))
 
 
-def numbered(nodes: DataFrame, *groups: str) -> DataFrame:
-    """Nodes (id, groups) numbered from 0 in id order inside each group."""
-    order = W.partitionBy(*groups).orderBy("id")
-    return nodes.withColumn("k", F.row_number().over(order) - 1)
-
-
 def draws(left: DataFrame, right: DataFrame, count: int, seed: int) -> DataFrame:
     """(draw, source, target): ``count`` hashed pairs of a node of ``left`` and one of ``right``, both (k, id)."""
     spark = left.sparkSession
@@ -250,8 +245,8 @@ def grasp(graph: PropertyGraph, clusters: int = 100, per_cluster: int = 10, with
     rows = rows.select(
         "cluster",
         "tc",
-        F.pmod(hashed("cluster", "draw", F.lit("s"), seed=seed), F.col("size")).cast("int").alias("i"),
-        F.pmod(hashed("cluster", "draw", F.lit("t"), seed=seed), F.col("tsize")).cast("int").alias("j"),
+        F.pmod(hashed("cluster", "draw", F.lit("s"), seed=seed), F.col("size")).alias("i"),
+        F.pmod(hashed("cluster", "draw", F.lit("t"), seed=seed), F.col("tsize")).alias("j"),
     )
     a = ranked.select("cluster", F.col("k").alias("i"), F.col("id").alias("source"), F.col("v").alias("va"))
     b = ranked.select(F.col("cluster").alias("tc"), F.col("k").alias("j"), F.col("id").alias("target"), F.col("v").alias("vb"))

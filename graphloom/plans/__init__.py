@@ -1,6 +1,7 @@
-"""Shared plan helpers: cutting lineage, connected components."""
+"""Shared plan helpers: cutting lineage, connected components, numbering."""
 
 from graphloom.plans.components import connected_components
 from graphloom.plans.lineage import cut, drop, shared_folder
+from graphloom.plans.numbering import numbered
 
-__all__ = ["connected_components", "cut", "drop", "shared_folder"]
+__all__ = ["connected_components", "cut", "drop", "numbered", "shared_folder"]

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.plans.lineage import cut
+from graphloom.plans.numbering import numbered
 
 NODE_COLUMNS = {"type": "string", "weight": "double"}
 
@@ -122,13 +123,7 @@ class PropertyGraph:
         if view is None:
             pairs = self.neighbours(direction)
             view = pairs.withColumn("weight", F.lit(1.0))
-        # row numbers over all ids: ranks inside ranges of ids, offset by the counts of the ranges before
-        parts = self.nodes.select("id").repartitionByRange("id").withColumn("p", F.spark_partition_id())
-        parts = cut(parts, "csr")
-        sizes = parts.groupBy("p").agg(F.count("*").alias("c"))
-        before = sizes.select("p", (F.sum("c").over(W.orderBy("p")) - F.col("c")).alias("o"))
-        rank = F.row_number().over(W.partitionBy("p").orderBy("id"))
-        index = parts.withColumn("r", rank).join(F.broadcast(before), "p").select("id", (F.col("o") + F.col("r") - 1).alias("idx"))
+        index = numbered(self.nodes.select("id")).withColumnRenamed("k", "idx")
         target = index.select(F.col("id").alias("dst"), F.col("idx").alias("to"))
         rows = view.join(target, "dst").groupBy("src").agg(
             F.array_sort(F.collect_list(F.struct("to", F.coalesce("weight", F.lit(1.0)).alias("w")))).alias("r")

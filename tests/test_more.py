@@ -74,3 +74,15 @@ def test_stream_degrees(spark, tmp_path):
     assert {r.id: r.degree for r in spark.table("degrees").collect()} == {"a": 2, "b": 2, "c": 1}
     windowed = {(r.id, r.degree) for r in stream_degrees(frame, window="1 minute").collect()}
     assert windowed == {("a", 2), ("b", 2), ("c", 1)}
+
+
+def test_numbering(spark):
+    from graphloom.plans import numbered
+
+    rows = [(f"n{i:03d}", "a" if i % 3 else None) for i in range(100)]
+    frame = spark.createDataFrame(rows, "id string, g string").repartition(5)
+    assert {(r.id, r.k) for r in numbered(frame).collect()} == {(f"n{i:03d}", i) for i in range(100)}
+    found = {r.id: r.k for r in numbered(frame, "g").collect()}
+    for group in ("a", None):
+        names = sorted(i for i, g in rows if g == group)
+        assert [found[n] for n in names] == list(range(len(names)))
