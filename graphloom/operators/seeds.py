@@ -415,7 +415,7 @@ def ensemble(graph: PropertyGraph, name: str, n_pairs: int = 100, seed: int = 42
             best = left.pop(max(range(len(left)), key=lambda i: (cost[i], -i)))
             for end in (best.source, best.target):
                 used[end] = used.get(end, 0) + 1
-            out.append(best)
+            out.append((best.source, best.target, best.score))
         return pd.DataFrame(out, columns=["source", "target", "score"])
 
     top = ranked.orderBy(F.desc("score"), "source", "target").limit(10 * wanted)
