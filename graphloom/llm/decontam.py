@@ -31,12 +31,12 @@ from graphloom.llm.tables import table
 from graphloom.plans import cut
 
 PASSAGE = 64
-RANK = 32
+RANK = 48
 OVERSAMPLE = 8
 SEED = 11
 #: Window sizes in words; each slides by a quarter of itself.
 WINDOWS = (16, 32, 64)
-COSINE = 0.65
+COSINE = 0.6
 #: Share of an item's words in the common subsequence, and of its answer's weight found nearby.
 SUBSEQUENCE = 0.6
 ANSWER = 0.5
