@@ -279,8 +279,9 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd
     repeats = known.where("doc_id > first").select(
         "doc_id", F.col("start").alias("a"), (F.col("start") + F.col("windows") + window - 1).alias("b")
     )
-    parts = once.drop("passage").join(matched, ["anchor", "key"])
-    parts = parts.select(F.col("first").alias("doc_id"), "start", F.explode("spans").alias("s")).select(
+    # the first document may hold the passage more than once: its windows go at every start
+    parts = known.where("doc_id = first").join(matched, ["anchor", "key"])
+    parts = parts.select("doc_id", "start", F.explode("spans").alias("s")).select(
         "doc_id",
         (F.col("start") + F.col("s")[0]).alias("a"),
         (F.col("start") + F.col("s")[1] + window - 1).alias("b"),

@@ -132,6 +132,28 @@ def test_substring(spark):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == wanted
 
 
+def test_substring_passage_twice_in_its_first_document(spark):
+    r = random.Random(8)
+    table = []
+    for i in range(0, 60, 2):
+        passage = [f"{i}p{k}" for k in range(200)]
+        aside = [[f"{i}{name}{k}" for k in range(30)] for name in "abc"]
+        table.append((i, " ".join(aside[0] + passage[: r.randrange(70, 130)])))
+        table.append((i + 1, " ".join(passage + aside[1] + passage + aside[2])))
+    wanted, first = [], {}
+    for doc, text in table:
+        w = split(text)
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), doc)
+    for doc, text in table:
+        w = split(text)
+        gone = {p for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < doc for p in range(k, k + 50)}
+        wanted.append((doc, len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
+    frame = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    found = substring.substring_dedup(frame).collect()
+    assert sorted((r.doc_id, r.n_removed, r.kept) for r in found) == wanted
+
+
 def test_automaton():
     r = random.Random(2)
     texts = [[r.choice("ab") for _ in range(r.randrange(1, 30))] for _ in range(40)]
