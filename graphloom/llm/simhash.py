@@ -131,10 +131,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the smallest of their near-duplicate group, with all their columns."""
-    found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of each near-duplicate group, with all its columns: the one with the smallest doc_id.
+
+    A null doc_id comes after all others and is kept where a group has no other. Of rows with one doc_id the one with
+    the least hash of its text stays; of rows equal in both, any one. An empty table gives no rows.
+    """
+    row = "row"
+    while row in map(str.lower, docs.columns):
+        row += "_"
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"))
+    groups = found.select(F.col("doc_id").alias("at"), "component_id")
+    order = numbered.select(
+        F.col(row).alias("at"), F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash")
+    )
+    first = groups.join(order, "at").groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "hash", "at")).alias("m"))
+    return numbered.join(first.select(F.col("m.at").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

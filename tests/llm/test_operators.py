@@ -100,6 +100,28 @@ def test_simhash_hot_buckets_and_plans(spark):
         assert {p: root(p) for p in prints} == wanted
 
 
+def test_keep_one_row_of_each_group(spark):
+    r = random.Random(4)
+    words = [word(r) for _ in range(500)]
+    text = [prose(r, 80, words) for _ in range(5)]
+    table = [
+        (None, text[0], "lone null"),
+        (None, text[1], "a"),
+        (None, text[1], "a"),
+        (7, text[2], "b"),
+        (7, text[2], "b"),
+        (9, text[2], "b"),
+        (None, text[3], "null before"),
+        (3, text[3], "c"),
+        (3, text[4], "other text, same id"),
+    ]
+    frame = spark.createDataFrame(table, "doc_id long, text string, row string").repartition(3)
+    found = simhash.keep_one(frame)
+    assert found.columns == frame.columns
+    wanted = [table[i] for i in (0, 1, 3, 7, 8)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str)
+
+
 def test_substring(spark):
     r = random.Random(5)
     words = [word(r) for _ in range(800)]
