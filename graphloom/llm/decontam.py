@@ -5,7 +5,8 @@
 2. A randomised SVD of the corpus's TF-IDF passage matrix A: every task adds up its rows' part of AᵀAΩ for a seeded
    random Ω; the sum over tasks gives the leading right singular vectors in one pass (Nyström form, as AᵀA is symmetric
    and positive). The terms are the benchmark's, so all that is broadcast or gathered is bounded by the benchmark.
-3. Windows of several sizes slide over every document. A window's cosine with an item is taken in the latent space,
+3. Windows slide over every document, in sizes that double from eight words (or the shortest item) to the longest
+   item. A window's cosine with an item is taken in the latent space,
    times the root of the share of the window's TF-IDF energy that falls on benchmark terms. That share alone bounds
    the cosine, so windows below the threshold need no projection.
 4. Candidates are verified on the words around them: enough of the item must be a common subsequence, and enough of
@@ -31,18 +32,19 @@ from graphloom.llm.tables import table
 from graphloom.plans import cut
 
 PASSAGE = 64
-RANK = 48
+RANK = 64
 OVERSAMPLE = 8
 SEED = 11
-#: Window sizes in words; each slides by a quarter of itself.
-WINDOWS = (16, 32, 64)
+#: Least window size in words, unless the shortest item is shorter.
+LEAST_WINDOW = 8
 COSINE = 0.6
 #: Share of an item's words in the common subsequence, and of its answer's weight found nearby.
 SUBSEQUENCE = 0.6
 ANSWER = 0.5
 BLOCK_ITEMS = 2000
-#: Documents of a batch whose windows are projected together.
+#: Documents of a batch whose windows are projected together, and words of the windows summed at once, about.
 TOGETHER = 64
+SUMMED = 1 << 16
 #: The benchmark itself is collected; more text than this is refused.
 MAX_BYTES = 1 << 28
 
@@ -98,6 +100,7 @@ class Space:
     foreign: float
     basis: np.ndarray
     latent: np.ndarray
+    widths: list[int]
 
 
 def _ids(words: list[bytes], terms: dict[bytes, int]) -> np.ndarray:
@@ -215,20 +218,31 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -> tupl
     latent = np.zeros((len(block), basis.shape[1]))
     for n, m in enumerate(block):
         latent[n] = idf[m.words] @ basis[m.words]
+    widths = window_sizes([len(m.words) for m in block])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return Space(block, len(terms), idf, foreign, basis.astype(np.float32), latent.astype(np.float32)), rows
+    return Space(block, len(terms), idf, foreign, basis.astype(np.float32), latent.astype(np.float32), widths), rows
 
 
-def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_sizes(lengths: list[int]) -> list[int]:
+    """Sizes of windows for items of so many words: powers of two, the last one holds the longest item."""
+    if not lengths:
+        return []
+    out = [min(LEAST_WINDOW, 1 << min(lengths).bit_length() - 1)]
+    while out[-1] < max(lengths):
+        out.append(2 * out[-1])
+    return out
+
+
+def windows(sizes: np.ndarray, widths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, start, end) of all windows of documents of so many words laid end to end.
 
-    A document no longer than a window size is one window itself, at the first such size only.
+    Each size slides by a quarter of itself. A document no longer than a window size is one window itself, at the first such size only.
     """
     offsets = np.cumsum(sizes) - sizes
     owners, starts, ends, before = [], [], [], 0
-    for size in WINDOWS:
+    for size in widths:
         longer = np.flatnonzero(sizes > size)
-        step = size // 4
+        step = max(1, size // 4)
         counts = -(-(sizes[longer] - size) // step) + 1
         owner = np.repeat(longer, counts)
         k = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -247,19 +261,23 @@ def candidates(ids: np.ndarray, sizes: np.ndarray, space: Space, scaled: np.ndar
     whole = np.concatenate(([0.0], np.cumsum(own)))
     own[ids == space.terms] = 0.0
     known = np.concatenate(([0.0], np.cumsum(own)))
-    owner, start, end = windows(sizes)
+    owner, start, end = windows(sizes, space.widths)
     share = (known[end] - known[start]) / np.maximum(whole[end] - whole[start], 1e-12)
     close = share >= COSINE**2
     owner, start, end, share = owner[close], start[close], end[close], np.sqrt(np.minimum(share[close], 1.0))
     offsets = np.cumsum(sizes) - sizes
     found: dict[tuple[int, int], list] = {}
-    for at in range(0, len(start), 1024):
-        a, b = start[at : at + 1024], end[at : at + 1024]
+    part = np.cumsum(end - start) // SUMMED
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(start)]))
+    for at, to in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        a, b = start[at:to], end[at:to]
+        if not len(a):
+            continue
         heads = np.cumsum(b - a) - (b - a)
         words = np.arange((b - a).sum()) + np.repeat(a - heads, b - a)
         summed = np.add.reduceat(scaled[ids[words]], heads, axis=0)
         norm = np.maximum(np.linalg.norm(summed, axis=1, keepdims=True), 1e-12)
-        near = (summed / norm) @ space.latent.T * share[at : at + 1024, None]
+        near = (summed / norm) @ space.latent.T * share[at:to, None]
         for w, item in zip(*np.nonzero(near >= COSINE), strict=True):
             doc = int(owner[at + w])
             held = found.setdefault((doc, int(item)), [0.0, []])
@@ -269,8 +287,11 @@ def candidates(ids: np.ndarray, sizes: np.ndarray, space: Space, scaled: np.ndar
 
 
 def verify(words: list[int], item: Item, spans: list[tuple[int, int]], weights: list[float]) -> tuple[float, float]:
-    """Best share of the item's words, and of its answer's weight, near any candidate window."""
-    size, best = len(item.words), (0.0, 0.0)
+    """Best share of the item's words, and its answer's weight there, near any candidate window.
+
+    A place that has enough of the answer goes before one that has more of the item.
+    """
+    size, best = len(item.words), (False, 0.0, 0.0)
     spans = sorted(spans)
     merged: list[list[int]] = []
     for a, b in spans:
@@ -286,11 +307,12 @@ def verify(words: list[int], item: Item, spans: list[tuple[int, int]], weights:
         for at in range(0, max(1, len(region) - size), step):
             near = region[at : at + 2 * size]
             share = common_subsequence(near, item.masks, size) / size
-            if share >= SUBSEQUENCE and share > best[0]:
+            if share >= SUBSEQUENCE:
                 have = set(near)
                 total = sum(weights[w] for w in item.answer)
-                best = (share, sum(weights[w] for w in item.answer if w in have) / max(total, 1e-12))
-    return best
+                answer = sum(weights[w] for w in item.answer if w in have) / max(total, 1e-12)
+                best = max(best, (answer >= ANSWER, share, answer))
+    return best[1:]
 
 
 RESULT = "doc_id long, item_id long, cosine double, subsequence double, answer double"

@@ -416,6 +416,27 @@ def test_decontam(spark):
     assert decontam.contaminated(frame, bench.limit(0)).count() == 0
 
 
+def test_decontam_short_and_long_items(spark):
+    r = random.Random(12)
+    items = [[f"i{i}w{k}" for k in range(n)] for i, n in enumerate([6, 6, 6, 6, 7, 300, 500, 40, 40])]
+    foreign = lambda n: [f"x{r.randrange(10**9)}" for _ in range(n)]
+    table = [(i, " ".join(foreign(120 + i) + item + foreign(150))) for i, item in enumerate(items)]
+    table += [(100 + i, " ".join(foreign(300))) for i in range(20)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    frame = spark.createDataFrame(table, "doc_id long, text string").repartition(2)
+    found = decontam.contaminated(frame, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i in range(len(items))]
+
+
+def test_decontam_any_place_that_passes():
+    item = decontam.Item(1, list(range(20)), [17, 18, 19])
+    weights = [1.0] * 21
+    more, whole = list(range(16)), list(range(8)) + list(range(15, 20))
+    words = [20] * 40 + more + [20] * 200 + whole + [20] * 40
+    share, answer = decontam.verify(words, item, [(40, 56), (256, 269)], weights)
+    assert (share, answer) == (13 / 20, 1.0)
+
+
 def test_common_subsequence():
     r = random.Random(3)
     for _ in range(200):
