@@ -1,7 +1,7 @@
 r"""Secret scans with DataFrame functions only.
 
 Base kinds are regular expressions. The method adds `entropy` spans: in candidate strings, a window slides over the
-characters of one class (hexadecimal, base64) and its Shannon entropy is kept up to date from the counts of the
+characters of one class (hexadecimal in either case, base64) and its Shannon entropy is kept up to date from the counts of the
 character that leaves and the one that enters. A candidate is reported if its largest window entropy reaches the
 class's threshold, unless an allow-list pattern matches it or a base span overlaps it.
 
@@ -38,6 +38,7 @@ WINDOW = 20
 #: class, its characters, least entropy in bits of a window.
 CLASSES = (
     ("hex", "0123456789abcdef", 3.0),
+    ("upper hex", "0123456789ABCDEF", 3.0),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.7),
 )
 #: Candidates that are no secrets: UUIDs, digits and dates, words and short numbers joined by dashes, placeholders.

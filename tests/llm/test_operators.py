@@ -1,9 +1,11 @@
 """Operators against brute force on small tables."""
 
+import base64
 import hashlib
 import math
 import random
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -207,12 +209,10 @@ def test_quality(docs, table):
         symbols = sum(c in "#*$%&|<>" for c in text)
         raw = text.encode()
         c = zstandard.ZstdCompressor(level=3)
-        chunks = [raw[i : i + 4096] for i in range(0, len(raw) - 4095, 4096)]
-        low, high = quality.CHUNK_BAND
-        out = sum(not low <= len(c.compress(x)) / 4096 <= high for x in chunks) / len(chunks) if chunks else 0.0
-        band = [b for b in quality.BANDS if len(raw) >= b[0]][-1]
-        ratio = len(c.compress(raw)) / len(raw) if raw else 0.0
-        kept = not failed and band[1] <= ratio <= band[2] and out <= quality.CHUNKS_OUTSIDE
+        fits = lambda x: (lambda b: b[1] <= len(c.compress(x)) / len(x) <= b[2])([b for b in quality.BANDS if len(x) >= b[0]][-1])
+        chunks = [raw[i : i + 4096] for i in range(0, len(raw), 4096)]
+        out = sum(len(x) for x in chunks if not fits(x)) / len(raw) if raw else 0.0
+        kept = not failed and fits(raw) and out <= quality.CHUNKS_OUTSIDE
         wanted.append((t[0], len(words), sum(map(len, words)), symbols, dup, len(cover), failed, kept))
     found = quality.quality(docs).collect()
     keys = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
@@ -230,6 +230,15 @@ def test_quality_bands():
     assert not quality.measure(spaced, squeeze)[-1]
     words = [word(r) for _ in range(1500)]
     assert quality.measure(prose(r, 900, words), squeeze)[-1]
+    for size in (200, 350, 500, 1000, 2000, 4000, 8000, 64000):
+        wrapped = base64.encodebytes(r.randbytes(size))[:size].decode()
+        assert not quality.in_band(size, quality.ratios(wrapped.encode(), squeeze)[0]), size
+        noisy = " ".join("".join(r.choice(string.ascii_lowercase + string.digits) for _ in range(r.randrange(3, 9))) for _ in range(size))
+        if size >= 1000:
+            assert not quality.measure(noisy[:size], squeeze)[-1], size
+    # the last, partial chunk counts: half of this text is noise that only it holds
+    half = prose(r, 2000, words)[:4096] + " " + spaced[:3500]
+    assert quality.ratios(half.encode(), squeeze)[1] > 0.4 and not quality.measure(half, squeeze)[-1]
     mostly = prose(r, 600, words) + " " + " ".join(f"the same thing {i % 3} over" for i in range(3000))
     assert not quality.measure(mostly, squeeze)[-1]
 
@@ -246,6 +255,7 @@ SECRET_TEXTS = [
     "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz1",
     "x" * 3000 + " 0123456789ABCDEFghijklmnopqr",
     "ſecret=abcdefgh toKen=abcdefgh",
+    "key 9233A8EC01BD47F65E0C9A1F7B3D2E84 and AAAAAAAABBBBBBBB1AAAAAAAA end",
 ]
 
 
@@ -285,6 +295,7 @@ def test_secrets(spark):
         assert [tuple(s)[:4] for s in found[i].base] == base, text
         assert [tuple(s)[:4] for s in found[i].spans] == spans, text
     assert any(s.kind == "entropy" for s in found[6].spans)
+    assert [s.value for s in found[11].spans] == ["9233A8EC01BD47F65E0C9A1F7B3D2E84"]
     assert not found[5].spans and not found[7].spans and not found[8].spans
     clean = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
     assert clean[3] == "token==x secret: token: abcdefgh [SECRET] AKIASHORT"
