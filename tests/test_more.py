@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import stats
 from graphloom.operators import metrics
-from graphloom.plans import connected_components
+from graphloom.plans import connected_components, join_hot
 from graphloom.streaming.degrees import stream_degrees
 from tests.fixtures import build
 
@@ -30,6 +30,18 @@ def test_components_against_union_find(spark):
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     assert found == {x: root(x) for x in linked}
     assert connected_components(edges.limit(0)).count() == 0
+    assert {x.node: x.component for x in connected_components(edges, hot=3).collect()} == found
+
+
+def test_join_hot(spark):
+    many = spark.createDataFrame([(i % 3 and 7, i) for i in range(90)] + [(None, 1), (8, 2)], "k int, v int")
+    one = many.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("s")).where("k is null or k <> 8")
+    for how in ("inner", "left"):
+        plain = many.join(one.drop("n"), ["k"], how)
+        for hot in (5, 1000):
+            found = join_hot(many, one, ["k"], how=how, hot=hot)
+            assert found.columns == plain.columns
+            assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
 
 
 def test_metrics(spark):
