@@ -1,15 +1,20 @@
-"""WARC archives in seekable Zstandard bundles.
+"""WARC archives as seekable Zstandard bundles, one file each.
 
-Records are WARC/1.1 response records, or revisit records that refer to the response with the same payload. A bundle is
-a run of independent Zstandard frames of a few records each, with the seek table of the Zstandard seekable format as
-its footer; an index maps each record id to its bundle, frame and offset inside the frame. A bundle is one value of a
-binary column: Spark's own writer commits it, so bundles reach any store that Spark writes and a retried task leaves no
-half-written file. Each value is a complete ``.warc.zst`` file.
+Records are WARC/1.1 response records, or revisit records for a page whose payload another page's response holds. A
+bundle is a run of independent Zstandard frames of a few records each, with the seek table of the Zstandard seekable
+format as its footer, so any frame can be read alone. The index gives each record's file, frame and offset in the frame.
+
+Spark's own committer writes the files, to any store that Spark writes, and a retried or lost task leaves no torn file.
+Its text sink is the one that can write given bytes: a bundle is one row of a file, and the row's end mark is set to the
+last four bytes of the bundle, which are always the magic number of the seek table. The sink names the files
+``part-….txt``; what is in them is a complete ``.warc.zst``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,24 +23,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.tables import table
-from graphloom.plans import cut
+from graphloom.plans import cut, join_hot, shared_folder
 
 #: Uncompressed bytes after which a frame ends, and compressed bytes after which a bundle ends.
 FRAME_BYTES = 1 << 16
-BUNDLE_BYTES = 1 << 22
+BUNDLE_BYTES = 1 << 24
 #: Payloads below this size are never deduplicated.
 MIN_REVISIT = 1000
 LEVEL = 3
-#: Fixed values of the Zstandard seekable format.
+#: Fixed values of the Zstandard seekable format and of WARC/1.1.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
-
-BUNDLES = "bundle_id string, bundle binary, page_ids array<long>, frames array<int>, offsets array<int>"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: WARC-Date of every record: the pages carry no time of capture.
+DATE = "1970-01-01T00:00:00Z"
+#: The last four bytes of every bundle.
+END = struct.pack("<I", SEEKABLE_MAGIC)
 
 
 def seek_table(entries: list[tuple[int, int]]) -> bytes:
     """The skippable frame that lists (compressed, uncompressed) sizes of the frames before it."""
-    body = b"".join(struct.pack("<II", *e) for e in entries) + struct.pack("<IBI", len(entries), 0, SEEKABLE_MAGIC)
+    body = b"".join(struct.pack("<II", *e) for e in entries) + struct.pack("<IB", len(entries), 0) + END
     return struct.pack("<II", SKIPPABLE_MAGIC, len(body)) + body
 
 
@@ -52,149 +60,180 @@ def read_seek_table(bundle: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit has no payload but states the size and digest of the full one."""
+def record(name: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+    """One WARC/1.1 record; ``name`` makes its id. A revisit has no block but states the digest and size of its payload."""
     kind = "response" if refers_to is None else "revisit"
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, name)}>",
+        f"WARC-Date: {DATE}",
         "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"),
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Payload-Length: {len(payload)}",
+        f"X-Page-ID: {'' if page_id is None else page_id}",
     ]
     if refers_to is not None:
-        head.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+        head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {refers_to}", f"X-Payload-Length: {len(payload)}"]
     block = payload if refers_to is None else b""
-    head += ["Content-Type: application/octet-stream", f"Content-Length: {len(block)}", "", ""]
-    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+    head += ["Content-Type: text/html", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode("utf-8", "replace") + block + b"\r\n\r\n"
 
 
-def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes]:
-    """Headers and block of the record that starts at ``at``."""
+def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+    """Headers and block of the record that starts at ``at``, and where the next one starts."""
     end = data.index(b"\r\n\r\n", at)
-    lines = data[at:end].decode().split("\r\n")
-    headers = dict(x.split(": ", 1) for x in lines[1:])
+    headers = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
     start = end + 4
-    return headers, data[start : start + int(headers["Content-Length"])]
+    stop = start + int(headers["Content-Length"])
+    return headers, data[start:stop], stop + 4
 
 
 class _Bundle:
     """Records gathered into frames, and frames into one bundle."""
 
-    def __init__(self, level: int) -> None:
+    def __init__(self, level: int = LEVEL) -> None:
         self.squeeze = zstandard.ZstdCompressor(level=level)
         self.frames: list[bytes] = []
         self.sizes: list[tuple[int, int]] = []
         self.open = bytearray()
-        self.ids: list[int | None] = []
-        self.at: list[tuple[int, int]] = []
+        self.packed = self.records = 0
 
-    def add(self, page_id: int | None, data: bytes) -> None:
-        self.ids.append(page_id)
-        self.at.append((len(self.frames), len(self.open)))
+    def add(self, data: bytes) -> tuple[int, int]:
+        """Append a record; the frame and the offset in it where it stands."""
+        at = len(self.frames), len(self.open)
         self.open += data
+        self.records += 1
         if len(self.open) >= FRAME_BYTES:
             self.end_frame()
+        return at
 
     def end_frame(self) -> None:
         if self.open:
             packed = self.squeeze.compress(bytes(self.open))
             self.frames.append(packed)
             self.sizes.append((len(packed), len(self.open)))
+            self.packed += len(packed)
             self.open = bytearray()
 
-    def full(self) -> bool:
-        return sum(p for p, _ in self.sizes) >= BUNDLE_BYTES
-
-    def close(self, name: str) -> pa.RecordBatch:
+    def close(self) -> bytes:
         self.end_frame()
-        columns = [
-            pa.array([name]),
-            pa.array([b"".join(self.frames) + seek_table(self.sizes)], pa.binary()),
-            pa.array([self.ids], pa.list_(pa.int64())),
-            pa.array([[f for f, _ in self.at]], pa.list_(pa.int32())),
-            pa.array([[o for _, o in self.at]], pa.list_(pa.int32())),
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["bundle_id", "bundle", "page_ids", "frames", "offsets"])
+        return b"".join(self.frames) + seek_table(self.sizes)
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    part, made, bundle = TaskContext.get().partitionId(), 0, _Bundle(LEVEL)
+    part, made, bundle = TaskContext.get().partitionId(), 0, _Bundle()
+    close = lambda: pa.RecordBatch.from_arrays([pa.array([bundle.close()[: -len(END)]], pa.binary())], ["bundle"])
     for batch in batches:
         columns = [batch.column(n) for n in ("page_id", "url", "html", "digest", "refers_to")]
-        for page_id, url, html, digest, refers_to in zip(*columns, strict=True):
-            payload = (html.as_py() or "").encode("utf-8", "replace")
-            bundle.add(
-                page_id.as_py(), record(page_id.as_py(), url.as_py(), payload, digest.as_py(), refers_to.as_py())
-            )
-            if bundle.full():
-                yield bundle.close(f"{part:06d}-{made:06d}")
-                made, bundle = made + 1, _Bundle(LEVEL)
-    if bundle.ids:
-        yield bundle.close(f"{part:06d}-{made:06d}")
-
-
-def write_bundles(pages: DataFrame) -> DataFrame:
-    """Pages (page_id, url, html) to bundles, written to the shared folder and read back as a table.
-
-    Among pages with equal payloads of at least ``MIN_REVISIT`` bytes, the largest page_id is the response. A null html
-    is an empty payload, a null url an empty one; rows repeated with one page_id are all responses or revisits like
-    their payload's others; an empty table gives no bundles. Columns of the result: bundle_id, bundle, and the index
-    arrays page_ids, frames and offsets.
+        for row in zip(*columns, strict=True):
+            page_id, url, html, digest, refers_to = (x.as_py() for x in row)
+            name = f"{page_id}/{digest}/{part}/{made}/{bundle.records}"
+            bundle.add(record(name, page_id, url, (html or "").encode("utf-8", "replace"), digest, refers_to))
+            if bundle.packed >= BUNDLE_BYTES:
+                yield close()
+                made, bundle = made + 1, _Bundle()
+    if bundle.records:
+        yield close()
+
+
+def referred(pages: DataFrame) -> DataFrame:
+    """Pages with ``digest`` and ``refers_to``: among equal payloads of MIN_REVISIT bytes or more, the largest page_id.
+
+    Which page refers to which is found on ids and digests alone, where a payload that many pages share is dealt over
+    several tasks; the texts move once, by page and not by payload.
     """
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.select("page_id", "url", "html", F.sha1(raw).alias("digest"), F.octet_length(raw).alias("bytes"))
-    large = pages.where(F.col("bytes") >= MIN_REVISIT)
-    last = large.groupBy("digest", "bytes").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
-    first = last.where("n > 1 and last is not null").select("digest", "bytes", "last")
-    joined = pages.join(first, ["digest", "bytes"], "left")
-    refers = F.when(F.col("page_id") != F.col("last"), F.col("last"))
-    out = joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
-    return cut(out.mapInArrow(_write, BUNDLES), "bundles")
+    large = cut(pages.where((F.col("bytes") >= MIN_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "digest"), "payloads")
+    last = large.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1")
+    revisits = join_hot(large, cut(last, "responses"), ["digest"]).where("page_id < last").distinct()
+    revisits = revisits.select("page_id", "digest", F.col("last").alias("refers_to"))
+    # null ids never revisit; they are spread by their url instead of meeting in one task
+    key = F.xxhash64("page_id", "digest")
+    own = F.when(F.col("page_id").isNull(), F.xxhash64("url", "digest")).otherwise(key)
+    known = revisits.withColumn("key", key)
+    joined = pages.withColumn("key", own).join(known, ["key", "page_id", "digest"], "left")
+    return joined.select("page_id", "url", "html", "digest", "refers_to")
+
+
+def write_archives(pages: DataFrame, folder: str) -> None:
+    """Pages (page_id, url, html, any more columns) as bundle files in a new ``folder`` that the cluster shares.
+
+    A null html is an empty payload, a null url an empty one. A null page_id is always a response; rows repeated with
+    one page_id are all responses or revisits like their payload's others, each with a record id of its own. An empty
+    table gives no bundle. A payload is held in memory by one task at a time, however long.
+    """
+    bundles = referred(pages).mapInArrow(_write, "bundle binary").select(F.col("bundle").cast("string"))
+    end = END.decode("latin-1")
+    bundles.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", end).text(folder)
+
+
+ROWS = (
+    "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, "
+    "record_id string, frame int, offset int, file string, block binary"
+)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor()
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "block"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
+    names = [x.split()[0] for x in ROWS.split(", ")]
     for batch in batches:
-        for row in batch.to_pylist():
-            table_, frame, data = read_seek_table(row["bundle"]), -1, b""
-            out: list[tuple] = []
-            for page_id, number, offset in zip(row["page_ids"], row["frames"], row["offsets"], strict=True):
-                if number != frame:
-                    at, packed, plain = table_[number]
-                    data, frame = expand.decompress(row["bundle"][at : at + packed], max_output_size=plain), number
-                headers, block = parse(data, offset)
-                refers = headers.get("WARC-Refers-To")
-                digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                size = int(headers["X-Payload-Length"])
-                refers_to = int(refers[10:-1]) if refers else None
-                out.append(
-                    (page_id, headers["WARC-Target-URI"], size, digest, headers["WARC-Type"], refers_to, block)
-                )
-            arrays = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-
-def read_bundles(bundles: DataFrame) -> DataFrame:
-    """Bundles back to one row per record; ``block`` is the payload of a response and empty for a revisit."""
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return bundles.mapInArrow(_read, schema + ", block binary")
+        for path, content in zip(batch.column(0), batch.column(1), strict=True):
+            bundle, path = content.as_py(), path.as_py()
+            for number, (at, packed, plain) in enumerate(read_seek_table(bundle)):
+                data, offset, out = expand.decompress(bundle[at : at + packed], max_output_size=plain), 0, []
+                while offset < len(data):
+                    headers, block, after = parse(data, offset)
+                    out.append((*_facts(headers, block), number, offset, path, block))
+                    offset = after
+                columns = zip(zip(*out, strict=True), [*kinds, pa.string(), pa.binary()], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in columns], names)
+
+
+def _facts(headers: dict[str, str], block: bytes) -> tuple:
+    """What a record says; size and digest of a response are those of the block that was read."""
+    page, refers = headers["X-Page-ID"], headers.get("X-Refers-To-Page")
+    stated = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+    size, digest = len(block), hashlib.sha1(block).hexdigest()
+    if headers["WARC-Type"] == "revisit":
+        size, digest = int(headers["X-Payload-Length"]), stated
+    elif digest != stated:
+        raise ValueError(f"record {headers['WARC-Record-ID']} does not match its digest")
+    return (
+        int(page) if page else None,
+        headers["WARC-Target-URI"],
+        size,
+        digest,
+        headers["WARC-Type"],
+        int(refers) if refers else None,
+        headers["WARC-Record-ID"],
+    )
+
+
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per record of the bundles in ``folder``, and where it stands: file, frame and offset in the frame.
+
+    ``block`` is the payload of a response and empty for a revisit. A response that does not match its digest is an error.
+    """
+    files = spark.read.format("binaryFile").load(folder).where("length > 0")
+    return files.select("path", "content").mapInArrow(_read, ROWS)
 
 
 def fetch(bundle: bytes, frame: int, offset: int) -> tuple[dict[str, str], bytes]:
     """One record of a bundle, decompressing its frame alone."""
     at, packed, plain = read_seek_table(bundle)[frame]
     data = zstandard.ZstdDecompressor().decompress(bundle[at : at + packed], max_output_size=plain)
-    return parse(data, offset)
+    return parse(data, offset)[:2]
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_bundles(write_bundles(table(spark, sf_dir, "pages"))).drop("block", "url")
+    folder = f"{shared_folder(spark)}/graphloom-warc-{uuid.uuid4().hex}"
+    write_archives(table(spark, sf_dir, "pages"), folder)
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return read_archives(spark, folder).select(columns)
 
 
 ORACLE_SQL = f"""

@@ -13,6 +13,7 @@ import xxhash
 import zstandard
 
 from graphloom.llm import decontam, langid, licenses, mixing, quality, quotes, secrets, simhash, substring, warc
+from graphloom.plans import join_hot
 from tests.llm.data import SCHEMA, prose, rows, word
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -370,35 +371,58 @@ def test_quotes(spark):
     assert sorted(map(str, map(plain, sql))) == sorted(str(tuple(r[n] for n in names)) for r in found)
 
 
-def test_warc(spark):
-    big, small = "é" * 600, "tiny"
-    table = [(1, "u1", big), (2, "u2", big), (9, None, big), (3, "u3", small), (4, "u\n4", small), (5, "u5", None), (6, "u6", big + "x"), (2, "u2", big)]
-    frame = spark.createDataFrame(table, "page_id long, url string, html string").repartition(2)
-    bundles = warc.write_bundles(frame)
-    found = warc.read_bundles(bundles).collect()
-    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found)
+def archive(tmp_path):
+    return "file://" + str(tmp_path / "archives")
+
+
+def test_warc(spark, tmp_path):
+    """Null urls, html and ids, repeated rows, very long payloads and clashing columns, read back from the files."""
+    big, small, long = "é" * 600, "tiny", "long payload " * 200_000
+    table = [(1, "u1", big), (2, "u2", big), (9, None, big), (3, "u3", small), (4, "u\n4", small), (5, "u5", None), (6, "u6", big + "x")]
+    table += [(2, "u2", big), (9, "again", big), (None, "n1", big), (None, None, big), (None, "n3", None), (7, "u7", long), (8, "u8", long)]
+    frame = spark.createDataFrame([(*t, "x", 1) for t in table], "page_id long, url string, html string, digest string, frame int").repartition(2)
+    warc.write_archives(frame, archive(tmp_path))
+    found = warc.read_archives(spark, archive(tmp_path)).collect()
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found), key=str)
     wanted = []
     for page, _, html in table:
-        raw = (html or "").encode()
-        revisit = html == big and page != 9
-        wanted.append((page, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", 9 if revisit else None))
-    assert sorted(got, key=str) == sorted(wanted, key=str)
-    for r in bundles.collect():
-        assert zstandard.ZstdDecompressor().stream_reader(r.bundle, read_across_frames=True).read().count(b"WARC/1.1") == len(r.page_ids)
-        for page, frame_no, offset in zip(r.page_ids, r.frames, r.offsets, strict=True):
-            headers, block = warc.fetch(r.bundle, frame_no, offset)
-            assert headers["WARC-Record-ID"] == f"<urn:page:{page}>"
-            assert headers["WARC-Type"] == "revisit" or hashlib.sha1(block).hexdigest() in headers["WARC-Payload-Digest"]
+        raw, last = (html or "").encode(), {big: 9, long: 8}.get(html)
+        revisit = last is not None and page not in (None, last)
+        wanted.append((page, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", last if revisit else None))
+    assert got == sorted(wanted, key=str)
+    assert len({r.record_id for r in found}) == len(table)
+    files = {f: open(f.removeprefix("file:"), "rb").read() for f in {r.file for r in found}}
+    for f, data in files.items():
+        plain = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
+        assert plain.count(b"WARC/1.1\r\n") == plain.count(b"WARC-Date: ") == sum(r.file == f for r in found)
+    for r in found:
+        headers, block = warc.fetch(files[r.file], r.frame, r.offset)
+        assert headers["WARC-Record-ID"] == r.record_id and bytes(r.block) == block
+        assert ("WARC-Profile" in headers) == (r.record_type == "revisit")
+        assert r.record_type == "revisit" or hashlib.sha1(block).hexdigest() in headers["WARC-Payload-Digest"]
+
+
+def test_warc_hot_payload(spark, monkeypatch):
+    monkeypatch.setattr(warc, "join_hot", lambda *a: join_hot(*a, hot=7))
+    table = [(i, f"u{i}", "p" * 2000 if i % 3 else f"{i} " * 900) for i in range(100)]
+    frame = spark.createDataFrame(table, "page_id long, url string, html string").repartition(4)
+    found = {r.page_id: r.refers_to for r in warc.referred(frame).collect()}
+    assert found == {i: 98 if i % 3 and i != 98 and i != 99 else None for i in range(100)} | {98: None}
+
+
+def test_warc_wrong_digest():
+    data = warc.record("n", 1, "u", b"payload", hashlib.sha1(b"other").hexdigest(), None)
+    with pytest.raises(ValueError):
+        warc._facts(*warc.parse(data, 0)[:2])
 
 
 def test_seek_table_over_frames():
-    bundle = warc._Bundle(3)
-    for i in range(300):
-        bundle.add(i, warc.record(i, "u", (f"{i} " * 400).encode(), "d", None))
-    batch = bundle.close("b").to_pylist()[0]
-    assert len(warc.read_seek_table(batch["bundle"])) > 3
+    bundle = warc._Bundle()
+    at = [bundle.add(warc.record(f"n{i}", i, "u", (f"{i} " * 400).encode(), "d", None)) for i in range(300)]
+    data = bundle.close()
+    assert len(warc.read_seek_table(data)) > 3
     for i in (0, 57, 299):
-        assert warc.fetch(batch["bundle"], batch["frames"][i], batch["offsets"][i])[1] == (f"{i} " * 400).encode()
+        assert warc.fetch(data, *at[i])[1] == (f"{i} " * 400).encode()
 
 
 def test_decontam(spark):
@@ -520,7 +544,7 @@ def test_targets_and_knapsack():
         assert sum(k * x for x, k in chosen.items()) == max(s for s in sums if s <= budget)
 
 
-def test_empty_tables(spark, empty):
+def test_empty_tables(spark, empty, tmp_path):
     assert simhash.near_duplicates(empty).count() == 0
     assert substring.substring_dedup(empty).count() == 0
     assert quality.quality(empty).count() == 0
@@ -530,7 +554,8 @@ def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert decontam.contaminated(empty, bench).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
-    assert warc.read_bundles(warc.write_bundles(pages)).count() == 0
+    warc.write_archives(pages, archive(tmp_path))
+    assert warc.read_archives(spark, archive(tmp_path)).count() == 0
     messages = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert quotes.link_quotes(messages).count() == 0
 
