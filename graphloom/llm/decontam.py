@@ -12,15 +12,16 @@
 4. Candidates are verified on the words around them: enough of the item must be a common subsequence, and enough of
    its last sentence (the answer) must be there.
 
-A benchmark of more than ``BLOCK_ITEMS`` items is taken in blocks, each against all documents.
+Vocabulary, weights and basis are fitted once for the whole benchmark, so its size changes no result; only the product
+of windows and items is taken in blocks of ``BLOCK_ITEMS`` items, to bound its memory.
 """
 
 from __future__ import annotations
 
-
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -41,6 +42,7 @@ COSINE = 0.6
 #: Share of an item's words in the common subsequence, and of its answer's weight found nearby.
 SUBSEQUENCE = 0.6
 ANSWER = 0.5
+#: Items whose cosines with the windows of a batch are computed at once.
 BLOCK_ITEMS = 2000
 #: Documents of a batch whose windows are projected together, and words of the windows summed at once, about.
 TOGETHER = 64
@@ -81,13 +83,16 @@ class Item:
     """A benchmark item as term numbers."""
 
     item_id: int
-    words: list[int]
-    answer: list[int]
-    masks: dict[int, int] = field(default_factory=dict)
+    words: np.ndarray
+    answer: np.ndarray
 
-    def __post_init__(self) -> None:
-        for i, w in enumerate(self.words):
-            self.masks[w] = self.masks.get(w, 0) | 1 << i
+    @cached_property
+    def masks(self) -> dict[int, int]:
+        """For each word, the bits of its places; made in the task that has a candidate."""
+        out: dict[int, int] = {}
+        for i, w in enumerate(self.words.tolist()):
+            out[w] = out.get(w, 0) | 1 << i
+        return out
 
 
 @dataclass
@@ -201,11 +206,11 @@ def basis_of(sketch: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -> tuple[Space, DataFrame]:
-    """Weights and latent space for a block of items over all documents, and the documents as term numbers."""
+    """Weights and latent space for all items over all documents, and the documents as term numbers."""
     made = [(i, tokens(t), last_sentence(t)) for i, t in items]
     made = [m for m in made if m[1]]
     terms = {w: n for n, w in enumerate(sorted({w for _, words, _ in made for w in words}))}
-    block = [Item(i, _ids(w, terms).tolist(), _ids(a, terms).tolist()) for i, w, a in made]
+    listed = [Item(i, _ids(w, terms).astype(_kind(len(terms))), _ids(a, terms).astype(_kind(len(terms)))) for i, w, a in made]
     rows = _numbered(docs, docs.sparkSession.sparkContext.broadcast(terms))
     found, passages = _frequencies(rows, len(terms))
     idf = np.log((passages + 1.0) / (found + 1.0)) + 1e-3
@@ -215,12 +220,12 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -> tupl
         width = min(rank + OVERSAMPLE, len(terms))
         omega = np.linalg.qr(np.random.default_rng(SEED).standard_normal((len(terms), width)))[0]
         basis = basis_of(_sketch(rows, idf, omega), omega, rank)
-    latent = np.zeros((len(block), basis.shape[1]))
-    for n, m in enumerate(block):
+    latent = np.zeros((len(listed), basis.shape[1]))
+    for n, m in enumerate(listed):
         latent[n] = idf[m.words] @ basis[m.words]
-    widths = window_sizes([len(m.words) for m in block])
+    widths = window_sizes([len(m.words) for m in listed])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return Space(block, len(terms), idf, foreign, basis.astype(np.float32), latent.astype(np.float32), widths), rows
+    return Space(listed, len(terms), idf, foreign, basis.astype(np.float32), latent.astype(np.float32), widths), rows
 
 
 def window_sizes(lengths: list[int]) -> list[int]:
@@ -255,7 +260,9 @@ def windows(sizes: np.ndarray, widths: list[int]) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(owners), np.concatenate(starts), np.concatenate(ends)
 
 
-def candidates(ids: np.ndarray, sizes: np.ndarray, space: Space, scaled: np.ndarray, energy: np.ndarray) -> dict:
+def candidates(
+    ids: np.ndarray, sizes: np.ndarray, space: Space, scaled: np.ndarray, energy: np.ndarray, block: int = BLOCK_ITEMS
+) -> dict:
     """(document, item number) to [best cosine, windows] for documents laid end to end as term numbers."""
     own = energy[ids]
     whole = np.concatenate(([0.0], np.cumsum(own)))
@@ -277,12 +284,14 @@ def candidates(ids: np.ndarray, sizes: np.ndarray, space: Space, scaled: np.ndar
         words = np.arange((b - a).sum()) + np.repeat(a - heads, b - a)
         summed = np.add.reduceat(scaled[ids[words]], heads, axis=0)
         norm = np.maximum(np.linalg.norm(summed, axis=1, keepdims=True), 1e-12)
-        near = (summed / norm) @ space.latent.T * share[at:to, None]
-        for w, item in zip(*np.nonzero(near >= COSINE), strict=True):
-            doc = int(owner[at + w])
-            held = found.setdefault((doc, int(item)), [0.0, []])
-            held[0] = max(held[0], float(near[w, item]))
-            held[1].append((int(a[w] - offsets[doc]), int(b[w] - offsets[doc])))
+        summed /= norm
+        for first in range(0, len(space.latent), block):
+            near = summed @ space.latent[first : first + block].T * share[at:to, None]
+            for w, item in zip(*np.nonzero(near >= COSINE), strict=True):
+                doc = int(owner[at + w])
+                held = found.setdefault((doc, first + int(item)), [0.0, []])
+                held[0] = max(held[0], float(near[w, item]))
+                held[1].append((int(a[w] - offsets[doc]), int(b[w] - offsets[doc])))
     return found
 
 
@@ -309,8 +318,9 @@ def verify(words: list[int], item: Item, spans: list[tuple[int, int]], weights:
             share = common_subsequence(near, item.masks, size) / size
             if share >= SUBSEQUENCE:
                 have = set(near)
-                total = sum(weights[w] for w in item.answer)
-                answer = sum(weights[w] for w in item.answer if w in have) / max(total, 1e-12)
+                listed = item.answer.tolist()
+                total = sum(weights[w] for w in listed)
+                answer = sum(weights[w] for w in listed if w in have) / max(total, 1e-12)
                 best = max(best, (answer >= ANSWER, share, answer))
     return best[1:]
 
@@ -318,7 +328,7 @@ def verify(words: list[int], item: Item, spans: list[tuple[int, int]], weights:
 RESULT = "doc_id long, item_id long, cosine double, subsequence double, answer double"
 
 
-def _matches(rows: DataFrame, space: Space) -> DataFrame:
+def _matches(rows: DataFrame, space: Space, block: int) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(space)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +342,7 @@ def _matches(rows: DataFrame, space: Space) -> DataFrame:
                 part = batch.slice(at, TOGETHER)
                 held = [np.frombuffer(x.as_py(), _kind(own.terms)).astype(np.int64) for x in part.column(1)]
                 sizes = np.array([len(h) for h in held], np.int64)
-                found = candidates(np.concatenate(held), sizes, own, scaled, energy)
+                found = candidates(np.concatenate(held), sizes, own, scaled, energy, block)
                 for (doc, n), (cosine, spans) in found.items():
                     share, answer = verify(held[doc].tolist(), own.items[n], spans, listed)
                     if share >= SUBSEQUENCE and answer >= ANSWER:
@@ -347,30 +357,34 @@ def _matches(rows: DataFrame, space: Space) -> DataFrame:
     return rows.mapInArrow(search, RESULT)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, cosine, subsequence, answer): documents and the benchmark items that they hold.
 
     Null and empty texts and items match nothing; repeated rows give repeated results; a null doc_id is carried; an
     empty table on either side gives no rows. Whole texts are searched. Only doc_id, item_id and the texts are read.
+    A benchmark of more than MAX_BYTES bytes of text is refused. ``block`` changes no result.
     """
     benchmark = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > MAX_BYTES:
         raise ValueError(f"a benchmark of {size} bytes; at most {MAX_BYTES} are taken")
     items = sorted({(r.item_id, r.text) for r in benchmark.collect()})
-    blocks = [items[i : i + BLOCK_ITEMS] for i in range(0, len(items), BLOCK_ITEMS)] or [[]]
-    out = None
-    for block in blocks:
-        space, rows = fit(docs, block)
-        found = _matches(rows, space)
-        out = found if out is None else out.union(found)
-    return out
+    space, rows = fit(docs, items)
+    return _matches(rows, space, block)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns; a null doc_id is kept."""
-    leaks = cut(contaminated(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that hold no benchmark item, with all their columns.
+
+    Rows are told apart by doc_id and text, so that a null or repeated doc_id neither saves nor condemns another row.
+    """
+    row = "row"
+    while row in map(str.lower, docs.columns):
+        row += "_"
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    leaks = contaminated(keyed.select(F.col(row).alias("doc_id"), "text"), benchmark)
+    leaks = cut(leaks.select(F.col("doc_id").alias(row)).distinct(), "leaks")
+    return keyed.join(leaks, row, "left_anti").select(*docs.columns)
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import string
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 import zstandard
@@ -464,7 +465,7 @@ def test_decontam_short_and_long_items(spark):
 
 
 def test_decontam_any_place_that_passes():
-    item = decontam.Item(1, list(range(20)), [17, 18, 19])
+    item = decontam.Item(1, np.arange(20), np.array([17, 18, 19]))
     weights = [1.0] * 21
     more, whole = list(range(16)), list(range(8)) + list(range(15, 20))
     words = [20] * 40 + more + [20] * 200 + whole + [20] * 40
@@ -472,6 +473,60 @@ def test_decontam_any_place_that_passes():
     assert (share, answer) == (13 / 20, 1.0)
 
 
+def test_decontam_against_brute_force(spark):
+    """Paraphrases at several rates of changed words, against the checks on every document as one place; any block size."""
+    r = random.Random(21)
+    words = [word(r) for _ in range(4000)]
+    weighted = words + [words[i % 25] for i in range(1800)]  # 25 words make up a third of all text
+    items = [(i, ". ".join(prose(r, 14, weighted) for _ in range(3))) for i in range(60)]
+    table, rates = [], {}
+    for i in range(480):
+        parts = prose(r, r.randrange(20, 300), weighted).split()
+        if i % 2:
+            own, rate = items[i % 60][1].split(), (0.0, 0.15, 0.25, 0.35)[i // 2 % 4]
+            own = [r.choice(weighted) if r.random() < rate else w for w in own]
+            at = r.randrange(len(parts))
+            parts[at:at], rates[i] = own, rate
+        table.append((i, " ".join(parts)))
+    frame = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(x.doc_id, x.item_id): x for x in decontam.contaminated(frame, bench).collect()}
+    for block in (1, 7):
+        again = {(x.doc_id, x.item_id): x for x in decontam.contaminated(frame, bench, block).collect()}
+        assert again.keys() == found.keys() and all(abs(again[k].cosine - found[k].cosine) < 1e-5 for k in found)
+    space, _ = decontam.fit(frame, items)
+    terms = {w: n for n, w in enumerate(sorted({w for _, t in items for w in decontam.tokens(t)}))}
+    weights = [*space.idf.tolist(), space.foreign]
+    wanted, possible = set(), set()
+    for doc, text in table:
+        ids = [terms.get(w, len(terms)) for w in decontam.tokens(text)]
+        for item in space.items:
+            places = [(k, k + len(item.words)) for k in range(0, len(ids), max(1, len(item.words) // 2))]
+            share, answer = max((decontam.verify(ids, item, [p], weights) for p in places), key=lambda x: (x[1] >= 0.5, x[0]))
+            if share >= decontam.SUBSEQUENCE and answer >= decontam.ANSWER:
+                wanted.add((doc, item.item_id))
+            if decontam.common_subsequence(ids, item.masks, len(item.words)) >= decontam.SUBSEQUENCE * len(item.words):
+                possible.add((doc, item.item_id))
+    assert wanted <= possible and found.keys() <= possible
+    for rate in (0.0, 0.15, 0.25, 0.35):
+        planted = {p for p in wanted if rates.get(p[0]) == rate and p[1] == p[0] % 60}
+        assert len(found.keys() & planted) >= 0.9 * len(planted) > 20, rate
+    assert len(found.keys() & wanted) >= 0.9 * len(wanted)
+
+
+def test_decontam_odd_rows(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    other = " ".join(f"w{i}" for i in range(40))
+    table = [(None, item), (None, other), (5, item), (5, item), (5, other), (6, None), (7, "x " * 100_000 + item)]
+    frame = spark.createDataFrame([(*t, "a", 1.0, 2) for t in table], "doc_id long, text string, row string, cosine double, item_id int")
+    bench = spark.createDataFrame([(1, item, 3), (1, item, 4), (None, item, 5), (2, None, 6)], "item_id long, text string, doc_id int")
+    found = sorted(((x.doc_id, x.item_id) for x in decontam.contaminated(frame, bench).collect()), key=str)
+    assert found == [(5, 1), (5, 1), (7, 1), (None, 1)]
+    left = decontam.clean(frame, bench)
+    assert left.columns == frame.columns
+    assert sorted(((x.doc_id, x.text) for x in left.collect()), key=str) == sorted([(None, other), (5, other), (6, None)], key=str)
+
+
 def test_common_subsequence():
     r = random.Random(3)
     for _ in range(200):
@@ -480,7 +535,7 @@ def test_common_subsequence():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        item = decontam.Item(0, b, b)
+        item = decontam.Item(0, np.array(b), np.array(b))
         assert decontam.common_subsequence(a, item.masks, len(b)) == best[-1][-1]
 
 
