@@ -139,23 +139,36 @@ def test_substring(spark):
             parts = (table[r.randrange(len(table))][1] or "").split() + parts[:5]
         table.append((i, " ".join(parts)))
     table += [(160, None), (161, ""), (162, "loop the loop " * 300), (163, "loop the loop " * 200), (164, table[1][1])]
+    frame = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    wanted = slow_substring(table)
+    found = substring.substring_dedup(frame).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == wanted
+    # crowded anchors only, and anchors too wide for an automaton, with their rows dealt over several tasks
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(substring, "join_hot", lambda *a, **k: join_hot(*a, **k, hot=9))
+        for crowd, wide in ((1, 2000), (1, 1)):
+            found = substring.substring_dedup(frame, crowd=crowd, wide=wide).collect()
+            assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == wanted
+
+
+def slow_substring(table):
+    """Brute force over (doc_id, text) rows."""
     first = {}
     for doc, text in table:
         w = split(text)
-        for k in range(len(w) - 49):
-            first.setdefault(tuple(w[k : k + 50]), doc)
+        for k in range(len(w) - 49 if doc is not None else 0):
+            key = tuple(w[k : k + 50])
+            first[key] = min(doc, first.get(key, doc))
     wanted = []
     for doc, text in table:
         w = split(text)
         gone = [False] * len(w)
-        for k in range(len(w) - 49):
+        for k in range(len(w) - 49 if doc is not None else 0):
             if first[tuple(w[k : k + 50])] < doc:
                 gone[k : k + 50] = [True] * 50
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         wanted.append((doc, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    frame = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
-    found = substring.substring_dedup(frame).collect()
-    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == wanted
+    return sorted(wanted, key=str) if any(d is None for d, _ in table) else sorted(wanted)
 
 
 def test_substring_passage_twice_in_its_first_document(spark):
@@ -166,18 +179,21 @@ def test_substring_passage_twice_in_its_first_document(spark):
         aside = [[f"{i}{name}{k}" for k in range(30)] for name in "abc"]
         table.append((i, " ".join(aside[0] + passage[: r.randrange(70, 130)])))
         table.append((i + 1, " ".join(passage + aside[1] + passage + aside[2])))
-    wanted, first = [], {}
-    for doc, text in table:
-        w = split(text)
-        for k in range(len(w) - 49):
-            first.setdefault(tuple(w[k : k + 50]), doc)
-    for doc, text in table:
-        w = split(text)
-        gone = {p for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < doc for p in range(k, k + 50)}
-        wanted.append((doc, len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
     frame = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
     found = substring.substring_dedup(frame).collect()
-    assert sorted((r.doc_id, r.n_removed, r.kept) for r in found) == wanted
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == slow_substring(table)
+
+
+def test_substring_odd_rows(spark):
+    """Rows with one id and different texts, repeated rows, null ids and texts, clashing columns."""
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    table = [(1, text("a")), (2, text("c")), (5, text("a")), (5, text("b")), (7, text("c")), (7, text("d", 70)), (7, text("d", 70))]
+    table += [(9, text("d", 65) + " " + text("b")), (None, text("a")), (None, text("e")), (11, text("e")), (12, None), (13, "")]
+    table += [(14, text("long", 40_000)), (15, text("x", 9) + " " + text("long", 39_000))]
+    frame = spark.createDataFrame([(*t, 1, "x") for t in table], "doc_id long, text string, row long, anchor string").repartition(3)
+    found = substring.substring_dedup(frame).collect()
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found), key=str)
+    assert got == slow_substring(table)
 
 
 def test_automaton():
