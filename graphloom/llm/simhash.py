@@ -5,7 +5,8 @@ on two whole blocks: each fingerprint is filed under its 15 pairs of blocks (20
 and the distance verified inside the join. From 16 million distinct fingerprints on, seven blocks by three or eight by
 four (27 and 32 bits a key) keep the buckets small; every plan finds the same links.
 
-Equal fingerprints are one node, so copies cost nothing. A bucket above ``BUCKET`` distinct fingerprints (a large family
+Equal fingerprints are one node, so copies cost nothing; where the documents of one fingerprint, or the fingerprints of
+one component, meet in a join, they are dealt over several tasks. A bucket above ``BUCKET`` distinct fingerprints (a large family
 of near copies) is not joined pair by pair: two fingerprints within four bits share a point within two bits of both,
 so each member of such a bucket is filed under its 2081 points, and per point only the link to the least member is
 made. That is linear in the members, exact, and splits over all tasks.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.tables import table
 from graphloom.llm.words import signed
-from graphloom.plans import connected_components, cut
+from graphloom.plans import connected_components, cut, join_hot
 
 SHINGLE = 4
 DISTANCE = 4
@@ -99,16 +100,16 @@ def links(nodes: DataFrame, bucket: int = BUCKET, plans: tuple = PLANS) -> DataF
     count = nodes.count()
     blocks, agree, _ = next(p for p in plans if count <= p[2])
     filed = nodes.select("fp", F.explode(_block_keys(F.col("fp"), blocks, agree)).alias("k")).select("fp", "k.*")
-    sizes = filed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    sized = cut(filed.join(sizes, ["choice", "bits"]), "buckets")
+    sizes = filed.groupBy("choice", "bits").agg(F.count("*").alias("n"), F.count("*").alias("size")).where("n > 1")
+    sized = cut(join_hot(filed, cut(sizes, "sizes"), ["choice", "bits"]).withColumnRenamed("size", "n"), "buckets")
     cold = sized.where(F.col("n") <= bucket).select("choice", "bits", "fp")
     a, b = cold.withColumnRenamed("fp", "a"), cold.withColumnRenamed("fp", "b")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
     pairs = a.join(b, ["choice", "bits"]).where(close).select("a", "b")
     hot = sized.where(F.col("n") > bucket).select("fp").distinct()
     points = hot.mapInArrow(_points, "point long, fp long")
-    least = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
-    spokes = points.join(least.select("point", "a"), "point").where("a < fp").select("a", F.col("fp").alias("b"))
+    least = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("z"), F.count("*").alias("n")).where("a < z")
+    spokes = join_hot(points, cut(least.drop("z"), "points"), ["point"]).where("a < fp").select("a", F.col("fp").alias("b"))
     return pairs.union(spokes).distinct()
 
 
@@ -120,14 +121,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows stay; an empty table gives no rows. Only doc_id and text are read, so other columns cannot clash.
     """
     prints = cut(fingerprints(docs), "fingerprints")
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    component = connected_components(links(nodes.select("fp")))
-    labelled = nodes.join(component, nodes["fp"] == component["node"], "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("root")
-    )
-    roots = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = cut(labelled.join(roots, "root").select("fp", "component_id"), "components")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
+    component = connected_components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    labelled = cut(nodes.join(component, "fp", "left"), "labelled")
+    # a fingerprint without links is a component of its own and needs no join
+    linked = labelled.where("component is not null").select("fp", "n", "first", "component")
+    roots = linked.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
+    roots = cut(roots.withColumnRenamed("members", "m"), "roots")
+    joined = join_hot(linked.drop("first"), roots, ["component"], count="m").select("fp", "n", "component_id")
+    alone = labelled.where("component is null").select("fp", "n", F.col("first").alias("component_id"))
+    ids = cut(joined.union(alone), "components")
+    return join_hot(prints, ids, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -75,6 +75,13 @@ def test_simhash(docs, table):
     assert sorted((r.doc_id, r.component_id) for r in found) == sorted(slow_components(prints))
 
 
+def test_simhash_hot_fingerprints_and_components(docs, table, monkeypatch):
+    monkeypatch.setattr(simhash, "join_hot", lambda *a, **k: join_hot(*a, **k, hot=3))
+    prints = [(t[0], slow_fingerprint(t[1])) for t in table]
+    found = simhash.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == sorted(slow_components(prints))
+
+
 def test_simhash_hot_buckets_and_plans(spark):
     """Families of near fingerprints: all plans, and buckets above the pairwise size, give the same components."""
     r = random.Random(1)
