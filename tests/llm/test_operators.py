@@ -6,6 +6,7 @@ import math
 import random
 import re
 import string
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -562,28 +563,77 @@ def test_common_subsequence():
         assert decontam.common_subsequence(a, item.masks, len(b)) == best[-1][-1]
 
 
+def slow_passages(text):
+    """(paragraph, place, words) of a text, by plain Python."""
+    known, out = set().union(*(licenses.plain_runs(t) for _, t in licenses.TEMPLATES)), []
+    for number, part in enumerate(re.split(licenses.BREAK, text or "")):
+        words = licenses.plain_words(part)
+        runs = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        spans = []
+        for i in (i for i, x in enumerate(runs) if x in known):
+            if spans and i - spans[-1][1] <= licenses.GAP + 3:
+                spans[-1][1] = i
+            else:
+                spans.append([i, i])
+        out += [(number, place, words[max(0, a - 3) : b + 6]) for place, (a, b) in enumerate(spans)]
+    return out
+
+
+def slow_similarity(words, family):
+    own = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+    each = [licenses.plain_runs(t) for f, t in licenses.TEMPLATES if f == family]
+    return max(len(own & t) / max(1, min(len(own), len(t))) for t in each)
+
+
 def test_licenses(spark):
+    """Notices on one line and wrapped, prose with cue words, odd rows; every passage against brute force."""
+    prose_line = "some prose of a kind that has no licence in it at all"
     table = [
-        (0, "some prose here\nReleased under the MIT License.\nmore prose"),
-        (1, "Licensed under CC BY-NC 4.0."),
-        (2, "This work is licensed under the GNU General Public License, version 3."),
-        (3, "The officer asked for a license and some other words about cars."),
-        (4, None),
-        (5, ""),
-        (6, "plain words only " * 500),
-        (7, licenses.TEMPLATES[2][1].replace("\n", " ")),
+        (0, prose_line + "\nReleased under the MIT License.\nmore prose", "mit"),
+        (1, "Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+        (2, "This work is licensed under the GNU General Public License, version 3.", "gpl"),
+        (3, "The officer asked for a license and some other words about cars.", None),
+        (4, None, None),
+        (5, "", None),
+        (6, "plain words only " * 50_000 + "\n\n" + licenses.TEMPLATES[4][1] + "\n\nand more", "apache"),
+        (7, "GNU General Public\nLicense, version 3. This work is licensed under the GNU\nGeneral Public License", "gpl"),
+        (8, "he wrote that all of this\nis subject to the following words of his own making", "unknown"),
+        (None, "All rights reserved.", "proprietary"),
+        (9, "All rights reserved.", "proprietary"),
+        (9, "All rights reserved.", "proprietary"),
+        (10, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.\n", "mit apache"),
     ]
-    frame = spark.createDataFrame(table, "doc_id long, text string")
-    found = {(r.doc_id, r.paragraph): r for r in licenses.scan(frame).collect()}
-    assert {k: r.family for k, r in found.items()} == {
-        (0, 1): "mit",
-        (1, 0): "cc-by-nc",
-        (2, 0): "gpl",
-        (3, 0): "unknown",
-        (7, 0): "mit",
-    }
-    for _, text in licenses.TEMPLATES:
-        assert re.search(licenses.CUES, text.lower())
+    for n, (family, text) in enumerate(licenses.TEMPLATES):
+        for width in (44, 60, 78):
+            table.append((100 * n + width + 1000, prose_line + "\n\n" + "\n".join(textwrap.wrap(text, width)) + "\n\n" + prose_line, family))
+    schema = "doc_id long, text string, family string, words string, paragraph int"
+    frame = spark.createDataFrame([(d, t, "x", "y", 3) for d, t, _ in table], schema).repartition(3)
+    found = licenses.scan(frame).collect()
+    got = sorted(((r.doc_id, r.paragraph, r.place, round(r.similarity, 9)) for r in found), key=str)
+    predicted = {(r.doc_id, r.paragraph, r.place): r.predicted for r in found}
+    wanted = []
+    for doc, text, _ in table:
+        for number, place, words in slow_passages(text):
+            wanted.append((doc, number, place, round(slow_similarity(words, predicted[doc, number, place]), 9)))
+    assert got == sorted(wanted, key=str)
+    families = {}
+    for r in found:
+        assert r.confirmed == (r.family != "unknown") and (not r.confirmed or r.similarity >= 0.5)
+        families.setdefault(r.doc_id, set()).add(r.family)
+    for doc, _, family in table:
+        if family == "unknown" or family is None:
+            assert families.get(doc, {"unknown"}) == {"unknown"}, doc
+        else:
+            assert families[doc] - {"unknown"} == set(family.split()), (doc, family)
+
+
+def test_licenses_calibration_rows(spark, docs):
+    """Calibration rows are not those trained on, and half of both have a stray template run in them."""
+    rows_ = licenses._sampled(docs, 50).collect()
+    assert len(rows_) == 50
+    stray = [any(x in " ".join(licenses.plain_words(r.text)) for x in licenses.SHARED_RUNS) for r in rows_]
+    assert any(s for s, r in zip(stray, rows_, strict=True) if r.h % 2) and any(s for s, r in zip(stray, rows_, strict=True) if not r.h % 2)
+    assert not all(stray)
 
 
 def test_mixing(docs, table):
