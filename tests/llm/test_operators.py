@@ -360,6 +360,26 @@ def test_langid_without_training(spark, docs, empty):
     assert {r.lang_pred for r in langid.predict(docs, langid.train(empty)).collect()} == {"und"}
 
 
+def quote_results(spark, table, hot=None):
+    """Replies by (conv_id, turn), after the rows were held against the SQL."""
+    rows_ = [(*t, "x", 1, True) for t in table]
+    frame = spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string, h string, level int, head boolean").repartition(3)
+    with pytest.MonkeyPatch.context() as patch:
+        if hot:
+            patch.setattr(quotes, "join_hot", lambda *a, **k: join_hot(*a, **k, hot=hot))
+        found = quotes.link_quotes(frame).collect()
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("conversations", frame.toArrow())
+    sql = con.execute(quotes.ORACLE_SQL).fetchall()
+    names = [d[0] for d in con.description]
+    plain = lambda row: tuple(None if x is None or x != x else x for x in row)
+    assert sorted(map(str, map(plain, sql))) == sorted(str(tuple(r[n] for n in names)) for r in found)
+    assert len(found) == len(table)
+    return {(r.conv_id, r.turn): r for r in found}
+
+
 def test_quotes(spark):
     table = [
         (1, 0, "user", "Hello there\nHow are you?"),
@@ -372,28 +392,40 @@ def test_quotes(spark):
         (2, 1, None, None),
         (None, 3, "user", "> Hello there"),
         (3, 0, "user", "> self\nself"),
+        (3, None, "user", "> self\nself"),
     ]
-    frame = spark.createDataFrame(table, "conv_id long, turn long, role string, text string")
-    found = quotes.link_quotes(frame).collect()
-    assert len(found) == len(table)
-    got = {(r.conv_id, r.turn): r for r in found}
-    assert [(got[1, t].reply_to, got[1, t].thread, got[1, t].depth) for t in range(5)] == [
-        (None, 0, 0),
-        (0, 0, 1),
-        (1, 0, 2),
-        (None, 3, 0),
-        (2, 0, 3),
+    for hot in (None, 1):
+        got = quote_results(spark, table, hot)
+        assert [(got[1, t].reply_to, got[1, t].thread, got[1, t].depth) for t in range(5)] == [
+            (None, 0, 0),
+            (0, 0, 1),
+            (1, 0, 2),
+            (None, 3, 0),
+            (2, 0, 3),
+        ]
+        assert got[1, 2].text == "\nGood to hear".strip(" ") and got[1, 2].n_quoted == 2
+        assert got[3, 0].reply_to is None and got[2, 1].text == ""
+
+
+def test_quotes_wrapped_and_attributed(spark):
+    """Quotes that are wrapped anew, nested, attributed and long."""
+    first = "The first sentence goes on for a while and ends here. The second one asks: is it so? A third, then."
+    filler = "\n".join(f"line {i} of a very long message." for i in range(20_000))
+    table = [
+        (1, 0, "a", first),
+        (1, 1, "b", "An answer of its own. With two sentences."),
+        (1, 2, "c", "On Monday Ann wrote:\n" + "\n".join("> " + x for x in textwrap.wrap(first, 24)) + "\nI agree."),
+        (1, 3, "d", "On Tue, C wrote:\n> I agree.\n> On Monday Ann wrote:\n>> The second one\n>> asks: is it so?\nNo."),
+        (1, 4, "e", "> a third, then. The second\n> one asks: is it\nAttribution stays: he wrote:\nno quote"),
+        (1, 5, "f", "> With two\n> sentences.\n> The first sentence goes on\nMixed."),
+        (2, 0, "a", filler),
+        (2, 1, "b", "> line 7 of a\n> very long message.\n" + filler[:50]),
     ]
-    assert got[1, 2].text == "\nGood to hear".strip(" ") and got[1, 2].n_quoted == 2
-    assert got[3, 0].reply_to is None and got[2, 1].text == ""
-    import duckdb
-
-    con = duckdb.connect()
-    con.register("conversations", frame.toArrow())
-    sql = con.execute(quotes.ORACLE_SQL).fetchall()
-    names = [d[0] for d in con.description]
-    plain = lambda row: tuple(None if x is None or x != x else x for x in row)
-    assert sorted(map(str, map(plain, sql))) == sorted(str(tuple(r[n] for n in names)) for r in found)
+    got = quote_results(spark, table)
+    assert [got[1, t].reply_to for t in range(6)] == [None, None, 0, 2, 0, 1]
+    assert got[1, 2].text == "I agree." and got[1, 3].text == "No."
+    assert got[1, 4].text == "Attribution stays: he wrote:\nno quote"
+    assert got[2, 1].reply_to == 0 and got[2, 1].n_quoted == 2
 
 
 def archive(tmp_path):
