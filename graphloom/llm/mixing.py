@@ -4,6 +4,10 @@ Documents are counted by (source, length). Per source, whole epochs are taken fi
 the length histogram: an even share of every length, then long lengths greedily down to ``RESERVE`` words, then a
 bounded-knapsack dynamic programme over the rest. The number chosen per length is filled with documents in seeded
 hash order. A source's histogram has at most as many rows as there are different lengths, however many documents it has.
+
+Sources are rows of a table like any other: they are numbered in their order, and their targets are found by a few
+aggregations over them, so there may be any number. Documents of a large source, or of a common length, are dealt over
+several tasks where they meet their source's numbers.
 """
 
 from __future__ import annotations
@@ -15,31 +19,42 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.llm.tables import table
-from graphloom.plans import cut
+from graphloom.plans import cut, drop, join_hot, numbered
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
 SEED = 20240607
 #: Words left to the dynamic programme; its tables are bit sets of about this many bits.
 RESERVE = 1 << 15
-#: Documents of one source and length that are ranked together.
-RANKED = 256
-MAX_SOURCES = 100_000
 
 
-def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> list[float]:
-    """Words wanted of each source: the total by repeating weights, none above ``cap`` times its own size."""
-    weight = [weights[i % len(weights)] for i in range(len(sizes))]
-    out: list[float | None] = [None] * len(sizes)
+def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """(source, source_size) with sid, the place of the source by code point, null last, and its target.
+
+    All sizes are shared by repeating weights; a source above ``cap`` times its size stops there and the excess is
+    shared again by the others, until none is above. Every round stops one source at least, a few rounds stop most.
+    """
+    # a null sorts before all names, so it is numbered apart
+    named = numbered(totals.where("source is not null").withColumnRenamed("source", "id")).withColumnRenamed("id", "source")
+    last = totals.where("source is null").crossJoin(totals.agg((F.count("source")).alias("k")))
+    weight = F.get(F.array(*map(F.lit, weights)), (F.col("k") % len(weights)).cast("int"))
+    rows = named.select("source", "source_size", "k").union(last.select("source", "source_size", "k"))
+    rows = rows.select("source", "source_size", F.col("k").alias("sid"), weight.alias("w"), F.lit(None).cast("double").alias("target"))
+    rows = cut(rows, "sources")
+    free = F.col("target").isNull()
     while True:
-        rest = sum(sizes) - sum(t for t in out if t is not None)
-        free = [i for i, t in enumerate(out) if t is None]
-        whole = sum(weight[i] for i in free)
-        over = [i for i in free if rest * weight[i] / whole > cap * sizes[i]]
-        if not over:
-            return [rest * weight[i] / whole if t is None else t for i, t in enumerate(out)]
-        for i in over:
-            out[i] = float(cap * sizes[i])
+        sums = rows.agg(
+            F.sum("source_size"), F.sum(F.when(~free, F.col("source_size") * cap)), F.sum(F.when(free, F.col("w")))
+        ).first()
+        whole, rest = sums[2] or 0, (sums[0] or 0) - (sums[1] or 0)
+        share = F.lit(float(rest)) * F.col("w") / F.lit(float(whole or 1))
+        limit = (F.col("source_size") * cap).cast("double")
+        over = free & (share > limit)
+        if not rows.where(over).limit(1).count():
+            return rows.withColumn("target", F.coalesce("target", share)).drop("w")
+        following = cut(rows.withColumn("target", F.when(over, limit).otherwise(F.col("target"))), "sources")
+        drop(rows)
+        rows = following
 
 
 def knapsack(lengths: list[int], counts: list[int], budget: int) -> dict[int, int]:
@@ -65,14 +80,24 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = 1, res
     """How often to take documents of each length, in all at most ``most`` times their number.
 
     The total comes as near to ``budget`` from below as the steps above reach. Documents are repeated only where
-    single takes leave a gap, as where the longest ones do not fit.
+    single takes leave a gap, as where the longest ones do not fit. Where a gap is left, less is shared out evenly, at
+    last nothing, so a budget within ``reserve`` is met as well as any sum of takes can.
     """
     total = int((lengths * counts).sum())
-    take = np.zeros(len(lengths), np.int64)
+    best = np.zeros(len(lengths), np.int64)
     if budget <= 0 or not total:
-        return take
-    share = min(budget, total)
-    take = np.array([int(c) * share // total for c in counts], np.int64)
+        return best
+    for share in (min(budget, total), min(budget, total) // 2, 0):
+        take = _filled(lengths, counts, budget, most, reserve, np.array([int(c) * share // total for c in counts], np.int64))
+        if int((take * lengths).sum()) > int((best * lengths).sum()):
+            best = take
+        if int((best * lengths).sum()) == budget:
+            break
+    return best
+
+
+def _filled(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int, reserve: int, take: np.ndarray) -> np.ndarray:
+    """``take`` filled up: longest first down to the reserve, then the best sum of the rest."""
     rest = budget - int((take * lengths).sum())
     order = [int(i) for i in np.argsort(-lengths, kind="stable") if lengths[i] > 0]
     for limit in (1, most):
@@ -106,21 +131,18 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     sized = cut(docs.select("doc_id", "source", words.alias("size")), "sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("s")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals = sorted(((r.source, r.s) for r in totals), key=lambda x: (x[0] is None, x[0] or ""))
-    wanted = targets([s for _, s in totals])
-    rows = [(i, name, s, t) for i, ((name, s), t) in enumerate(zip(totals, wanted, strict=True))]
-    names = docs.sparkSession.createDataFrame(rows, "sid int, source string, source_size long, target double")
-    named = sized.join(F.broadcast(names), sized["source"].eqNullSafe(names["source"])).select(
-        "doc_id", names["source"], "sid", "size", "source_size", "target"
-    )
+    totals = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), "totals")
+    found = source_targets(totals.select("source", "source_size"))
+    found = found.join(totals.select(F.col("source").alias("s"), "docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # a null is a key like any other, which an equi-join would not match
+    keys = [F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none")]
+    found = cut(found.select(*keys, "sid", "source_size", "target", "docs"), "targets")
+    named = join_hot(sized.select("doc_id", *keys, "size"), found, ["name", "none"], count="docs")
     histogram = named.groupBy("sid", "size", "source_size", "target").agg(F.count("*").alias("n"))
-    plan = histogram.groupBy("sid").applyInPandas(_plan, "sid int, size long, n long, epochs long, extra long")
-    plan = cut(plan, "plan")
-    slot = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("n") / RANKED)).cast("long")
-    ready = cut(named.join(plan, ["sid", "size"]).withColumn("slot", slot), "slots")
+    plan = histogram.groupBy("sid").applyInPandas(_plan, "sid long, size long, n long, epochs long, extra long")
+    plan = cut(plan.withColumn("slots", F.ceil(F.sqrt("n"))), "plan")
+    slot = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("slots"))
+    ready = cut(join_hot(named, plan, ["sid", "size"]).withColumn("slot", slot), "slots")
     open_ = ready.where("extra > 0")
     before = W.partitionBy("sid", "size").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
     slots = open_.groupBy("sid", "size", "slot").agg(F.count("*").alias("m"))
@@ -131,9 +153,17 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     ranked = open_.withColumn("r", F.row_number().over(inside)).join(slots, ["sid", "size", "slot"])
     ranked = ranked.withColumn("more", (F.col("before") + F.col("r") <= F.col("extra")).cast("long"))
     rest = ready.where("extra = 0").withColumn("more", F.lit(0).cast("long"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "epochs", "more"]
+    columns = ["doc_id", "name", "none", "size", "source_size", "target", "epochs", "more"]
     out = ranked.select(*columns).union(rest.select(*columns))
-    return out.withColumn("taken", F.col("size") * (F.col("epochs") + F.col("more"))).drop("more")
+    return out.select(
+        "doc_id",
+        F.when(~F.col("none"), F.col("name")).alias("source"),
+        "size",
+        "source_size",
+        "target",
+        "epochs",
+        (F.col("size") * (F.col("epochs") + F.col("more"))).alias("taken"),
+    )
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

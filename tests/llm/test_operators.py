@@ -668,29 +668,73 @@ def test_licenses_calibration_rows(spark, docs):
     assert not all(stray)
 
 
-def test_mixing(docs, table):
+def slow_targets(sizes):
+    """Targets of sources in their order, by plain Python."""
+    weight, out = [(1, 2, 3)[i % 3] for i in range(len(sizes))], [None] * len(sizes)
+    while True:
+        rest = sum(sizes) - sum(t for t in out if t is not None)
+        free = [i for i, t in enumerate(out) if t is None]
+        whole = sum(weight[i] for i in free)
+        over = [i for i in free if rest * weight[i] / whole > 3 * sizes[i]]
+        if not over:
+            return [rest * weight[i] / whole if t is None else t for i, t in enumerate(out)]
+        for i in over:
+            out[i] = float(3 * sizes[i])
+
+
+def test_mixing(docs, table, monkeypatch):
     found = mixing.mix(docs).collect()
     sizes = Counter()
     for t in table:
         sizes[t[3]] += len(split(t[1]))
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    wanted = dict(zip(names, mixing.targets([sizes[s] for s in names]), strict=True))
+    wanted = dict(zip(names, slow_targets([sizes[s] for s in names]), strict=True))
     taken = Counter()
-    assert sorted(r.doc_id for r in found) == sorted(t[0] for t in table)
+    assert sorted((r.doc_id, r.size) for r in found) == sorted((t[0], len(split(t[1]))) for t in table)
     for r in found:
         assert r.source_size == sizes[r.source] and r.target == wanted[r.source] and r.taken <= 3 * r.size
+        assert r.taken == 0 or r.taken % r.size == 0
         taken[r.source] += r.taken
     for s in names:
         assert abs(taken[s] - wanted[s]) <= max(1, 0.001 * wanted[s]), s
     again = {(r.doc_id, r.taken) for r in mixing.mix(docs.repartition(7)).collect()}
     assert again == {(r.doc_id, r.taken) for r in found}
+    monkeypatch.setattr(mixing, "join_hot", lambda *a, **k: join_hot(*a, **k, hot=5))
+    assert {(r.doc_id, r.taken) for r in mixing.mix(docs).collect()} == again
+
+
+def test_mixing_budgets_against_brute_force(spark):
+    """Small sources: the words taken are the best of all sums of whole documents, each at most as often as the rest allows."""
+    r = random.Random(31)
+    table = [(s, i, r.choice((3, 5, 8, 13, 40))) for s in ("a", "b", "", None) for i in range(r.randrange(3, 9))]
+    rows_ = [(10 * n, " ".join(["w"] * k), s) for n, (s, _, k) in enumerate(table)]
+    found = mixing.mix(spark.createDataFrame(rows_, "doc_id long, text string, source string")).collect()
+    names = ["", "a", "b", None]
+    sizes = [sum(k for s, _, k in table if s == name) for name in names]
+    for name, size, target in zip(names, sizes, slow_targets(sizes), strict=True):
+        own = [r for r in found if r.source == name]
+        epochs, sums = min(3, int(target // size)), {0}
+        for _, _, k in (t for t in table if t[0] == name):
+            sums = {x + j * k for x in sums for j in range(3 - epochs + 1)}
+        budget = round(target) - epochs * size
+        assert {r.target for r in own} == {target}
+        assert sum(r.taken for r in own) == epochs * size + max(x for x in sums if x <= budget), name
+
+
+def targets(spark, sizes):
+    rows_ = [(f"s{i:04d}" if i < len(sizes) - 1 else None, x) for i, x in enumerate(sizes)]
+    found = mixing.source_targets(spark.createDataFrame(rows_, "source string, source_size long")).collect()
+    return [r.target for r in sorted(found, key=lambda r: r.sid)]
+
+
+def test_source_targets(spark):
+    assert targets(spark, [10, 10, 10]) == [5.0, 10.0, 15.0]
+    r = random.Random(2)
+    for sizes in ([1, 1, 1, 97], [], [0, 0], [r.randrange(1, 10 ** r.randrange(1, 6)) for _ in range(200)]):
+        assert targets(spark, sizes) == slow_targets(sizes)
 
 
-def test_targets_and_knapsack():
-    assert mixing.targets([10, 10, 10]) == [5.0, 10.0, 15.0]
-    out = mixing.targets([1, 1, 1, 97])
-    assert out[1:3] == [3.0, 3.0] and abs(sum(out) - 100) < 1e-9 and all(t <= 3 * s for t, s in zip(out, [1, 1, 1, 97], strict=True))
-    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
+def test_knapsack():
     r = random.Random(6)
     for _ in range(200):
         lengths = r.sample(range(1, 15), 4)
