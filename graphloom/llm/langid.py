@@ -21,8 +21,8 @@ from graphloom.plans import cut
 DIMENSIONS = 1024
 SEED = 7
 FOLDS = 5
-#: Prototypes are broadcast; each takes DIMENSIONS doubles.
-MAX_LANGUAGES = 2000
+#: Languages whose prototypes, DIMENSIONS doubles each, are broadcast at once; more are compared block by block.
+BLOCK = 2000
 #: Different trigrams whose vectors a task keeps.
 CACHED = 1 << 15
 #: Trigrams counted or bundled at a time.
@@ -120,55 +120,61 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def train(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Language prototypes of unit length from all rows with a lang and a letter in their text.
-
-    The driver receives languages times DIMENSIONS numbers; more than MAX_LANGUAGES languages are refused.
-    """
+def train(docs: DataFrame) -> DataFrame:
+    """(lang, vector): language prototypes of unit length from all rows with a lang and a letter in their text."""
     labelled = docs.where(F.col("lang").isNotNull()).select("text", "lang")
     parts = labelled.mapInArrow(_train, "lang string, i long, v double")
-    sums = cut(parts.groupBy("lang", "i").agg(F.sum("v").alias("v")), "prototypes")
-    if sums.count() > MAX_LANGUAGES * DIMENSIONS:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    out: dict[str, np.ndarray] = {}
-    for r in sums.collect():
-        out.setdefault(r.lang, np.zeros(DIMENSIONS))[r.i] = r.v
-    return {k: v / np.linalg.norm(v) for k, v in sorted(out.items()) if np.any(v)}
+    sums = parts.groupBy("lang", "i").agg(F.sum("v").alias("v"))
+    folded = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    unit = F.transform("s", lambda x: x["v"] / F.col("norm"))
+    return cut(folded.where("norm > 0").select("lang", unit.alias("vector")), "prototypes")
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
+def predict(docs: DataFrame, prototypes: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, lang_pred, score) per row from the text alone; score is the cosine, 0 where it is negative.
 
     A text that is null or has no letter, and any text where no language was learned, is `und` with score 0. Equal
-    cosines go to the first language by code point. Repeated rows and null ids stay; an empty table gives no rows.
+    cosines go to the first language by code point. Repeated rows and null ids stay; whole texts are read, however long;
+    an empty table gives no rows; other columns are not read. Any number of languages: ``block`` of them are sent at a
+    time, and a block more reads the texts once more.
     """
-    names = list(prototypes)
-    sent = docs.sparkSession.sparkContext.broadcast(np.array([prototypes[n] for n in names]))
+    empty = F.lit(None)
+    rows = docs.select("doc_id", "text", empty.cast("string").alias("lang_pred"), empty.cast("double").alias("cosine"))
+    last, more = None, True
+    while more:
+        rest = prototypes if last is None else prototypes.where(F.col("lang") > last)
+        found = rest.orderBy("lang").limit(block + 1).collect()
+        more = len(found) > block
+        if found:
+            rows = _nearest(rows, [r.lang for r in found[:block]], np.array([r.vector for r in found[:block]]))
+            last = found[:block][-1].lang
+    score = F.least(F.greatest(F.coalesce("cosine", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return rows.select("doc_id", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), score.alias("score"))
+
+
+def _nearest(rows: DataFrame, names: list[str], vectors: np.ndarray) -> DataFrame:
+    """(doc_id, text, lang_pred, cosine) with the nearest of ``names`` where it is nearer than the one before."""
+    sent = rows.sparkSession.sparkContext.broadcast(vectors)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder()
         for batch in batches:
-            found: list[tuple[str, float]] = []
-            for text in batch.column(1):
+            best_names, best = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for row, text in enumerate(batch.column(1)):
                 grams, counts = encoder.count(text.as_py())
-                vector = encoder.bundle(grams, counts) if len(grams) and grams.any() and names else None
-                norm = 0.0 if vector is None else float(np.linalg.norm(vector))
-                if not norm:
-                    found.append(("und", 0.0))
+                if not len(grams) or not grams.any():
                     continue
-                near = sent.value @ vector / norm
-                best = int(np.argmax(near))
-                found.append((names[best], min(1.0, max(0.0, float(near[best])))))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).cast(pa.int64()),
-                    pa.array([x for x, _ in found], pa.string()),
-                    pa.array([s for _, s in found], pa.float64()),
-                ],
-                ["doc_id", "lang_pred", "score"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(label, "doc_id long, lang_pred string, score double")
+                vector = encoder.bundle(grams, counts)
+                norm = float(np.linalg.norm(vector))
+                if norm:
+                    near = sent.value @ vector / norm
+                    at = int(np.argmax(near))
+                    if best[row] is None or near[at] > best[row]:
+                        best_names[row], best[row] = names[at], float(near[at])
+            columns = [batch.column(0), batch.column(1), pa.array(best_names, pa.string()), pa.array(best, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "lang_pred", "cosine"])
+
+    return rows.mapInArrow(label, "doc_id long, text string, lang_pred string, cosine double")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -7,6 +7,7 @@ import random
 import re
 import string
 import textwrap
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -356,6 +357,56 @@ def test_langid(spark):
     assert (encoder.bundle(grams, counts) == whole).all()
 
 
+def test_langid_against_brute_force(spark, docs, table):
+    """Every prediction and score from letter vectors alone, on texts of four languages and odd rows; any block size."""
+    r = random.Random(14)
+    words = {
+        "en": "the of and with there house street water under which would",
+        "de": "der die und nicht über straße wasser können welche würde",
+        "fr": "le la et être où château garçon élève rue dans qui serait",
+        "es": "el los niño año calle agua debajo mañana corazón sería que",
+    }
+    odd = [(100, None, None), (None, "the water", "en"), (101, "", "en"), (102, "123 ;; 99", "de"), (103, "the house " * 40_000, "en")]
+    texts = [(i, " ".join(r.choice(words[k].split()) for _ in range(r.randrange(1, 40))), k) for i, k in enumerate(sorted(words) * 12)]
+    rows_ = [(*t, "x", 0.5) for t in [*texts, *odd, texts[0]]]
+    frame = spark.createDataFrame(rows_, "doc_id long, text string, lang string, lang_pred string, score double").repartition(3)
+    letters = {}
+
+    def letter(c):
+        if c not in letters:
+            letters[c] = 2 * np.random.default_rng([langid.SEED, c]).integers(0, 2, langid.DIMENSIONS) - 1
+        return letters[c]
+
+    def bundled(text):
+        codes = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} "))
+        counts, out = Counter(codes[i : i + 3] for i in range(len(codes) - 2)), np.zeros(langid.DIMENSIONS)
+        for g, n in counts.items():
+            a, b, c = (letter(ord(x) if x != " " else 0) for x in g)
+            out += n * np.roll(a, 2) * np.roll(b, 1) * c
+        return out if any(c.isalpha() for c in codes) else np.zeros(langid.DIMENSIONS)
+
+    sums = {}
+    for doc, text, lang, *_ in rows_:
+        if lang and (doc is None or zlib.crc32(str(doc).encode()) % 5):
+            sums[lang] = sums.get(lang, 0) + bundled(text)
+    unit = {k: v / np.linalg.norm(v) for k, v in sorted(sums.items())}
+    wanted = []
+    for doc, text, *_ in rows_:
+        v = bundled(text)
+        near = {k: float(p @ v / np.linalg.norm(v)) for k, p in unit.items()} if v.any() else {"und": 0.0}
+        best = max(near, key=near.get)
+        wanted.append((doc, best, round(min(1.0, max(0.0, near[best])), 6)))
+    prototypes = langid.train(frame.where(~langid.held_out()))
+    for block in (2000, 3):
+        found = langid.predict(frame, prototypes, block)
+        assert found.columns == ["doc_id", "lang_pred", "score"]
+        got = [(x.doc_id, x.lang_pred, round(x.score, 6)) for x in found.collect()]
+        assert sorted(got, key=str) == sorted(wanted, key=str)
+    long = [(w[1], t[2]) for w, t in zip(wanted, texts, strict=False) if len(t[1].split()) >= 6]
+    assert len(long) > 30 and all(a == b for a, b in long)
+    assert langid.predict(frame.limit(0), prototypes).count() == 0
+
+
 def test_langid_without_training(spark, docs, empty):
     assert {r.lang_pred for r in langid.predict(docs, langid.train(empty)).collect()} == {"und"}
 
