@@ -128,15 +128,16 @@ def truss_numbers(graph: PropertyGraph) -> DataFrame:
         numbered = numbered.union(live.withColumn("truss", F.lit(k)))
 
 
-#: Canonical edge lists of the graphs of 3 and 4 nodes, and their names.
+#: Canonical edge lists of the graphs of 3 and 4 nodes, and their names. The matching has no common name
+#: among them and is ours.
 MOTIF_NAMES = {
-    3: {"": "empty-3", "0-1": "1-edge", "0-1,0-2": "2-star", "0-1,0-2,1-2": "triangle"},
+    3: {"": "empty", "0-1": "1-edge", "0-1,0-2": "2-star", "0-1,0-2,1-2": "triangle"},
     4: {
-        "": "empty-4",
-        "0-1": "1-edge-4",
-        "0-1,0-2": "2-star-4",
+        "": "empty",
+        "0-1": "1-edge",
+        "0-1,0-2": "2-star",
         "0-1,2-3": "matching",
-        "0-1,0-2,1-2": "triangle-4",
+        "0-1,0-2,1-2": "triangle",
         "0-1,0-2,0-3": "3-star",
         "0-1,0-2,1-3": "path-4",
         "0-1,0-2,0-3,1-2": "paw",

@@ -28,16 +28,27 @@ def _hop(i: Column) -> Column:
     return F.struct(F.get("nodes", i).alias("u"), F.get("nodes", i + 1).alias("v"))
 
 
-def _scored_hops(graph: PropertyGraph, paths: DataFrame, variant: str, epsilon: float) -> DataFrame:
+#: A similarity of the caller's own: a graph and pairs (u, v) to (u, v, mi).
+Similarity = Callable[[PropertyGraph, DataFrame], DataFrame]
+
+
+def scored_hops(graph: PropertyGraph, paths: DataFrame, variant: str | Similarity, epsilon: float = EPSILON) -> DataFrame:
+    """(u, v, path_id, mi): every hop with its similarity, each different pair scored once."""
     steps = hops(paths)
-    scores = pair_similarity(graph, steps.select("u", "v").distinct(), (variant,), epsilon)
+    pairs = steps.select("u", "v").distinct()
+    if callable(variant):
+        return steps.join(variant(graph, pairs).select("u", "v", "mi"), ["u", "v"])
+    scores = pair_similarity(graph, pairs, (variant,), epsilon)
     return steps.join(scores.withColumnRenamed(variant, "mi"), ["u", "v"])
 
 
-def parse(graph: PropertyGraph, paths: DataFrame, variant: str = "jaccard", epsilon: float = EPSILON) -> DataFrame:
-    """(path_id, nodes, salience): geometric mean over hops of max(epsilon, similarity), within [epsilon, 1]."""
+def parse(graph: PropertyGraph, paths: DataFrame, variant: str | Similarity = "jaccard", epsilon: float = EPSILON) -> DataFrame:
+    """(path_id, nodes, salience): geometric mean over hops of max(epsilon, similarity), within [epsilon, 1].
+
+    ``variant`` names a similarity or is one.
+    """
     logs = F.avg(F.ln(F.greatest("mi", F.lit(epsilon))))
-    mean = _scored_hops(graph, paths, variant, epsilon).groupBy("path_id").agg(F.exp(logs).alias("mean"))
+    mean = scored_hops(graph, paths, variant, epsilon).groupBy("path_id").agg(F.exp(logs).alias("mean"))
     kept = F.least(F.greatest(F.coalesce("mean", F.lit(epsilon)), F.lit(epsilon)), F.lit(1.0))
     return paths.join(mean, "path_id", "left").select("path_id", "nodes", kept.alias("salience"))
 
@@ -90,7 +101,7 @@ def degree_sum(graph: PropertyGraph, paths: DataFrame) -> DataFrame:
 
 
 def _over_hops(graph: PropertyGraph, paths: DataFrame, agg: Callable[[str], Column]) -> DataFrame:
-    found = _scored_hops(graph, paths, "jaccard", EPSILON).groupBy("path_id").agg(agg("mi").alias("s"))
+    found = scored_hops(graph, paths, "jaccard", EPSILON).groupBy("path_id").agg(agg("mi").alias("s"))
     return paths.join(found, "path_id", "left").select("path_id", "nodes", F.coalesce("s", F.lit(1.0)).alias("score"))
 
 
@@ -102,12 +113,12 @@ def jaccard_arithmetic(graph: PropertyGraph, paths: DataFrame) -> DataFrame:
     return _over_hops(graph, paths, F.avg)
 
 
-def pagerank(graph: PropertyGraph, paths: DataFrame) -> DataFrame:
-    return _sum_over_nodes(paths, linalg.pagerank(graph).withColumnRenamed("rank", "x"))
+def pagerank(graph: PropertyGraph, paths: DataFrame, **options) -> DataFrame:
+    return _sum_over_nodes(paths, linalg.pagerank(graph, **options).withColumnRenamed("rank", "x"))
 
 
-def betweenness(graph: PropertyGraph, paths: DataFrame) -> DataFrame:
-    return _sum_over_nodes(paths, linalg.betweenness(graph).withColumnRenamed("betweenness", "x"))
+def betweenness(graph: PropertyGraph, paths: DataFrame, **options) -> DataFrame:
+    return _sum_over_nodes(paths, linalg.betweenness(graph, **options).withColumnRenamed("betweenness", "x"))
 
 
 def katz(graph: PropertyGraph, paths: DataFrame) -> DataFrame:
@@ -156,7 +167,10 @@ BASELINES: dict[str, Callable[[PropertyGraph, DataFrame], DataFrame]] = {
 }
 
 
-def rank(graph: PropertyGraph, paths: DataFrame, method: str, include_scores: bool = True) -> DataFrame:
-    """(path_id, nodes, score) by a baseline, normalised by the largest score; order by score descending, path_id."""
-    scored = BASELINES[method](graph, paths)
+def rank(graph: PropertyGraph, paths: DataFrame, method: str, include_scores: bool = True, **options) -> DataFrame:
+    """(path_id, nodes, score) by a baseline, normalised by the largest score; order by score descending, path_id.
+
+    ``options`` go to the baseline's measure: iterations and tolerance of pagerank, sources of betweenness.
+    """
+    scored = BASELINES[method](graph, paths, **options)
     return normalised(cut(scored, "scores"), include_scores)

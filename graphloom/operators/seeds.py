@@ -1,7 +1,7 @@
 """Seed-pair selection. Every draw is a hash of (seed, draw number), so reruns choose the same pairs.
 
-Candidates are made and scored by joins; only the greedy diversity filter, which is sequential over a ranked list of a
-bounded number of candidates, runs in one task.
+Candidates are made, scored and compared by joins; only the greedy diversity filter, which is sequential over a ranked
+list, takes its decisions in one task, over a bounded block of candidates at a time.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from graphloom.operators.linalg import label_propagation, pagerank
 from graphloom.operators.neighbours import triangle_counts
 from graphloom.operators.similarity import pair_features
 from graphloom.operators.traversal import bfs
-from graphloom.plans.lineage import cut
+from graphloom.plans.lineage import cut, drop
 from graphloom.plans.numbering import numbered
 from graphloom.sources.graph import PropertyGraph
 
@@ -50,37 +50,65 @@ def _unordered(pairs: DataFrame) -> DataFrame:
     return keyed.join(first, ["x", "y", "draw"]).drop("x", "y")
 
 
-def diverse(graph: PropertyGraph, ranked: DataFrame, n_pairs: int, threshold: float = 0.5, pool: int = 20) -> DataFrame:
+def diverse(graph: PropertyGraph, ranked: DataFrame, n_pairs: int, threshold: float = 0.5, pool: int = 4) -> DataFrame:
     """The best pairs (source, target, score), none whose source and target both resemble an earlier pick's.
 
-    The ``pool`` × ``n_pairs`` best candidates are looked at, with the neighbours of their ends.
+    Candidates are looked at in blocks of ``pool`` × ``n_pairs``, best first, until enough are picked or none is left.
+    The greedy order is sequential, so a block is one task; what it looks at are the similarities of the block's ends
+    with each other and with those of the earlier picks, made by joins. A block and its neighbourhoods are bounded by
+    ``pool`` and ``n_pairs``, not by the graph.
     """
-    top = cut(ranked.orderBy(F.desc("score"), "source", "target").limit(pool * n_pairs), "ranked")
-    near = graph.arcs.groupBy("src").agg(F.collect_set("dst").alias("near"))
-    for end in ("source", "target"):
-        own = near.select(F.col("src").alias(end), F.col("near").alias(f"{end}_near"))
-        top = top.join(own, end, "left")
-    columns = [c for c in ranked.columns]
+    ranked = cut(numbered(ranked.withColumn("id", F.struct((-F.col("score")).alias("s"), "source", "target"))).drop("id"), "ranked")
+    total, size = ranked.count(), pool * n_pairs
+    picked, start = None, 0
+    while start < total:
+        block = ranked.where((F.col("k") >= start) & (F.col("k") < start + size))
+        before = ranked.limit(0) if picked is None else picked
+        block = cut(before.union(block), "block")
+        found = cut(_greedy(graph, block, start, n_pairs, threshold), "picked")
+        if picked is not None:
+            drop(picked)
+        picked, start = found, start + size
+        if picked.count() >= n_pairs:
+            break
+    columns = [c for c in ranked.columns if c != "k"]
+    return (ranked.limit(0) if picked is None else picked).select(*columns)
+
+
+def _greedy(graph: PropertyGraph, block: DataFrame, start: int, n_pairs: int, threshold: float) -> DataFrame:
+    """Picks of a block in rank order ``k``; rows before ``start`` are picked already."""
+    pairs = block.select("k", "source", "target")
+    other = pairs.select(F.col("k").alias("j"), F.col("source").alias("s2"), F.col("target").alias("t2"))
+    ends = pairs.select(F.col("source").alias("id")).union(pairs.select(F.col("target").alias("id"))).distinct()
+    alike = cut(_alike(graph, ends, threshold), "alike")
+    same = alike.select(F.col("a").alias("source"), F.col("b").alias("s2"))
+    both = pairs.join(same, "source").join(other, "s2").where("j < k")
+    both = both.join(alike.select(F.col("a").alias("target"), F.col("b").alias("t2")), ["target", "t2"])
+    against = both.groupBy("k").agg(F.collect_set("j").alias("against"))
+    rows = block.join(against, "k", "left")
+    columns = block.columns
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "source", "target"], ascending=[False, True, True])
-        chosen: list[tuple[set, set]] = []
-        kept: list[int] = []
+        rows = rows.sort_values("k")
+        chosen: set[int] = set()
+        for k, against in zip(rows["k"], rows["against"], strict=True):
+            if k < start or (len(chosen) < n_pairs and (against is None or chosen.isdisjoint(against))):
+                chosen.add(k)
+        return rows[rows["k"].isin(chosen)][columns]
 
-        def like(a: set, b: set) -> bool:
-            union = len(a | b)
-            return union > 0 and len(a & b) / union >= threshold
+    return rows.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(pick, block.schema)
 
-        for i, (s, t) in enumerate(zip(rows["source_near"], rows["target_near"], strict=True)):
-            a, b = set(s if s is not None else ()), set(t if t is not None else ())
-            if not any(like(a, x) and like(b, y) for x, y in chosen):
-                chosen.append((a, b))
-                kept.append(i)
-                if len(kept) == n_pairs:
-                    break
-        return rows.iloc[kept][columns]
 
-    return top.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(pick, ranked.schema)
+def _alike(graph: PropertyGraph, ends: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), both ways round and with itself: ends whose neighbourhoods have a Jaccard of ``threshold`` or more."""
+    near = graph.arcs.select("src", "dst").distinct().join(ends.withColumnRenamed("id", "src"), "src")
+    near = cut(near, "ends")
+    size = near.groupBy("src").agg(F.count("*").alias("n"))
+    a, b = near.select(F.col("src").alias("a"), "dst"), near.select(F.col("src").alias("b"), "dst")
+    shared = a.join(b, "dst").groupBy("a", "b").agg(F.count("*").alias("c"))
+    sizes = size.select(F.col("src").alias("a"), F.col("n").alias("na")), size.select(F.col("src").alias("b"), F.col("n").alias("nb"))
+    known = shared.join(F.broadcast(sizes[0]), "a").join(F.broadcast(sizes[1]), "b")
+    return known.where(F.col("c") >= threshold * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
 
 
 def filled(graph: PropertyGraph, picked: DataFrame, n_pairs: int, seed: int) -> DataFrame:
@@ -174,6 +202,18 @@ def spine(graph: PropertyGraph, n_pairs: int = 100, seed: int = 42) -> DataFrame
     return filled(graph, diverse(graph, ranked, n_pairs), n_pairs, seed)
 
 
+def pair_distances(graph: PropertyGraph, pairs: DataFrame, most: int) -> DataFrame:
+    """(source, target, dist) of the pairs at most ``most`` steps apart, all sources at once.
+
+    Both ends search half the way, so a pair meets at the middle and no search goes further than ``most`` / 2.
+    """
+    out, back = (most + 1) // 2, most // 2
+    near = bfs(graph, pairs.select(F.col("source").alias("id")), out).select(F.col("start").alias("source"), "node", F.col("depth").alias("a"))
+    into = bfs(graph, pairs.select(F.col("target").alias("id")), back, "in").select(F.col("start").alias("target"), "node", F.col("depth").alias("b"))
+    met = pairs.select("source", "target").distinct().join(near, "source").join(into, ["target", "node"])
+    return met.groupBy("source", "target").agg(F.min(F.col("a") + F.col("b")).alias("dist"))
+
+
 def crisp(graph: PropertyGraph, n_pairs: int = 100, seed: int = 42, sample: int = 5000, low: int = 2, high: int = 4, common: int = 2) -> DataFrame:
     """Pairs at distance ``low`` to ``high`` with ``common`` shared neighbours; a relaxed pass (1 to 6) if too few."""
     graph = graph.settled()
@@ -192,9 +232,8 @@ def crisp(graph: PropertyGraph, n_pairs: int = 100, seed: int = 42, sample: int
     picked = diverse(graph, ranked, n_pairs)
     if cut(picked, "strict").count() < n_pairs:
         open_ = near.where("dist is null").select("source", "target")
-        far = bfs(graph, open_.select(F.col("source").alias("id")).distinct().limit(64), 6)
-        far = far.select(F.col("start").alias("source"), F.col("node").alias("target"), F.col("depth").alias("dist"))
-        wider = open_.join(far, ["source", "target"]).select("source", "target", F.lit(0).cast("long").alias("cn"), "dist")
+        far = pair_distances(graph, open_, 6)
+        wider = far.select("source", "target", F.lit(0).cast("long").alias("cn"), "dist")
         relaxed = near.where("dist is not null").union(wider).where("dist between 1 and 6")
         ranked = relaxed.select("source", "target", ((F.col("cn") + 0.1) * weight).alias("score"))
         picked = diverse(graph, ranked, n_pairs)
@@ -300,7 +339,7 @@ def _mixed(*parts: int) -> int:
 
 
 def degree_diverse(graph: PropertyGraph, n_pairs: int, seed: int) -> DataFrame:
-    """Half low with high degree, a quarter low with low, the rest high with high."""
+    """Half low with high degree, a quarter low with low, the rest high with high; missing ones from the middle."""
     values = graph.degrees().select("id", F.col("deg_both").cast("double").alias("value"))
     groups = _by_category(terciles(cut(values, "degrees")))
     shares = (("low", "high", n_pairs // 2), ("low", "low", n_pairs // 4), ("high", "high", n_pairs - n_pairs // 2 - n_pairs // 4))
@@ -309,9 +348,16 @@ def degree_diverse(graph: PropertyGraph, n_pairs: int, seed: int) -> DataFrame:
         if a in groups and b in groups and count:
             part = _unordered(draws(groups[a], groups[b], 3 * count, seed + i)).orderBy("draw").limit(count)
             out = part if out is None else out.union(part)
-    if out is None:
-        nodes = numbered(graph.nodes.select("id"))
-        out = _unordered(draws(nodes, nodes, 3 * n_pairs, seed)).limit(n_pairs)
+    none = graph.nodes.sparkSession.createDataFrame([], "source string, target string")
+    out = cut(none if out is None else out.select("source", "target"), "chosen")
+    short = n_pairs - out.count()
+    if short > 0:
+        rest = groups.get("mid")
+        rest = numbered(graph.nodes.select("id")) if rest is None or rest.limit(2).count() < 2 else rest
+        x, y = F.least("source", "target"), F.greatest("source", "target")
+        more = _unordered(draws(rest, rest, 3 * n_pairs, seed + 3)).withColumns({"x": x, "y": y})
+        more = more.join(out.select(x.alias("x"), y.alias("y")), ["x", "y"], "left_anti")
+        out = out.union(more.orderBy("draw").limit(short).select("source", "target"))
     return out.select("source", "target", F.lit(1.0).alias("score"))
 
 
@@ -358,24 +404,51 @@ COMPONENTS = {
     "max_distance": max_distance,
     "community_bridge": community_bridge,
 }
-#: Fixed values: (component, weight, blind) and bias of each ensemble.
+#: Fixed values: (component, weight, blind) in order, and bias of each ensemble.
 ENSEMBLES = {
-    "brisk": ((("stride", 1.0, True), ("crest", 1.0, True), ("spine", 0.95, True), ("degree_diverse", 0.6, True)), 0.1),
+    "brisk": (
+        (
+            ("stride", 1.0, True),
+            ("crest", 1.0, True),
+            ("spine", 0.95, True),
+            ("degree_diverse", 0.6, True),
+            ("grasp", 0.8, True),
+        ),
+        0.1,
+    ),
     "basil": (
-        (("stride", 1.0, True), ("crest", 1.0, True), ("spine", 0.95, True), ("degree_diverse", 0.6, True), ("grasp", 0.85, True), ("crisp", 0.25, False)),
+        (
+            ("stride", 1.0, True),
+            ("crest", 1.0, True),
+            ("spine", 0.95, True),
+            ("grasp", 0.85, True),
+            ("degree_diverse", 0.6, True),
+            ("crisp", 0.25, False),
+        ),
         0.2,
     ),
-    "prism": ((("spine", 0.9, True), ("grasp", 0.8, True), ("degree_diverse", 0.7, True), ("max_distance", 0.7, True), ("crisp", 0.8, False)), 0.1),
+    "prism": (
+        (
+            ("stride", 1.0, True),
+            ("crest", 1.0, True),
+            ("spine", 0.9, True),
+            ("grasp", 0.8, True),
+            ("degree_diverse", 0.7, True),
+            ("max_distance", 0.7, False),
+            ("crisp", 0.8, False),
+        ),
+        0.1,
+    ),
     "omnia": (
         (
             ("stride", 1.0, True),
             ("crest", 1.0, True),
-            ("spine", 0.95, True),
-            ("degree_diverse", 0.6, True),
-            ("grasp", 0.85, True),
-            ("max_distance", 0.9, True),
-            ("community_bridge", 0.9, False),
+            ("spine", 0.9, True),
+            ("grasp", 0.8, True),
+            ("degree_diverse", 0.7, True),
             ("crisp", 0.85, False),
+            ("max_distance", 0.9, False),
+            ("community_bridge", 0.9, False),
         ),
         0.05,
     ),
@@ -398,9 +471,14 @@ def votes(parts: list[tuple[str, float, bool, DataFrame]], bias: float) -> DataF
     return sums.select("source", "target", (F.col("v") * (1 + 0.05 * (F.col("support") - 1))).alias("score"), "support")
 
 
-def ensemble(graph: PropertyGraph, name: str, n_pairs: int = 100, seed: int = 42) -> DataFrame:
-    """(source, target, score) by brisk, basil, prism or omnia: votes, then picks that avoid overused nodes."""
+def ensemble(graph: PropertyGraph, name: str, n_pairs: int = 100, seed: int = 42, grasp_too: bool = True) -> DataFrame:
+    """(source, target, score) by brisk, basil, prism or omnia: votes, then picks that avoid overused nodes.
+
+    ``grasp_too`` is brisk's choice to have or leave out grasp.
+    """
     components, bias = ENSEMBLES[name]
+    if name == "brisk" and not grasp_too:
+        components = tuple(c for c in components if c[0] != "grasp")
     graph, wanted = graph.settled(), max(3 * n_pairs, 30)
     parts = [(c, w, blind, COMPONENTS[c](graph, wanted, seed + 97 * (i + 1))) for i, (c, w, blind) in enumerate(components)]
     ranked = votes(parts, bias).select("source", "target", "score")

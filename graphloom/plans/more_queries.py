@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import stats
 from graphloom.operators import dense, explore, linalg, metrics, ranking, seeds, traversal
-from graphloom.operators.neighbours import triangle_counts, type_entropy
-from graphloom.plans.queries import CLUSTERING, DIGITS, ENTROPY, query, rounded
+from graphloom.operators.neighbours import clustering, triangle_counts, type_entropy
+from graphloom.plans.queries import _MI, CLUSTERING, DIGITS, ENTROPY, FORMULAS, SCORED, _salience, query, rounded
 from graphloom.sources import PropertyGraph, table, trade_graph, trade_paths
 from graphloom.sources.tables import PATHS_SQL
 
@@ -201,22 +201,74 @@ def hub_deferral(spark, d):
     return metrics.hub_deferral_ratio(graph, graph.nodes.where("type <> 'customer'"))
 
 
-@query("salience_spread")
+@query(
+    "salience_spread",
+    f"""SELECT round(coalesce(var_samp(salience), 0), {DIGITS}) AS score_variance,
+  round(CASE WHEN stddev_pop(l) > 0 AND stddev_pop(salience) > 0 THEN covar_pop(l, salience) / (stddev_pop(l) * stddev_pop(salience)) ELSE 0 END, {DIGITS}) AS length_bias
+FROM (SELECT CAST(len(nodes) AS DOUBLE) AS l, salience FROM sal JOIN paths USING (path_id))""",
+    f"{SCORED}, {_salience('jaccard')}",
+)
 def salience_spread(spark, d):
-    found = metrics.score_spread(ranking.parse(trade_graph(spark, d), trade_paths(spark, d)))
+    found = metrics.score_spread(ranking.parse(trade_graph(spark, d).settled(), trade_paths(spark, d)))
     return rounded(found, "score_variance", "length_bias")
 
 
+@query(
+    "hub_penalty",
+    f"""SELECT round(coalesce(avg(salience) FILTER (WHERE d >= q), 0) / coalesce(avg(salience) FILTER (WHERE d < q), 0), {DIGITS}) AS ratio
+FROM (SELECT salience, d, (SELECT quantile_disc(d, 0.9) FROM deg) AS q FROM sal JOIN paths USING (path_id) JOIN deg ON id = nodes[1])""",
+    f"{SCORED}, {_salience('jaccard')}",
+)
+def hub_penalty(spark, d):
+    """Paths from the customers of the highest degrees over those from all others."""
+    graph = trade_graph(spark, d).settled()
+    degree = graph.degrees().select(F.col("id").alias("first"), F.col("out_deg").alias("d"))
+    top = degree.agg(F.expr("percentile_disc(0.9) within group (order by d)").alias("q"))
+    ranked = ranking.parse(graph, trade_paths(spark, d)).withColumn("first", F.get("nodes", F.lit(0)))
+    ranked = ranked.join(degree, "first").crossJoin(F.broadcast(top))
+    return rounded(metrics.mean_ratio(ranked, F.col("d") >= F.col("q"), F.col("d") < F.col("q")), "ratio")
+
+
+@query(
+    "path_mi",
+    f"SELECT path_id, round(CASE WHEN min(mi) > 0 THEN exp(avg(ln(mi))) ELSE 0 END, {DIGITS}) AS mi FROM (SELECT path_id, {FORMULAS['overlap']} AS mi FROM hop h {_MI}) GROUP BY path_id",
+    SCORED,
+)
+def path_mi(spark, d):
+    return rounded(metrics.path_mi(ranking.scored_hops(trade_graph(spark, d).settled(), trade_paths(spark, d), "overlap")), "mi")
+
+
+@query(
+    "rank_agreement",
+    f"""SELECT round((SELECT covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) FROM r), {DIGITS}) AS rho,
+  round((SELECT sum(CASE WHEN sign(x.d - y.d) = sign(x.c - y.c) THEN 1 ELSE -1 END) / count(*) FROM r x JOIN r y ON x.id < y.id), {DIGITS}) AS tau""",
+    CLUSTERING
+    + """, r AS MATERIALIZED (SELECT id, d, c, rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2.0 AS ra,
+  rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0 AS rb FROM (SELECT id, d, round(c, 9) AS c FROM cc JOIN deg USING (id)))""",
+)
+def rank_agreement(spark, d):
+    """Do degree and clustering order all nodes alike?"""
+    graph = trade_graph(spark, d).settled()
+    a = graph.degrees().select(F.col("id").alias("item"), F.col("out_deg").cast("double").alias("score"))
+    b = clustering(graph).select(F.col("id").alias("item"), F.round("clustering", 9).alias("score"))
+    return rounded(metrics.spearman(a, b).crossJoin(metrics.kendall(a, b)), "rho", "tau")
+
+
 @query(
     "components",
-    """SELECT id, min(other) AS component FROM r GROUP BY id""",
-    "r AS (SELECT id, id AS other FROM nodes UNION SELECT r.id, x.dst FROM r JOIN arcs x ON x.src = r.other WHERE x.type = 'part_of')",
+    "SELECT nodes.id, min(level_of.other) AS component FROM nodes LEFT JOIN level_of ON level_of.id = nodes.id GROUP BY nodes.id",
+    """hop1 AS MATERIALIZED (SELECT id, least(id, coalesce(min(dst), id)) AS m FROM nodes LEFT JOIN arcs ON src = id GROUP BY id), """
+    + ", ".join(
+        f"hop{k} AS MATERIALIZED (SELECT a.id, least(any_value(a.m), coalesce(min(b.m), any_value(a.m))) AS m FROM hop{k - 1} a "
+        f"LEFT JOIN arcs ON src = a.id LEFT JOIN hop{k - 1} b ON b.id = dst GROUP BY a.id)"
+        for k in range(2, 13)
+    )
+    + ", level_of AS (SELECT id, m AS other FROM hop12)",
 )
 def components(spark, d):
     from graphloom.plans.components import connected_components
 
-    graph = trade_graph(spark, d)
-    fixed = graph.edges.where("type = 'part_of'").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    found = connected_components(fixed)
+    graph = trade_graph(spark, d).settled()
+    found = connected_components(graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     joined = graph.nodes.select("id").join(found, F.col("id") == F.col("node"), "left")
     return joined.select("id", F.coalesce("component", "id").alias("component"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import extract, linalg, neighbours, ranking, similarity, traversal
-from graphloom.sources import directed_trade_graph, trade_graph, trade_paths
+from graphloom.sources import directed_trade_graph, table, trade_graph, trade_paths
 from graphloom.sources.tables import GRAPH_SQL, PATHS_SQL
 
 QUERIES: dict = {}
@@ -30,9 +30,9 @@ def rounded(df: DataFrame, *columns: str, digits: int = DIGITS) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def located(graph) -> DataFrame:
-    """The pairs of all located_in edges."""
-    return graph.edges.where("type = 'located_in'").select(F.col("src").alias("u"), F.col("dst").alias("v"))
+def linked(graph) -> DataFrame:
+    """The pairs of all edges."""
+    return graph.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
 
 
 @query("degree", "SELECT id, d AS out_deg, d AS in_deg, d AS deg_both, d AS n_both FROM deg")
@@ -54,6 +54,20 @@ def neighbours_both(spark, d):
     return directed_trade_graph(spark, d).neighbours("both")
 
 
+@query("neighbours_in", "SELECT b AS src, a AS dst FROM links")
+def neighbours_in(spark, d):
+    return directed_trade_graph(spark, d).neighbours("in")
+
+
+@query(
+    "node_lookup",
+    "SELECT k.id, n.type, CASE WHEN n.id IS NULL THEN NULL ELSE CAST(1 AS DOUBLE) END AS weight, n.id IS NOT NULL AS found FROM (SELECT 'S:' || c_custkey AS id FROM customer) k LEFT JOIN nodes n ON n.id = k.id",
+)
+def node_lookup(spark, d):
+    keys = table(spark, d, "customer").select(F.concat(F.lit("S:"), F.col("c_custkey").cast("string")).alias("id"))
+    return trade_graph(spark, d).lookup_nodes(keys)
+
+
 @query("density", "SELECT n, m, 2.0 * m / (n * (n - 1)) AS density FROM (SELECT count(*) AS n FROM nodes), (SELECT count(*) AS m FROM edges)")
 def density(spark, d):
     return trade_graph(spark, d).density()
@@ -101,7 +115,7 @@ def csr(spark, d):
 
 # --- similarity -------------------------------------------------------------------------------------------------
 
-PAIRS = """pr AS MATERIALIZED (SELECT src AS u, dst AS v, type AS etype FROM edges WHERE {where}),
+PAIRS = """pr AS MATERIALIZED (SELECT src AS u, dst AS v, type AS etype FROM edges),
 com AS MATERIALIZED (
   SELECT p.u, p.v, count(*) AS shared, sum(1 / ln(w.d + 1)) AS aa, sum(1.0 / w.d) AS ra
   FROM pr p JOIN arcs x ON x.src = p.u JOIN arcs y ON y.src = p.v AND y.dst = x.dst JOIN deg w ON w.id = x.dst
@@ -113,7 +127,6 @@ com AS MATERIALIZED (
       THEN coalesce(c.shared, 0) / (a.d + b.d - 2 - coalesce(c.shared, 0)) ELSE 0 END AS j
   FROM pr p JOIN deg a ON a.id = p.u JOIN deg b ON b.id = p.v LEFT JOIN com c ON c.u = p.u AND c.v = p.v
 ), g AS (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS m)"""
-LOCATED = PAIRS.format(where="type = 'located_in'")
 CLUSTERING = """tri AS MATERIALIZED (
   SELECT x.src AS a, x.dst AS b, y.dst AS c FROM edges x JOIN edges y ON y.src = x.dst
   JOIN edges z ON z.src = x.src AND z.dst = y.dst
@@ -149,10 +162,10 @@ def _similarity(variant: str):
     more = {"span": ", " + CLUSTERING, "notch": _TYPES}.get(variant, "")
     sql = f"SELECT u, v, round({FORMULAS[variant]}, {DIGITS}) AS {variant} FROM f, g"
 
-    @query(variant, sql, LOCATED + more)
+    @query(variant, sql, PAIRS + more)
     def run(spark, d):
-        graph = trade_graph(spark, d)
-        return rounded(similarity.pair_similarity(graph, located(graph), (variant,)), variant)
+        graph = trade_graph(spark, d).settled()
+        return rounded(similarity.pair_similarity(graph, linked(graph), (variant,)), variant)
 
     return run
 
@@ -166,11 +179,11 @@ for _variant in similarity.VARIANTS:
     f"""SELECT u, v, s AS shared, du AS a, dv AS b, round(s / (du + dv - s), {DIGITS}) AS jaccard,
   round(s / sqrt(du * dv), {DIGITS}) AS cosine, round(2.0 * s / (du + dv), {DIGITS}) AS dice,
   round(s / least(du, dv), {DIGITS}) AS overlap FROM (SELECT *, shared AS s FROM f)""",
-    LOCATED,
+    PAIRS,
 )
 def batch_similarity(spark, d):
-    graph = trade_graph(spark, d)
-    return rounded(similarity.batch_similarity(graph, located(graph)), "jaccard", "cosine", "dice", "overlap")
+    graph = trade_graph(spark, d).settled()
+    return rounded(similarity.batch_similarity(graph, linked(graph)), "jaccard", "cosine", "dice", "overlap")
 
 
 # --- neighbourhoods ---------------------------------------------------------------------------------------------
@@ -178,12 +191,12 @@ def batch_similarity(spark, d):
 
 @query("triangles", "SELECT id, t AS triangles FROM tc", CLUSTERING)
 def triangle_counts(spark, d):
-    return neighbours.triangle_counts(trade_graph(spark, d))
+    return neighbours.triangle_counts(trade_graph(spark, d).settled())
 
 
 @query("clustering", f"SELECT id, round(c, {DIGITS}) AS clustering FROM cc", CLUSTERING)
 def clustering(spark, d):
-    return rounded(neighbours.clustering(trade_graph(spark, d)), "clustering")
+    return rounded(neighbours.clustering(trade_graph(spark, d).settled()), "clustering")
 
 
 @query(
@@ -197,7 +210,7 @@ p AS MATERIALIZED (
 )""",
 )
 def approximate_clustering(spark, d):
-    return rounded(neighbours.approximate_clustering(trade_graph(spark, d)), "clustering")
+    return rounded(neighbours.approximate_clustering(trade_graph(spark, d).settled()), "clustering")
 
 
 @query(
@@ -208,7 +221,7 @@ LEFT JOIN (SELECT x.a AS ta, count(*) AS t FROM links x JOIN links y ON x.a = y.
   JOIN links z ON z.a = x.b AND z.b = y.b GROUP BY x.a) ON ta = id""",
 )
 def local_density(spark, d):
-    return rounded(neighbours.local_density(directed_trade_graph(spark, d)), "density")
+    return rounded(neighbours.local_density(directed_trade_graph(spark, d).settled()), "density")
 
 
 ENTROPY = """tk AS MATERIALIZED (
@@ -222,7 +235,7 @@ ENTROPY = """tk AS MATERIALIZED (
 
 @query("type_entropy", f"SELECT id, round(h, {DIGITS}) AS entropy FROM ent", ENTROPY)
 def type_entropy(spark, d):
-    return rounded(neighbours.type_entropy(trade_graph(spark, d)), "entropy")
+    return rounded(neighbours.type_entropy(trade_graph(spark, d).settled()), "entropy")
 
 
 # --- ranking ----------------------------------------------------------------------------------------------------
@@ -230,8 +243,7 @@ def type_entropy(spark, d):
 HOPS = """hop AS MATERIALIZED (
   SELECT path_id, nodes[i] AS u, nodes[i + 1] AS v FROM (SELECT *, unnest([1, 2, 3]) AS i FROM paths)
 )"""
-ALL_PAIRS = PAIRS.format(where="true")
-SCORED = f"{PATHS_SQL}, {HOPS}, {ALL_PAIRS}"
+SCORED = f"{PATHS_SQL}, {HOPS}, {PAIRS}"
 _MI = "JOIN f ON f.u = least(h.u, h.v) AND f.v = greatest(h.u, h.v), g"
 
 
@@ -249,7 +261,7 @@ for _variant in ("jaccard", "scale"):
         f"{SCORED}, {_salience(_variant)}",
     )
     def _parse(spark, d, variant=_variant):
-        found = ranking.parse(trade_graph(spark, d), trade_paths(spark, d), variant)
+        found = ranking.parse(trade_graph(spark, d).settled(), trade_paths(spark, d), variant)
         return rounded(found.select("path_id", "salience"), "salience")
 
 
@@ -261,12 +273,12 @@ for _variant in ("jaccard", "scale"):
     f"{SCORED}, {_salience('jaccard')}",
 )
 def parse_stats(spark, d):
-    stats = ranking.parse_stats(ranking.parse(trade_graph(spark, d), trade_paths(spark, d)))
+    stats = ranking.parse_stats(ranking.parse(trade_graph(spark, d).settled(), trade_paths(spark, d)))
     return rounded(stats, *(c for c in stats.columns if c != "paths_ranked"))
 
 
-def _baseline(name: str, score: str | None, ctes: str = SCORED, digits: int = DIGITS) -> None:
-    """A baseline's normalised scores; ``score`` is a query of (path_id, s)."""
+def _baseline(name: str, score: str | None, ctes: str = SCORED, digits: int = DIGITS, options=lambda graph: {}) -> None:
+    """A baseline's normalised scores; ``score`` is a query of (path_id, s), ``options`` what the measure is given."""
     sql = score and (
         f"SELECT path_id, round(CASE WHEN max(s) OVER () > 0 THEN s / max(s) OVER () ELSE 0 END, {digits}) AS score FROM ({score})"
     )
@@ -274,7 +286,8 @@ def _baseline(name: str, score: str | None, ctes: str = SCORED, digits: int = DI
     @query(f"rank_{name}", sql, ctes)
     def run(spark, d):
         graph = trade_graph(spark, d).settled()
-        return rounded(ranking.rank(graph, trade_paths(spark, d), name).select("path_id", "score"), "score", digits=digits)
+        found = ranking.rank(graph, trade_paths(spark, d), name, **options(graph))
+        return rounded(found.select("path_id", "score"), "score", digits=digits)
 
 
 _JACCARD = FORMULAS["jaccard"]
@@ -327,6 +340,19 @@ def pagerank_10(spark, d):
     return rounded(linalg.pagerank(trade_graph(spark, d), iterations=10, tolerance=None), "rank", digits=12)
 
 
+@query("pagerank_20", "SELECT id, round(r, 12) AS rank FROM r20", _pagerank_sql(20))
+def pagerank_20(spark, d):
+    return rounded(linalg.pagerank(trade_graph(spark, d), iterations=20, tolerance=None), "rank", digits=12)
+
+
+_baseline(
+    "pagerank",
+    "SELECT path_id, sum(r) AS s FROM (SELECT path_id, unnest(nodes) AS id FROM paths) JOIN r20 USING (id) GROUP BY 1",
+    f"{PATHS_SQL}, {_pagerank_sql(20)}",
+    options=lambda graph: {"iterations": 20, "tolerance": None},
+)
+
+
 @query("spmv", "SELECT id, coalesce(sum(weight * d), 0) AS y FROM nodes LEFT JOIN (SELECT src, weight, d FROM arcs JOIN deg ON deg.id = dst) ON src = nodes.id GROUP BY nodes.id")
 def spmv(spark, d):
     graph = trade_graph(spark, d)
@@ -360,7 +386,26 @@ def ego(spark, d):
     return traversal.ego_network(trade_graph(spark, d), "R:0", 2).edges.select("src", "dst", "type")
 
 
-@query("dfs")
+DFS = """t AS MATERIALIZED (
+  SELECT a AS start, b AS s, row_number() OVER (PARTITION BY a ORDER BY b) AS i FROM links WHERE type = 'trades'
+), home AS MATERIALIZED (
+  SELECT x.a AS id, x.b AS n, y.b AS r FROM links x JOIN links y ON y.a = x.b WHERE x.type = 'located_in'
+), away AS MATERIALIZED (
+  SELECT t.start, t.i, t.s, h.n, h.r FROM t JOIN home h ON h.id = t.s JOIN home o ON o.id = t.start WHERE h.n <> o.n
+  QUALIFY row_number() OVER (PARTITION BY t.start, h.n ORDER BY t.i) = 1
+), far AS MATERIALIZED (
+  SELECT a.* FROM away a JOIN home o ON o.id = a.start WHERE a.r <> o.r QUALIFY row_number() OVER (PARTITION BY a.start, a.r ORDER BY a.i) = 1
+), v AS (
+  SELECT id AS start, 0 AS i, 0 AS j, id AS node, 0 AS depth, NULL AS parent FROM nodes WHERE type = 'customer'
+  UNION ALL SELECT id, 0, 1, n, 1, id FROM home WHERE id LIKE 'C:%'
+  UNION ALL SELECT id, 0, 2, r, 2, n FROM home WHERE id LIKE 'C:%'
+  UNION ALL SELECT start, i, 0, s, 1, start FROM t
+  UNION ALL SELECT start, i, 1, n, 2, s FROM away
+  UNION ALL SELECT start, i, 2, r, 3, n FROM far
+)"""
+
+
+@query("dfs", "SELECT start, CAST(row_number() OVER (PARTITION BY start ORDER BY i, j) - 1 AS INTEGER) AS step, node, depth, parent FROM v", DFS)
 def dfs(spark, d):
     graph = directed_trade_graph(spark, d)
     return traversal.dfs(graph, graph.nodes.where("type = 'customer'"))
@@ -391,9 +436,9 @@ def _core_sql(k: int, rounds: int) -> str:
     return ", ".join(out)
 
 
-@query("kcore", "SELECT a AS src, b AS dst FROM k40", _core_sql(5, 40))
+@query("kcore", "SELECT a AS src, b AS dst FROM k40", _core_sql(33, 40))
 def kcore(spark, d):
-    return extract.k_core(trade_graph(spark, d), 5).edges.select("src", "dst")
+    return extract.k_core(trade_graph(spark, d), 33).edges.select("src", "dst")
 
 
 @query(
@@ -402,7 +447,7 @@ def kcore(spark, d):
     CLUSTERING + ", sides AS MATERIALIZED (SELECT a, b FROM tri UNION ALL SELECT b, c FROM tri UNION ALL SELECT a, c FROM tri)",
 )
 def edge_triangles(spark, d):
-    return extract.edge_triangles(trade_graph(spark, d))
+    return extract.edge_triangles(trade_graph(spark, d).settled())
 
 
 def _truss_sql(k: int, rounds: int) -> str:
@@ -422,7 +467,28 @@ def ktruss(spark, d):
     return extract.k_truss(trade_graph(spark, d), 3).edges.select("src", "dst")
 
 
-@query("truss_numbers")
+def _truss_numbers_sql(most: int, rounds: int) -> str:
+    """CTEs s3..s{most}: the edges of each truss, every one peeled out of the one before."""
+    out, before = [], "edges"
+    for k in range(3, most + 1):
+        for i in range(rounds):
+            name = f"s{k}" if i == rounds - 1 else f"s{k}_{i}"
+            out.append(
+                f"""{name} AS MATERIALIZED (WITH t AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM {before} x JOIN {before} y ON y.src = x.dst
+  JOIN {before} z ON z.src = x.src AND z.dst = y.dst), e AS (SELECT a, b FROM t UNION ALL SELECT b, c FROM t UNION ALL SELECT a, c FROM t)
+  SELECT a AS src, b AS dst FROM e GROUP BY a, b HAVING count(*) >= {k - 2})"""
+            )
+            before = name
+    return ", ".join(out)
+
+
+@query(
+    "truss_numbers",
+    "SELECT a, b, CAST(max(k) AS INTEGER) AS truss FROM (SELECT src AS a, dst AS b, 2 AS k FROM edges "
+    + " ".join(f"UNION ALL SELECT src, dst, {k} FROM s{k}" for k in range(3, 7))
+    + ") GROUP BY a, b",
+    _truss_numbers_sql(6, 6),
+)
 def truss_numbers(spark, d):
     return extract.truss_numbers(trade_graph(spark, d))
 
@@ -430,7 +496,7 @@ def truss_numbers(spark, d):
 @query(
     "motif3",
     """SELECT pattern, name, CAST(c AS BIGINT) AS count FROM (
-  SELECT unnest(['', '0-1', '0-1,0-2', '0-1,0-2,1-2']) AS pattern, unnest(['empty-3', '1-edge', '2-star', 'triangle']) AS name,
+  SELECT unnest(['', '0-1', '0-1,0-2', '0-1,0-2,1-2']) AS pattern, unnest(['empty', '1-edge', '2-star', 'triangle']) AS name,
     unnest([n * (n - 1) * (n - 2) // 6 - (m * (n - 2) - 2 * (w - 3 * t) - 3 * t) - (w - 3 * t) - t,
       m * (n - 2) - 2 * (w - 3 * t) - 3 * t, w - 3 * t, t]) AS c
   FROM (SELECT (SELECT count(*) FROM nodes)::HUGEINT AS n, (SELECT count(*) FROM edges)::HUGEINT AS m,
@@ -441,17 +507,100 @@ def motif3(spark, d):
     return extract.motif_census(trade_graph(spark, d), 3)
 
 
-@query("motif4")
+#: Subgraphs of each connected shape, induced or not, then the induced ones.
+MOTIF4 = (
+    CLUSTERING
+    + """, support AS MATERIALIZED (
+  SELECT a, b, count(*) AS s FROM (SELECT a, b FROM tri UNION ALL SELECT b, c FROM tri UNION ALL SELECT a, c FROM tri) GROUP BY a, b
+), ends2 AS MATERIALIZED (
+  SELECT x.dst AS u, y.dst AS w, count(*) AS c FROM arcs x JOIN arcs y ON y.src = x.src AND x.dst < y.dst GROUP BY ALL
+), raw AS (SELECT
+  (SELECT count(*) FROM nodes)::HUGEINT AS n, (SELECT count(*) FROM edges)::HUGEINT AS m, (SELECT count(*) FROM tri)::HUGEINT AS t,
+  (SELECT sum(d * (d - 1) // 2) FROM deg)::HUGEINT AS w, (SELECT sum(d::HUGEINT * (d - 1) * (d - 2) // 6) FROM deg) AS claws,
+  (SELECT sum((a.d - 1) * (b.d - 1)) FROM edges JOIN deg a ON a.id = src JOIN deg b ON b.id = dst)::HUGEINT AS p,
+  (SELECT sum(d - 2) FROM (SELECT unnest([a, b, c]) AS id FROM tri) JOIN deg USING (id))::HUGEINT AS paws,
+  (SELECT coalesce(sum(s * (s - 1) // 2), 0) FROM support)::HUGEINT AS dias,
+  (SELECT sum(c * (c - 1) // 2) // 2 FROM ends2)::HUGEINT AS cycles,
+  (SELECT count(*) FROM tri x JOIN tri y ON y.a = x.a AND y.b = x.b AND x.c < y.c JOIN edges e ON e.src = x.c AND e.dst = y.c)::HUGEINT AS k4
+), q1 AS (SELECT *, dias - 6 * k4 AS dia FROM raw),
+q2 AS (SELECT *, cycles - dia - 3 * k4 AS cyc, paws - 4 * dia - 12 * k4 AS paw FROM q1),
+q3 AS (SELECT *, p - 3 * t - 4 * cyc - 2 * paw - 6 * dia - 12 * k4 AS path, claws - paw - 2 * dia - 4 * k4 AS claw,
+  t * (n - 3) - paw - 2 * dia - 4 * k4 AS t4 FROM q2),
+q4 AS (SELECT *, m * (m - 1) // 2 - w - path - 2 * cyc - paw - 2 * dia - 3 * k4 AS mat,
+  w * (n - 3) - 3 * t4 - 3 * claw - 2 * path - 5 * paw - 4 * cyc - 8 * dia - 12 * k4 AS star FROM q3),
+q5 AS (SELECT *, m * (n - 2) * (n - 3) // 2 - 2 * star - 2 * mat - 3 * (t4 + claw + path) - 4 * (paw + cyc) - 5 * dia - 6 * k4 AS one FROM q4),
+q6 AS (SELECT *, n * (n - 1) * (n - 2) * (n - 3) // 24 - star - mat - t4 - claw - path - paw - cyc - dia - k4 - one AS none FROM q5)"""
+)
+
+
+@query(
+    "motif4",
+    """SELECT pattern, name, CAST(c AS BIGINT) AS count FROM (SELECT
+  unnest(['', '0-1', '0-1,0-2', '0-1,2-3', '0-1,0-2,1-2', '0-1,0-2,0-3', '0-1,0-2,1-3', '0-1,0-2,0-3,1-2', '0-1,0-2,1-3,2-3',
+    '0-1,0-2,0-3,1-2,1-3', '0-1,0-2,0-3,1-2,1-3,2-3']) AS pattern,
+  unnest(['empty', '1-edge', '2-star', 'matching', 'triangle', '3-star', 'path-4', 'paw', '4-cycle', 'diamond', 'K4']) AS name,
+  unnest([none, one, star, mat, t4, claw, path, paw, cyc, dia, k4]) AS c FROM q6) WHERE c <> 0""",
+    MOTIF4,
+)
 def motif4(spark, d):
     return extract.motif_census(trade_graph(spark, d), 4)
 
 
-@query("betweenness")
+def _betweenness_sql(kind: str, depth: int) -> str:
+    """CTE bt (id, b) from all nodes of a type; v0..: shortest path counts by level, d0..: what hangs on them."""
+    out = [f"v0 AS MATERIALIZED (SELECT id AS s, id AS node, CAST(1 AS DOUBLE) AS sigma FROM nodes WHERE type = '{kind}')"]
+    for k in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT s, node FROM v{i}" for i in range(k))
+        out.append(
+            f"""v{k} AS MATERIALIZED (SELECT x.s, x.dst AS node, x.sigma FROM (
+  SELECT s, dst, sum(sigma) AS sigma FROM v{k - 1} JOIN arcs ON src = node GROUP BY ALL) x ANTI JOIN ({seen}) y ON y.s = x.s AND y.node = x.dst)"""
+        )
+    out.append(f"d{depth} AS (SELECT s, node, sigma, CAST(0 AS DOUBLE) AS delta FROM v{depth})")
+    for k in range(depth - 1, -1, -1):
+        out.append(
+            f"""d{k} AS MATERIALIZED (SELECT v.s, v.node, v.sigma, coalesce(sum(v.sigma / w.sigma * (1 + w.delta)), 0) AS delta
+  FROM v{k} v LEFT JOIN (SELECT d.s, d.sigma, d.delta, src FROM d{k + 1} d JOIN arcs ON dst = d.node) w ON w.s = v.s AND w.src = v.node GROUP BY ALL)"""
+        )
+    each = " UNION ALL ".join(f"SELECT node, delta FROM d{k} WHERE s <> node" for k in range(depth + 1))
+    out.append(f"bt AS MATERIALIZED (SELECT id, coalesce(sum(delta), 0) AS b FROM nodes LEFT JOIN ({each}) ON node = id GROUP BY id)")
+    return ", ".join(out)
+
+
+BETWEENNESS = _betweenness_sql("region", 7)
+
+
+@query("betweenness", "SELECT id, round(b, 6) AS betweenness FROM bt", BETWEENNESS)
 def betweenness(spark, d):
+    """From the regions; all sources make a row per source and node."""
     graph = trade_graph(spark, d)
     return rounded(linalg.betweenness(graph, graph.nodes.where("type = 'region'")), "betweenness", digits=6)
 
 
-@query("label_propagation")
+_baseline(
+    "betweenness",
+    "SELECT path_id, sum(b) AS s FROM (SELECT path_id, unnest(nodes) AS id FROM paths) JOIN bt USING (id) GROUP BY 1",
+    f"{PATHS_SQL}, {BETWEENNESS}",
+    digits=6,
+    options=lambda graph: {"sources": graph.nodes.where("type = 'region'")},
+)
+
+
+def _labels_sql(rounds: int) -> str:
+    out = ["l0 AS MATERIALIZED (SELECT id, id AS label FROM nodes)"]
+    for k in range(1, rounds + 1):
+        out.append(
+            f"""l{k} AS MATERIALIZED (SELECT o.id, coalesce(t.label, o.label) AS label FROM l{k - 1} o LEFT JOIN (
+  SELECT src, label FROM (SELECT src, label, count(*) AS n FROM arcs JOIN l{k - 1} ON id = dst GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, label) = 1) t ON t.src = o.id)"""
+        )
+    return ", ".join(out)
+
+
+@query(
+    "label_propagation",
+    """SELECT c.id, CASE WHEN (SELECT count(*) FROM l30 x JOIN l28 y ON y.id = x.id AND y.label <> x.label) = 0
+  THEN least(b.label, c.label) ELSE c.label END AS label FROM l29 b JOIN l30 c ON c.id = b.id""",
+    _labels_sql(30),
+)
 def label_propagation(spark, d):
     return linalg.label_propagation(trade_graph(spark, d))

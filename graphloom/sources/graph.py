@@ -107,6 +107,11 @@ class PropertyGraph:
         ids = ids.select("id", zero("out_deg"), zero("in_deg"), zero("n_both"))
         return ids.select("id", "out_deg", "in_deg", (F.col("out_deg") + F.col("in_deg")).alias("deg_both"), "n_both")
 
+    def lookup_nodes(self, ids: DataFrame) -> DataFrame:
+        """``ids`` (id) with ``found`` and the type and weight of their node, null where there is none."""
+        own = self.nodes.select("id", "type", "weight", F.lit(True).alias("found"))
+        return ids.select("id").join(own, "id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
     def counts(self) -> DataFrame:
         """One row: n nodes, m edges."""
         return self.nodes.agg(F.count("*").alias("n")).crossJoin(self.edges.agg(F.count("*").alias("m")))

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from graphloom.sources.graph import PropertyGraph
 
-#: Lines of at least this quantity make a trade.
-TRADE_QUANTITY = 45
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,7 +35,7 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Downward links: customer to supplier, customer and supplier to nation, nation to region."""
     read = lambda name: table(spark, sf_dir, name)
-    lines = read("lineitem").where(F.col("l_quantity") >= TRADE_QUANTITY).select("l_orderkey", "l_suppkey")
+    lines = read("lineitem").select("l_orderkey", "l_suppkey")
     sold = lines.join(read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     trades = sold.groupBy("o_custkey", "l_suppkey").agg(F.count("*").cast("double").alias("weight"))
 
@@ -86,7 +83,7 @@ def trade_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same graph in SQL: CTEs nodes, edges, arcs and deg.
-GRAPH_SQL = f"""nodes AS (
+GRAPH_SQL = """nodes AS (
   SELECT 'R:' || r_regionkey AS id, 'region' AS type FROM region
   UNION ALL SELECT 'N:' || n_nationkey, 'nation' FROM nation
   UNION ALL SELECT 'C:' || c_custkey, 'customer' FROM customer
@@ -96,7 +93,7 @@ GRAPH_SQL = f"""nodes AS (
   UNION ALL SELECT 'C:' || c_custkey, 'N:' || c_nationkey, 'located_in', 1 FROM customer
   UNION ALL SELECT 'S:' || s_suppkey, 'N:' || s_nationkey, 'located_in', 1 FROM supplier
   UNION ALL SELECT 'C:' || o_custkey, 'S:' || l_suppkey, 'trades', count(*)
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= {TRADE_QUANTITY} GROUP BY 1, 2
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2
 ), edges AS MATERIALIZED (
   SELECT least(a, b) AS src, greatest(a, b) AS dst, type, weight FROM links
 ), arcs AS MATERIALIZED (
