@@ -1,30 +1,34 @@
 """Multi-seed exploration: several frontiers grow towards each other in priority order and meet in paths.
 
-The global priority order makes one exploration sequential, so it is one task; seed sets run in parallel. The graph
-reaches the tasks as a broadcast of index arrays while it has at most ``MAX_ARCS`` arcs; beyond, pass ``radius`` and
-every seed set gets only the part of the graph within that many steps of its seeds, by joins.
+One exploration visits one node at a time, the best of all its frontiers' candidates. All seed sets advance together, a
+visit each per round, and every part of a round is a join or an aggregation: the best candidate of a set is a minimum,
+neighbours come from an equi-join with the arcs, meetings from a join of the visit with earlier visits of the same node,
+and priorities are columns made from degrees, from counts over earlier visits, or from pair similarities. No graph, no
+neighbourhood and no seed set is gathered in a task or on the driver. Rounds are written to the shared folder.
+
+The number of rounds is that of the visits of the longest exploration, so the limits of ``Config`` are what an
+exploration costs: it is a sampling operator with a budget. Without limits it ends when everything in reach is visited.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.neighbours import local_density, type_entropy
-from graphloom.operators.traversal import bfs
+from graphloom.operators.similarity import pair_similarity
 from graphloom.plans.lineage import cut
 from graphloom.sources.graph import PropertyGraph
 
-MAX_ARCS = 20_000_000
-EPSILON = 1e-10
+#: Decimal places to which priorities are compared.
+DIGITS = 9
+#: Rounds whose written tables are merged into one.
+MERGED = 16
+#: Rounds after which it is looked whether any exploration still goes on.
+LOOKED = 8
 
 
 @dataclass(frozen=True)
@@ -39,289 +43,250 @@ class Config:
     mi_threshold: float = 0.25
     density_threshold: float = 0.5
     bridge_threshold: float = 0.3
+    #: maze counts the nodes of a set's first paths twice, as the surveyed implementation does.
+    compat: bool = False
 
 
-class Local:
-    """A graph in arrays: neighbours ascending, entropies and densities per node."""
+class Log:
+    """A growing table: parts written round by round, merged now and then."""
 
-    def __init__(self, ids: list[str], near: list[np.ndarray], entropy: np.ndarray, density: np.ndarray) -> None:
-        self.ids, self.near, self.entropy, self.density = ids, near, entropy, density
-        self.at = {v: i for i, v in enumerate(ids)}
-        self.sets: dict[int, frozenset[int]] = {}
+    def __init__(self, first: DataFrame, label: str) -> None:
+        self.label, self.parts = label, [first]
 
-    def neighbours(self, i: int) -> np.ndarray:
-        return self.near[i] if i < len(self.near) else np.zeros(0, np.int64)
+    def add(self, rows: DataFrame) -> None:
+        self.parts.append(rows)
+        if len(self.parts) > MERGED:
+            self.parts = [cut(self.rows, self.label)]
 
-    def degree(self, i: int) -> int:
-        return len(self.neighbours(i))
-
-    def members(self, i: int) -> frozenset[int]:
-        if i not in self.sets:
-            self.sets[i] = frozenset(self.neighbours(i).tolist())
-        return self.sets[i]
-
-    def jaccard(self, i: int, j: int) -> float:
-        a, b = self.members(i) - {j}, self.members(j) - {i}
-        union = len(a | b)
-        return max(EPSILON, len(a & b) / union) if union else 0.0
+    @property
+    def rows(self) -> DataFrame:
+        out = self.parts[0]
+        for p in self.parts[1:]:
+            out = out.unionByName(p)
+        return out
 
 
 @dataclass
 class State:
-    """What a priority may look at while it ranks a node for a frontier."""
+    """What a priority may look at while it ranks candidates.
+
+    ``visits``: (seed_set_id, f, node, parent, chain, turn). ``marks``: (seed_set_id, node, f, turn), every visit and
+    every seed; the latest of a node tells who holds it.
+    """
 
-    graph: Local
+    graph: PropertyGraph
+    arcs: DataFrame
+    features: DataFrame
     config: Config
-    frontier: int = 0
-    iteration: int = 0
-    last: dict[int, int] = field(default_factory=dict)
-    paths: list[tuple[int, int, list[int]]] = field(default_factory=list)
-    salience: dict[int, int] = field(default_factory=dict)
-    holding: dict[int, int] = field(default_factory=dict)
-    likeness: dict[tuple[int, int], float] = field(default_factory=dict)
+    visits: Log
+    marks: Log
+    likeness: Log | None = field(default=None)
+
+    @property
+    def paths(self) -> DataFrame:
+        """(seed_set_id, turn, a, b, nodes): every visit of a node that another frontier visited before."""
+        visits = self.visits.rows
+        before = visits.select("seed_set_id", "node", F.col("f").alias("b"), F.col("chain").alias("tail"), F.col("turn").alias("earlier"))
+        met = visits.join(before, ["seed_set_id", "node"]).where("b <> f and earlier < turn")
+        joined = F.concat("chain", F.slice(F.reverse("tail"), F.lit(2), F.size("tail")))
+        return met.select("seed_set_id", "turn", F.col("f").alias("a"), "b", joined.alias("nodes"))
+
+    def holders(self) -> DataFrame:
+        """(seed_set_id, node, holder): the frontier that visited each node last."""
+        last = self.marks.rows.groupBy("seed_set_id", "node").agg(F.max(F.struct("turn", "f")).alias("m"))
+        return last.select("seed_set_id", "node", F.col("m.f").alias("holder"))
 
-    def add_path(self, a: int, b: int, nodes: list[int]) -> None:
-        self.paths.append((a, b, nodes))
-        for n in nodes:
-            self.salience[n] = self.salience.get(n, 0) + 1
-        for n in set(nodes):
-            self.holding[n] = self.holding.get(n, 0) + 1
+    def bridge(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``bridge``: neighbours that another frontier visited last."""
+        near = rows.select("seed_set_id", "f", "node").join(self.arcs, F.col("node") == F.col("src"))
+        near = near.select("seed_set_id", "f", F.col("node").alias("at"), F.col("dst").alias("node"))
+        found = near.join(self.holders(), ["seed_set_id", "node"]).where("holder <> f")
+        found = found.groupBy("seed_set_id", "f", F.col("at").alias("node")).agg(F.count("*").alias("bridge"))
+        return _with_count(rows, found, ["seed_set_id", "f", "node"], "bridge")
 
-    def like(self, a: int, b: int) -> float:
-        key = (min(a, b), max(a, b))
-        if key not in self.likeness:
-            self.likeness[key] = self.graph.jaccard(a, b)
-        return self.likeness[key]
+    def salience(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``salience`` (occurrences on paths), ``holding`` (paths with the node) and ``paths`` of the set."""
+        paths = self.paths
+        counted = paths
+        if self.config.compat:
+            first = paths.groupBy("seed_set_id").agg(F.min("turn").alias("turn"))
+            counted = paths.unionByName(paths.join(first, ["seed_set_id", "turn"], "left_semi"))
+        each = counted.select("seed_set_id", F.explode("nodes").alias("node"))
+        once = paths.select("seed_set_id", F.explode(F.array_distinct("nodes")).alias("node"))
+        key = ["seed_set_id", "node"]
+        rows = _with_count(rows, each.groupBy(*key).agg(F.count("*").alias("salience")), key, "salience")
+        rows = _with_count(rows, once.groupBy(*key).agg(F.count("*").alias("holding")), key, "holding")
+        return _with_count(rows, paths.groupBy("seed_set_id").agg(F.count("*").alias("paths")), ["seed_set_id"], "paths")
 
-    def mean_likeness(self, node: int) -> float:
-        """Mean similarity with the nodes that this frontier visited last; 0 for none."""
-        own = [n for n, f in self.last.items() if f == self.frontier and n != node]
-        return sum(self.like(n, node) for n in own) / len(own) if own else 0.0
+    def mean_likeness(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``mean``: mean similarity with the nodes that the frontier visited last; 0 for none."""
+        own = self.holders().select("seed_set_id", F.col("holder").alias("f"), F.col("node").alias("other"))
+        return self._mean(rows, own.withColumn("c", F.lit(1)), ["seed_set_id", "f"])
 
-    def bridge(self, node: int) -> int:
-        """Neighbours that another frontier visited last."""
-        last = self.last
-        return sum(last.get(n, self.frontier) != self.frontier for n in self.graph.neighbours(node).tolist())
+    def end_likeness(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``mean``: mean similarity with the ends of all paths so far."""
+        ends = F.explode(F.array(F.element_at("nodes", 1), F.element_at("nodes", -1)))
+        each = self.paths.select("seed_set_id", ends.alias("other"))
+        return self._mean(rows, each.groupBy("seed_set_id", "other").agg(F.count("*").alias("c")), ["seed_set_id"], itself=True)
 
+    def _mean(self, rows: DataFrame, others: DataFrame, key: list[str], itself: bool = False) -> DataFrame:
+        pairs = rows.select("seed_set_id", "f", "node").join(others, key)
+        pairs = pairs if itself else pairs.where("other <> node")
+        pairs = cut(pairs.withColumns({"u": F.least("node", "other"), "v": F.greatest("node", "other")}), "pairs")
+        self._measure(pairs)
+        known = pairs.join(self.likeness.rows, ["u", "v"])
+        weighted = F.sum(F.col("jaccard") * F.col("c")) / F.sum("c")
+        mean = known.groupBy("seed_set_id", "f", "node").agg(weighted.alias("mean"))
+        return _with_count(rows, mean, ["seed_set_id", "f", "node"], "mean")
 
-Priority = Callable[[State, int], float]
+    def _measure(self, pairs: DataFrame) -> None:
+        """Add the similarities of pairs that are not known yet; each pair is measured once for all seed sets."""
+        wanted = pairs.select("u", "v").distinct()
+        if self.likeness is not None:
+            wanted = wanted.join(self.likeness.rows, ["u", "v"], "left_anti")
+        wanted = cut(wanted, "unmeasured")
+        if self.likeness is not None and wanted.limit(1).count() == 0:
+            return
+        found = cut(pair_similarity(self.graph, wanted, ("jaccard",)), "likeness")
+        if self.likeness is None:
+            self.likeness = Log(found, "likeness")
+        else:
+            self.likeness.add(found)
 
 
-def _degree(s: State, v: int) -> float:
-    return s.graph.degree(v)
+def _with_count(rows: DataFrame, counts: DataFrame, key: list[str], name: str) -> DataFrame:
+    return rows.join(counts, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
-def _log_degree(s: State, v: int) -> float:
-    return math.log(s.graph.degree(v) + 1)
+#: Candidates (seed_set_id, f, node, parent, turn, degree, …) to the same with the priority ``p``, lower first.
+Priority = Callable[[State, DataFrame], DataFrame]
 
 
-def _hae(s: State, v: int) -> float:
-    h = s.graph.entropy[v] if v < len(s.graph.entropy) else 0.0
-    return _log_degree(s, v) / (h + 1e-10)
+def _plain(value: Callable[[Config], Column]) -> Priority:
+    return lambda s, rows: rows.withColumn("p", value(s.config).cast("double"))
 
 
-def _pipe(s: State, v: int) -> float:
-    return s.graph.degree(v) / (1 + s.bridge(v))
+def _log() -> Column:
+    return F.ln(F.col("degree") + 1)
 
 
-def _sage(s: State, v: int) -> float:
-    return -(1000 * s.salience.get(v, 0) - s.graph.degree(v)) if s.paths else _log_degree(s, v)
+def _hae(s: State, rows: DataFrame) -> DataFrame:
+    return rows.withColumn("p", _log() / (F.col("entropy") + 1e-10))
 
 
-def _reach(s: State, v: int) -> float:
-    if not s.paths:
-        return _log_degree(s, v)
-    ends = [n for _, _, nodes in s.paths for n in (nodes[0], nodes[-1])]
-    return _log_degree(s, v) * (1 - sum(s.like(n, v) for n in ends) / len(ends))
+def _pipe(s: State, rows: DataFrame) -> DataFrame:
+    return s.bridge(rows).withColumn("p", F.col("degree") / (1 + F.col("bridge")))
 
 
-def _maze(s: State, v: int) -> float:
-    return _pipe(s, v) * (1 / (1 + 1000 * s.salience.get(v, 0)) if s.paths else 1)
+def _sage(s: State, rows: DataFrame) -> DataFrame:
+    later = (F.col("degree") - 1000 * F.col("salience")).cast("double")
+    return s.salience(rows).withColumn("p", F.when(F.col("paths") > 0, later).otherwise(_log()))
 
 
-def _tide(s: State, v: int) -> float:
-    return s.graph.degree(v) + sum(s.graph.degree(n) for n in s.graph.neighbours(v).tolist())
+def _reach(s: State, rows: DataFrame) -> DataFrame:
+    rows = s.end_likeness(s.salience(rows))
+    return rows.withColumn("p", F.when(F.col("paths") > 0, _log() * (1 - F.col("mean"))).otherwise(_log()))
 
 
-def _warp(s: State, v: int) -> float:
-    return 1 / (1 + s.bridge(v) + 2 * s.holding.get(v, 0))
+def _maze(s: State, rows: DataFrame) -> DataFrame:
+    rows = _pipe(s, s.salience(rows))
+    return rows.withColumn("p", F.col("p") * F.when(F.col("paths") > 0, 1 / (1 + 1000 * F.col("salience"))).otherwise(1))
 
 
-def _fuse(s: State, v: int) -> float:
+def _warp(s: State, rows: DataFrame) -> DataFrame:
+    return s.bridge(s.salience(rows)).withColumn("p", 1 / (1 + F.col("bridge") + 2 * F.col("holding")))
+
+
+def _lace(s: State, rows: DataFrame) -> DataFrame:
+    return s.mean_likeness(rows).withColumn("p", 1 - F.col("mean"))
+
+
+def _fuse(s: State, rows: DataFrame) -> DataFrame:
     w = s.config.salience_weight
-    return (1 - w) * s.graph.degree(v) + w * (1 - s.mean_likeness(v))
+    return s.mean_likeness(rows).withColumn("p", (1 - w) * F.col("degree") + w * (1 - F.col("mean")))
 
 
-def _sift(s: State, v: int) -> float:
-    mean = s.mean_likeness(v)
-    return 1 - mean if mean >= s.config.mi_threshold else s.graph.degree(v) + 100
+def _sift(s: State, rows: DataFrame) -> DataFrame:
+    mean = F.col("mean")
+    value = F.when(mean >= s.config.mi_threshold, 1 - mean).otherwise(F.col("degree") + 100.0)
+    return s.mean_likeness(rows).withColumn("p", value)
 
 
-def _flux(s: State, v: int) -> float:
-    bridge, frontiers = s.bridge(v), len(set(s.last.values()))
-    if frontiers and bridge / frontiers >= s.config.bridge_threshold:
-        return 1 / (1 + bridge)
-    dense = v < len(s.graph.density) and s.graph.density[v] >= s.config.density_threshold
-    return 1 / (s.graph.degree(v) + 1) if dense else s.graph.degree(v)
+def _flux(s: State, rows: DataFrame) -> DataFrame:
+    kinds = s.holders().groupBy("seed_set_id").agg(F.countDistinct("holder").alias("frontiers"))
+    rows = _with_count(s.bridge(rows), kinds, ["seed_set_id"], "frontiers")
+    between = (F.col("frontiers") > 0) & (F.col("bridge") >= s.config.bridge_threshold * F.col("frontiers"))
+    dense = F.col("density") >= s.config.density_threshold
+    value = F.when(dense, 1 / (F.col("degree") + 1)).otherwise(F.col("degree"))
+    return rows.withColumn("p", F.when(between, 1 / (1 + F.col("bridge"))).otherwise(value).cast("double"))
 
 
-def _random(s: State, v: int) -> float:
-    name = s.graph.ids[v] if v < len(s.graph.ids) else str(v)
-    return xxhash.xxh64_intdigest(name.encode(), s.config.seed) / float(1 << 64)
+def hashed_priority(seed: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
 
 
+_degree = _plain(lambda c: F.col("degree"))
+_oldest = _plain(lambda c: F.col("turn"))
 PRIORITIES: dict[str, Priority] = {
     "base": _degree,
     "dome": _degree,
-    "dome_high_degree": lambda s, v: -s.graph.degree(v),
+    "dome_high_degree": _plain(lambda c: -F.col("degree")),
     "edge": _hae,
     "hae": _hae,
     "pipe": _pipe,
     "sage": _sage,
     "reach": _reach,
     "maze": _maze,
-    "tide": _tide,
-    "lace": lambda s, v: 1 - s.mean_likeness(v),
+    "tide": _plain(lambda c: F.col("degree") + F.col("around")),
+    "lace": _lace,
     "warp": _warp,
     "fuse": _fuse,
     "sift": _sift,
     "flux": _flux,
-    "standard_bfs": lambda s, v: s.iteration,
-    "dfs_priority": lambda s, v: -s.iteration,
-    "frontier_balanced": lambda s, v: s.frontier * 1e9 + s.iteration,
-    "round_robin": lambda s, v: s.iteration,
-    "random_priority": _random,
+    "standard_bfs": _oldest,
+    "dfs_priority": _plain(lambda c: -F.col("turn")),
+    "frontier_balanced": _plain(lambda c: F.col("f") * 1e9 + F.col("turn")),
+    "round_robin": _oldest,
+    "random_priority": _plain(lambda c: hashed_priority(c.seed)),
 }
-
-
-def run(graph: Local, seeds: list[str], priority: Priority, config: Config) -> dict:
-    """One exploration. Ties go to the earlier push; neighbours are pushed in ascending id."""
-    names = list(graph.ids)
-    index: list[int] = []
-    extra: dict[str, int] = {}
-    for s in seeds:
-        if s not in graph.at and s not in extra:
-            extra[s] = len(names)
-            names.append(s)
-        index.append(graph.at.get(s, extra.get(s, -1)))
-    state = State(graph, config)
-    heaps: list[list] = []
-    visited: list[dict[int, int | None]] = [{} for _ in seeds]
-    everyone: dict[int, None] = {}
-    pushed = iterations = traversed = 0
-    edges: set[tuple[str, str]] = set()
-    for f, v in enumerate(index):
-        everyone[v] = None
-        state.last[v] = f
-    for f, v in enumerate(index):
-        state.frontier, state.iteration = f, 0
-        heaps.append([(priority(state, v), pushed, v, None)])
-        pushed += 1
-    termination = "exhausted"
-    while True:
-        limits = ((config.max_iterations, iterations), (config.max_nodes, len(everyone)), (config.max_paths, len(state.paths)))
-        if seeds and any(most and now >= most for most, now in limits):
-            termination = "limit"
-            break
-        best, chosen = math.inf, -1
-        for f, heap in enumerate(heaps):
-            if heap and heap[0][0] < best:
-                best, chosen = heap[0][0], f
-        if chosen < 0:
-            break
-        _, _, v, before = heapq.heappop(heaps[chosen])
-        if v in visited[chosen]:
-            continue
-        visited[chosen][v] = before
-        everyone[v] = None
-        state.last[v] = chosen
-        for other, own in enumerate(visited):
-            if other != chosen and v in own:
-                state.add_path(chosen, other, _joined(visited[chosen], own, v))
-        near = graph.neighbours(v).tolist()
-        traversed += len(near)
-        state.frontier, state.iteration = chosen, iterations + 1
-        for n in near:
-            edges.add((min(names[v], names[n]), max(names[v], names[n])))
-            if n not in visited[chosen]:
-                heapq.heappush(heaps[chosen], (priority(state, n), pushed, n, v))
-                pushed += 1
-        iterations += 1
-    return {
-        "paths": [(a, b, [names[n] for n in nodes]) for a, b, nodes in state.paths],
-        "nodes": [(f, names[n]) for f, own in enumerate(visited) for n in own],
-        "edges": sorted(edges),
-        "stats": {
-            "iterations": iterations,
-            "nodes_visited": len(everyone),
-            "edges_traversed": traversed,
-            "paths_found": len(state.paths),
-        },
-        "termination": termination,
-    }
-
-
-def _joined(one: dict, other: dict, node: int) -> list[int]:
-    """From the seed of ``one`` to the node, and on to the seed of ``other``."""
-    head, at = [], node
-    while at is not None:
-        head.append(at)
-        at = one[at]
-    tail, at = [], other[node]
-    while at is not None:
-        tail.append(at)
-        at = other[at]
-    return head[::-1] + tail
-
-
-RESULT = "seed_set_id long, kind string, n long, m long, a string, b string, nodes array<string>"
-
-
-def _rows(set_id: int, found: dict) -> pd.DataFrame:
-    out = [(set_id, "path", a, b, nodes[0], nodes[-1], nodes) for a, b, nodes in found["paths"]]
-    out += [(set_id, "node", f, None, name, None, None) for f, name in found["nodes"]]
-    out += [(set_id, "edge", None, None, a, b, None) for a, b in found["edges"]]
-    out += [(set_id, "stat", v, None, k, found["termination"], None) for k, v in found["stats"].items()]
-    table = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
-    return table.astype({"n": "Int64", "m": "Int64"})
-
-
-def _local(rows: pd.DataFrame) -> Local:
-    """Rows (id, near, entropy, density) as arrays; neighbours outside the rows are dropped."""
-    rows = rows.sort_values("id")
-    ids = rows["id"].tolist()
-    at = {v: i for i, v in enumerate(ids)}
-    near = [np.array(sorted(at[n] for n in x if n in at), np.int64) if x is not None else np.zeros(0, np.int64) for x in rows["near"]]
-    return Local(ids, near, rows["entropy"].to_numpy(float), rows["density"].to_numpy(float))
+#: Those that let the frontier with the fewest visits go first, whatever the priorities.
+FAIR = ("round_robin",)
+
+
+def node_features(graph: PropertyGraph, algorithm: str, type_of: Column | None = None) -> DataFrame:
+    """(node, degree, around, entropy, density): what priorities need of a node whatever the state."""
+    degree = graph.arcs.groupBy("src").agg(F.count("*").alias("degree"))
+    rows = graph.nodes.select(F.col("id").alias("node")).join(degree, F.col("node") == F.col("src"), "left")
+    rows = rows.select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
+    if algorithm == "tide":
+        far = graph.arcs.select(F.col("src").alias("node"), "dst").join(degree.withColumnRenamed("src", "dst"), "dst")
+        rows = _with_count(rows, far.groupBy("node").agg(F.sum("degree").alias("around")), ["node"], "around")
+    if algorithm in ("edge", "hae"):
+        rows = _with_count(rows, type_entropy(graph, type_of).withColumnRenamed("id", "node"), ["node"], "entropy")
+    if algorithm == "flux":
+        rows = _with_count(rows, local_density(graph).withColumnRenamed("id", "node"), ["node"], "density")
+    for name in ("around", "entropy", "density"):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(0.0))
+    return rows
 
 
 @dataclass(frozen=True)
 class Exploration:
-    """Results of all seed sets, written once."""
-
-    rows: DataFrame
+    """Results of all seed sets, written once.
 
-    @property
-    def paths(self) -> DataFrame:
-        """(seed_set_id, from_frontier, to_frontier, from_seed, to_seed, nodes); repeated meetings repeat."""
-        return self.rows.where("kind = 'path'").selectExpr(
-            "seed_set_id", "n AS from_frontier", "m AS to_frontier", "a AS from_seed", "b AS to_seed", "nodes"
-        )
+    ``paths``: (seed_set_id, turn, from_frontier, to_frontier, nodes), a meeting each. ``visited``: (seed_set_id,
+    frontier, id, turn). ``sampled_edges``: (seed_set_id, src, dst). ``stats``: (seed_set_id, iterations, nodes_visited,
+    edges_traversed, paths_found, termination).
+    """
 
-    @property
-    def visited(self) -> DataFrame:
-        return self.rows.where("kind = 'node'").selectExpr("seed_set_id", "n AS frontier", "a AS id")
+    paths: DataFrame
+    visited: DataFrame
+    sampled_edges: DataFrame
+    stats: DataFrame
 
-    @property
-    def sampled_edges(self) -> DataFrame:
-        return self.rows.where("kind = 'edge'").selectExpr("seed_set_id", "a AS src", "b AS dst")
 
-    @property
-    def stats(self) -> DataFrame:
-        rows = self.rows.where("kind = 'stat'")
-        names = ["iterations", "nodes_visited", "edges_traversed", "paths_found"]
-        values = [F.max(F.when(F.col("a") == n, F.col("n"))).alias(n) for n in names]
-        return rows.groupBy("seed_set_id").agg(*values, F.first("b").alias("termination"))
+CANDIDATE = ("seed_set_id", "f", "node", "parent", "turn", "p")
 
 
 def explore(
@@ -330,40 +295,129 @@ def explore(
     algorithm: str = "base",
     config: Config | None = None,
     priority: Priority | None = None,
-    radius: int | None = None,
+    type_of: Column | None = None,
 ) -> Exploration:
-    """Explore from ``seeds`` (seed_set_id, pos, id), one frontier per seed in pos order."""
-    config, rank = config or Config(), priority or PRIORITIES[algorithm]
+    """Explore from ``seeds`` (seed_set_id, pos, id), one frontier per seed in pos order.
+
+    ``priority`` replaces the named algorithm's; ``type_of`` is the node type of edge and hae. Ties go to the lower
+    frontier, then to the earlier push; neighbours are pushed in ascending id. Seeds that are no nodes are visited and
+    have no neighbours. Limits of nodes and paths end an exploration at the visit that reaches them.
+    """
+    config, rank, fair = config or Config(), priority or PRIORITIES[algorithm], algorithm in FAIR
     graph = graph.settled()
-    near = graph.arcs.groupBy("src").agg(F.collect_set("dst").alias("near"))
-    nodes = graph.nodes.select("id").join(near, F.col("id") == F.col("src"), "left").select("id", "near")
-    for name, wanted, values in (
-        ("entropy", ("edge", "hae"), lambda: type_entropy(graph)),
-        ("density", ("flux",), lambda: local_density(graph)),
-    ):
-        nodes = nodes.join(values(), "id") if algorithm in wanted else nodes.withColumn(name, F.lit(0.0))
-    listed = seeds.groupBy("seed_set_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("seeds"))
-    listed = listed.select("seed_set_id", F.col("seeds.id").alias("seeds"))
-    if radius is None:
-        if graph.arcs.limit(MAX_ARCS + 1).count() > MAX_ARCS:
-            raise ValueError(f"more than {MAX_ARCS} arcs: pass a radius")
-        sent = graph.nodes.sparkSession.sparkContext.broadcast(_local(nodes.toPandas()))
-
-        def shared(group: pd.DataFrame) -> pd.DataFrame:
-            found = run(sent.value, list(group["seeds"].iloc[0]), rank, config)
-            return _rows(int(group["seed_set_id"].iloc[0]), found)
-
-        return Exploration(cut(listed.groupBy("seed_set_id").applyInPandas(shared, RESULT), "explore"))
-
-    reach = bfs(graph, seeds.select("id"), radius).select(F.col("start").alias("seed"), F.col("node").alias("id"))
-    own = seeds.select("seed_set_id", F.col("id").alias("seed")).join(reach, "seed").select("seed_set_id", "id").distinct()
-    parts = own.join(nodes, "id").join(listed, "seed_set_id")
-
-    def separate(group: pd.DataFrame) -> pd.DataFrame:
-        found = run(_local(group), list(group["seeds"].iloc[0]), rank, config)
-        return _rows(int(group["seed_set_id"].iloc[0]), found)
-
-    return Exploration(cut(parts.groupBy("seed_set_id").applyInPandas(separate, RESULT), "explore"))
+    arcs = cut(graph.arcs.select("src", "dst").distinct(), "arcs")
+    features = cut(node_features(graph, algorithm, type_of), "features")
+    listed = seeds.groupBy("seed_set_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s"))
+    listed = cut(listed.select("seed_set_id", F.posexplode("s").alias("f", "x")).select("seed_set_id", "f", F.col("x.id").alias("node")), "seeds")
+    none = F.lit(None).cast("string").alias("parent")
+    start = listed.select("seed_set_id", "f", "node", none, F.lit(0).alias("turn"))
+    visits = start.select("*", F.array("node").alias("chain")).limit(0)
+    marks = start.select("seed_set_id", "node", "f", "turn")
+    state = State(graph, arcs, features, config, Log(visits, "visits"), Log(cut(marks, "marks"), "marks"))
+    ranked = cut(_ranked(state, start, rank), "open")
+    turn = 0
+    while not config.max_iterations or turn < config.max_iterations:
+        turn += 1
+        now = cut(_visit(state, ranked, turn, fair), "now")
+        if turn % LOOKED == 0 and now.limit(1).count() == 0:
+            break
+        state.visits.add(now)
+        state.marks.add(now.select("seed_set_id", "node", "f", "turn"))
+        taken = now.select("seed_set_id", "f", F.col("node").alias("taken"))
+        rest = ranked.join(taken, ["seed_set_id", "f"], "left").where("taken is null or taken <> node").select(*CANDIDATE)
+        near = now.join(arcs, now["node"] == arcs["src"]).select("seed_set_id", "f", F.col("dst").alias("node"), F.col("src").alias("parent"), "turn")
+        fresh = near.join(state.visits.rows.select("seed_set_id", "f", "node"), ["seed_set_id", "f", "node"], "left_anti")
+        both = rest.unionByName(_ranked(state, fresh, rank))
+        # of the pushes of one node by one frontier only the best is ever visited
+        best = both.groupBy("seed_set_id", "f", "node").agg(F.min(F.struct("p", "turn", "parent")).alias("m"))
+        ranked = cut(best.select("seed_set_id", "f", "node", "m.parent", "m.turn", "m.p"), "open")
+    return _results(state, listed, arcs, turn)
+
+
+def _ranked(state: State, rows: DataFrame, rank: Priority) -> DataFrame:
+    known = rows.join(state.features, "node", "left").withColumns(
+        {c: F.coalesce(c, F.lit(0)) for c in ("degree", "around", "entropy", "density")}
+    )
+    # sums of doubles depend on their order in the last digits, which must not decide ties
+    return rank(state, known).withColumn("p", F.round("p", DIGITS)).select(*CANDIDATE)
+
+
+def _visit(state: State, ranked: DataFrame, turn: int, fair: bool) -> DataFrame:
+    """The best candidate of every seed set that has not reached a limit."""
+    order, rows = ["p", "f", F.col("turn").alias("born"), "node", "parent"], ranked
+    if fair:
+        done = state.visits.rows.groupBy("seed_set_id", "f").agg(F.count("*").alias("done"))
+        rows, order = _with_count(ranked, done, ["seed_set_id", "f"], "done"), ["done", *order[1:2], order[0], *order[2:]]
+    best = rows.groupBy("seed_set_id").agg(F.min(F.struct(*order)).alias("m"))
+    best = best.select("seed_set_id", "m.f", "m.node", "m.parent", F.lit(turn).alias("turn"))
+    if state.config.max_nodes:
+        held = state.marks.rows.groupBy("seed_set_id").agg(F.countDistinct("node").alias("c"))
+        best = best.join(held.where(F.col("c") >= state.config.max_nodes), "seed_set_id", "left_anti")
+    if state.config.max_paths:
+        held = state.paths.groupBy("seed_set_id").agg(F.count("*").alias("c"))
+        best = best.join(held.where(F.col("c") >= state.config.max_paths), "seed_set_id", "left_anti")
+    above = state.visits.rows.select("seed_set_id", "f", F.col("node").alias("parent"), F.col("chain").alias("above"))
+    known = best.join(above, ["seed_set_id", "f", "parent"], "left")
+    chain = F.concat(F.coalesce("above", F.array().cast("array<string>")), F.array("node"))
+    return known.select("seed_set_id", "f", "node", "parent", "turn", chain.alias("chain"))
+
+
+def _results(state: State, listed: DataFrame, arcs: DataFrame, turns: int) -> Exploration:
+    config = state.config
+    paths = cut(state.paths.withColumnsRenamed({"a": "from_frontier", "b": "to_frontier"}), "paths")
+    visits = cut(state.visits.rows, "visited")
+    seen = visits.join(arcs, visits["node"] == arcs["src"])
+    edges = cut(seen.select("seed_set_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "sampled")
+    sets = listed.select("seed_set_id").distinct()
+    key = ["seed_set_id"]
+    stats = _with_count(sets, visits.groupBy(*key).agg(F.count("*").alias("iterations")), key, "iterations")
+    nodes = state.marks.rows.groupBy(*key).agg(F.countDistinct("node").alias("nodes_visited"))
+    stats = _with_count(stats, nodes, key, "nodes_visited")
+    stats = _with_count(stats, seen.groupBy(*key).agg(F.count("*").alias("edges_traversed")), key, "edges_traversed")
+    stats = _with_count(stats, paths.groupBy(*key).agg(F.count("*").alias("paths_found")), key, "paths_found")
+    limited = F.lit(False)
+    for most, name in ((config.max_iterations, "iterations"), (config.max_nodes, "nodes_visited"), (config.max_paths, "paths_found")):
+        limited = limited | (F.lit(most > 0) & (F.col(name) >= most))
+    stats = cut(stats.withColumn("termination", F.when(limited, "limit").otherwise("exhausted")), "stats")
+    visited = visits.select("seed_set_id", F.col("f").alias("frontier"), F.col("node").alias("id"), "turn")
+    return Exploration(paths, visited, edges, stats)
+
+
+def batch_mean_similarity(graph: PropertyGraph, nodes: DataFrame, others: DataFrame) -> DataFrame:
+    """(id, mean): plain Jaccard of every node of ``nodes`` (id) with every one of ``others`` (id, a stated set) but
+    itself, averaged; 0 for none. Neighbourhoods are whole, without a floor.
+
+    Shared neighbours are counted by a join on the neighbour; what two nodes do not share adds nothing to the sum.
+    """
+    arcs = graph.arcs.select("src", "dst").distinct()
+    size = arcs.groupBy("src").agg(F.count("*").alias("d"))
+    a = nodes.select("id").distinct().join(arcs, F.col("id") == F.col("src")).select("id", "dst")
+    b = others.select(F.col("id").alias("other")).distinct()
+    near = b.join(arcs, F.col("other") == F.col("src")).select("other", "dst")
+    shared = a.join(near, "dst").where("id <> other").groupBy("id", "other").agg(F.count("*").alias("c"))
+    shared = shared.join(size.select(F.col("src").alias("id"), F.col("d").alias("x")), "id").join(
+        size.select(F.col("src").alias("other"), F.col("d").alias("y")), "other"
+    )
+    sums = shared.groupBy("id").agg(F.sum(F.col("c") / (F.col("x") + F.col("y") - F.col("c"))).alias("s"))
+    total = b.agg(F.count("*").alias("total"))
+    own = b.select(F.col("other").alias("id"), F.lit(1).alias("own"))
+    rows = nodes.select("id").distinct().join(sums, "id", "left").join(own, "id", "left").crossJoin(F.broadcast(total))
+    count = F.col("total") - F.coalesce("own", F.lit(0))
+    return rows.select("id", F.when(count > 0, F.coalesce("s", F.lit(0.0)) / count).otherwise(0.0).alias("mean"))
+
+
+def batch_priority(graph: PropertyGraph, nodes: DataFrame, others: DataFrame, algorithm: str, config: Config | None = None) -> DataFrame:
+    """(id, priority) of many nodes at once by lace, fuse or sift over one frontier's visited nodes ``others``."""
+    config, mean = config or Config(), F.col("mean")
+    rows = batch_mean_similarity(graph, nodes, others).join(graph.degrees().select("id", "out_deg"), "id", "left")
+    degree = F.coalesce("out_deg", F.lit(0))
+    w = config.salience_weight
+    value = {
+        "lace": 1 - mean,
+        "fuse": (1 - w) * degree + w * (1 - mean),
+        "sift": F.when(mean >= config.mi_threshold, 1 - mean).otherwise(degree + 100.0),
+    }[algorithm]
+    return rows.select("id", value.alias("priority"))
 
 
 def random_walk(

@@ -7,39 +7,11 @@ from pyspark.sql import functions as F
 from graphloom.functions import stats
 from graphloom.operators import dense, explore, linalg, metrics, ranking, seeds, traversal
 from graphloom.operators.neighbours import clustering, triangle_counts, type_entropy
+from graphloom.plans.explore_queries import seed_sets
 from graphloom.plans.queries import _MI, CLUSTERING, DIGITS, ENTROPY, FORMULAS, SCORED, _salience, query, rounded
 from graphloom.sources import PropertyGraph, table, trade_graph, trade_paths
 from graphloom.sources.tables import PATHS_SQL
 
-LIMITS = explore.Config(max_iterations=60)
-
-
-def seed_sets(graph):
-    """One set per supplier: it and the customer of the same number."""
-    suppliers = graph.nodes.where("type = 'supplier'").select(F.substring("id", 3, 20).cast("long").alias("seed_set_id"))
-    pairs = F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("S:").alias("p")), F.struct(F.lit(1).alias("pos"), F.lit("C:").alias("p"))))
-    rows = suppliers.select("seed_set_id", pairs.alias("x"))
-    return rows.select("seed_set_id", "x.pos", F.concat("x.p", F.col("seed_set_id").cast("string")).alias("id"))
-
-
-def _exploration(name: str) -> None:
-    @query(name)
-    def run(spark, d):
-        graph = trade_graph(spark, d).settled()
-        return explore.explore(graph, seed_sets(graph), name, LIMITS).stats
-
-
-for _name in explore.PRIORITIES:
-    _exploration(_name)
-
-
-@query("explore_paths")
-def explore_paths(spark, d):
-    graph = trade_graph(spark, d).settled()
-    found = explore.explore(graph, seed_sets(graph), "standard_bfs", explore.Config(max_iterations=200), radius=3).paths
-    return found.groupBy("seed_set_id", "nodes").agg(F.count("*").alias("times"))
-
-
 @query("random_walk")
 def random_walk(spark, d):
     graph = trade_graph(spark, d).settled()

@@ -115,26 +115,6 @@ def test_store(spark):
     assert {r.n for r in graph.violations().collect()} == {0}
 
 
-def test_exploration(spark):
-    graph = build(spark, "linear-chain").settled()
-    ends = spark.createDataFrame([(7, 0, "A"), (7, 1, "E"), (8, 0, "A"), (8, 1, "ghost")], "seed_set_id long, pos int, id string")
-    for name in explore.PRIORITIES:
-        local = explore._local(
-            graph.arcs.groupBy("src").agg({"dst": "collect_set"}).toDF("id", "near").selectExpr("*", "0.0 entropy", "0.0 density").toPandas()
-        )
-        found = explore.run(local, ["A", "E"], explore.PRIORITIES[name], explore.Config())
-        assert found["termination"] == "exhausted" and all(p[2][0] in "AE" and p[2][-1] in "AE" for p in found["paths"]), name
-        assert found["paths"], name
-    found = explore.explore(graph, ends, "dome")
-    stats = {r.seed_set_id: r for r in found.stats.collect()}
-    assert stats[7].nodes_visited == 5 and stats[7].paths_found >= 1
-    assert stats[8].paths_found == 0 and stats[8].nodes_visited == 6
-    near = explore.explore(graph, ends, "dome", radius=4)
-    assert sorted(map(str, near.paths.collect())) == sorted(map(str, found.paths.collect()))
-    limited = explore.explore(graph, ends, "dome", explore.Config(max_iterations=1)).stats.collect()
-    assert {r.termination for r in limited} == {"limit"}
-
-
 def test_random_walk_is_repeatable(spark):
     graph = build(spark, "social-hub").settled()
     start = spark.createDataFrame([(1, 0, "bob"), (1, 1, "kate")], "seed_set_id long, pos int, id string")
