@@ -54,10 +54,68 @@ def assign(points: DataFrame, centroids: DataFrame, squared: bool = True) -> Dat
     return rows.select("id", F.col("b.cluster").alias("cluster"), distance.alias("distance"))
 
 
-def update_centroids(points: DataFrame, assigned: DataFrame) -> DataFrame:
-    """(cluster, i, value): the mean of each cluster's points, one row per dimension."""
+def update_centroids(points: DataFrame, assigned: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """(cluster, i, value): the mean of each cluster's points, one row per dimension.
+
+    ``clusters`` (cluster) names all of them; those without points get zeros.
+    """
     each = points.join(assigned.select("id", "cluster"), "id").select("cluster", F.posexplode("v").alias("i", "x"))
-    return each.groupBy("cluster", "i").agg(F.avg("x").alias("value"))
+    means = each.groupBy("cluster", "i").agg(F.avg("x").alias("value"))
+    if clusters is None:
+        return means
+    every = clusters.select("cluster").crossJoin(F.broadcast(each.select("i").distinct()))
+    return every.join(means, ["cluster", "i"], "left").select("cluster", "i", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def _centre_rows(spark, centres: list[list[float]]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(centres)), "cluster int, centre array<double>")
+
+
+def plus_plus(points: DataFrame, k: int, seed: int = 42) -> list[list[float]]:
+    """``k`` starting centres by k-means++, fewer where there are fewer different points.
+
+    Each is the point with the least exponential time at a rate of its squared distance, which draws it with that
+    weight in one aggregation; the times come from a hash, so reruns agree.
+    """
+    spark = points.sparkSession
+    draw = lambda n: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(n)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+    first = points.agg(F.min_by("v", draw(0)).alias("v")).first().v
+    centres = [list(first)] if first is not None else []
+    while centres and len(centres) < k:
+        near = points.join(assign(points, _centre_rows(spark, centres)), "id").where("distance > 0")
+        found = near.agg(F.min_by("v", -F.ln(draw(len(centres))) / F.col("distance")).alias("v")).first().v
+        if found is None:
+            break
+        centres.append(list(found))
+    return centres
+
+
+def minibatch_kmeans(
+    points: DataFrame, k: int, seed: int = 42, iterations: int = 100, tolerance: float = 1e-6
+) -> tuple[DataFrame, list[list[float]]]:
+    """(id, cluster, distance) of all points, and the centres, by mini-batches.
+
+    A batch is about a tenth of the points, 10 at least, by hash; a centre moves to the mean of the batch's points that
+    are nearest to it, one without any stays. Ends where no centre moves more than ``tolerance``. Only centres pass
+    through the driver.
+    """
+    spark, n = points.sparkSession, points.count()
+    centres = plus_plus(points, min(k, n), seed)
+    share = min(1.0, max(10, n // 10) / max(n, 1))
+    for step in range(iterations if centres else 0):
+        chosen = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(step), F.lit("batch")), F.lit(1 << 30)) < int(share * (1 << 30))
+        batch = points.where(chosen)
+        moved = update_centroids(batch, assign(batch, _centre_rows(spark, centres))).collect()
+        following = [list(c) for c in centres]
+        for r in moved:
+            following[r.cluster][r.i] = r.value
+        shift = max(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5 for a, b in zip(centres, following, strict=True))
+        centres = following
+        if shift < tolerance:
+            break
+    if not centres:
+        return points.select("id", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance")), centres
+    return assign(points, _centre_rows(spark, centres)), centres
 
 
 def kmeans(points: DataFrame, k: int, seed: int = 42, iterations: int = 100) -> DataFrame:

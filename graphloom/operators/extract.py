@@ -236,6 +236,34 @@ def _counts4(graph: PropertyGraph) -> dict[str, int]:
     }
 
 
-def triangle_instances(graph: PropertyGraph) -> DataFrame:
-    """(nodes): the instances of the triangle motif, ids ascending."""
-    return triangles(graph).select(F.array_sort(F.array("x", "y", "z")).alias("nodes"))
+def motif_instances(graph: PropertyGraph, pattern: str) -> DataFrame:
+    """(nodes): the induced instances of a connected pattern such as ``0-1,0-2,1-3``, node ids ascending.
+
+    The pattern's edges are joined one after the other, missing ones are anti-joined. A triangle starts from its end of
+    least degree; other patterns make a row per instance and symmetry, which is what listing them costs.
+    """
+    links = [tuple(map(int, e.split("-"))) for e in pattern.split(",") if e]
+    places = sorted({x for e in links for x in e})
+    if pattern == "0-1,0-2,1-2":
+        return triangles(graph).select(F.array_sort(F.array("x", "y", "z")).alias("nodes"))
+    if not links or links[0][0] != 0:
+        raise ValueError("the pattern has no edge at its first node")
+    pairs = cut(canonical_edges(graph), "pairs")
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    arc = lambda p, q: both.select(F.col("a").alias(f"n{p}"), F.col("b").alias(f"n{q}"))
+    rows, have = arc(*links[0]), set(links[0])
+    rest = links[1:]
+    while rest:
+        p, q = next(((p, q) for p, q in rest if p in have or q in have), (None, None))
+        if p is None:
+            raise ValueError("the pattern is not connected")
+        rest.remove((p, q))
+        rows = rows.join(arc(p, q), [f"n{x}" for x in (p, q) if x in have])
+        have |= {p, q}
+    for p in places:
+        for q in places:
+            if p < q:
+                rows = rows.where(F.col(f"n{p}") != F.col(f"n{q}"))
+                if (p, q) not in links and (q, p) not in links:
+                    rows = rows.join(arc(p, q), [f"n{p}", f"n{q}"], "left_anti")
+    return rows.select(F.array_sort(F.array(*(f"n{p}" for p in places))).alias("nodes")).distinct()

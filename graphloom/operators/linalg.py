@@ -62,19 +62,25 @@ def pagerank(
 def _walks(graph: PropertyGraph, pairs: DataFrame, weights: list[float], start: float) -> DataFrame:
     """(u, v, score): start·[u = v] + sum over l of weights[l-1] × walks of length l from u to v.
 
-    Walk counts to all different targets are pushed backwards together, one join and aggregation a step. They are
-    unscaled doubles; a target's counts live on the nodes within reach of it only.
+    Walk counts are pushed from the side of the pairs that has fewer different nodes, all of them together, one join
+    and aggregation a step. They are unscaled doubles, and a node's counts live on the nodes within its reach only: at
+    most (nodes of that side) × (nodes of the graph) rows. The last step goes no further than to asked pairs.
     """
     graph = graph.settled()
     pairs = cut(pairs.select("u", "v").distinct(), "pairs")
-    arcs = graph.arcs.select("src", "dst")
-    reach = pairs.select(F.col("v").alias("target"), F.col("v").alias("at")).distinct().withColumn("c", F.lit(1.0))
+    sides = pairs.agg(F.countDistinct("u"), F.countDistinct("v")).first()
+    home, far = ("v", "u") if sides[1] <= sides[0] else ("u", "v")
+    arcs = graph.arcs.select("src", "dst") if home == "v" else graph.arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    reach = pairs.select(F.col(home).alias("target"), F.col(home).alias("at")).distinct().withColumn("c", F.lit(1.0))
     score = pairs.withColumn("s", F.when(F.col("u") == F.col("v"), start).otherwise(0.0)) if start else None
     parts = [score.select("u", "v", "s")] if score is not None else []
-    for weight in weights:
-        reach = reach.join(arcs, reach["at"] == arcs["dst"]).groupBy("target", "src").agg(F.sum("c").alias("c"))
-        reach = cut(reach.withColumnRenamed("src", "at"), "walks")
-        hit = pairs.join(reach, (F.col("v") == F.col("target")) & (F.col("u") == F.col("at")))
+    asked = pairs.select(F.col(home).alias("target"), F.col(far).alias("at"))
+    for step, weight in enumerate(weights, 1):
+        moved = reach.join(arcs, reach["at"] == arcs["dst"]).select("target", F.col("src").alias("at"), "c")
+        if step == len(weights):
+            moved = moved.join(asked, ["target", "at"], "left_semi")
+        reach = cut(moved.groupBy("target", "at").agg(F.sum("c").alias("c")), "walks")
+        hit = pairs.join(reach, (F.col(home) == F.col("target")) & (F.col(far) == F.col("at")))
         parts.append(hit.select("u", "v", (F.col("c") * weight).alias("s")))
     out = parts[0]
     for p in parts[1:]:

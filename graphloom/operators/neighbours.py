@@ -51,8 +51,17 @@ def triangle_counts(graph: PropertyGraph) -> DataFrame:
     return joined.select("id", F.coalesce("triangles", F.lit(0)).alias("triangles"))
 
 
-def clustering(graph: PropertyGraph) -> DataFrame:
-    """(id, clustering): share of pairs of a node's neighbours that are joined; 0 below two neighbours."""
+def clustering(graph: PropertyGraph, ids: DataFrame | None = None) -> DataFrame:
+    """(id, clustering): share of pairs of a node's neighbours that are joined; 0 below two neighbours.
+
+    ``ids`` (id) restricts the nodes; only the edges among them and their neighbours are then looked at.
+    """
+    if ids is not None:
+        from graphloom.operators.extract import induced
+
+        wanted = ids.select("id").distinct().join(graph.nodes.select("id"), "id", "left_semi")
+        near = graph.both.join(wanted, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id"))
+        return clustering(induced(graph, wanted.union(near))).join(wanted, "id", "left_semi")
     ends = canonical_edges(graph)
     both = ends.select(F.col("a").alias("id")).union(ends.select(F.col("b").alias("id")))
     k = both.groupBy("id").agg(F.count("*").alias("k"))

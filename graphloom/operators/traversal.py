@@ -13,7 +13,8 @@ from graphloom.sources.graph import PropertyGraph
 def bfs(graph: PropertyGraph, starts: DataFrame, max_depth: int | None = None, direction: str = "out") -> DataFrame:
     """(start, node, depth, parent) for every start at once; parent is the smallest predecessor of the level before.
 
-    ``starts`` is (id); starts that are no nodes give no rows. Order within a start: depth, then node.
+    ``starts`` is (id); starts that are no nodes give no rows. Order within a start: depth, then node. Where arcs go
+    both ways a step can only lead back to the last two levels, so only they are looked at; else all levels are.
     """
     arcs = cut(graph.neighbours(direction), "arcs")
     known = starts.select("id").distinct().join(graph.nodes.select("id"), "id", "left_semi")
@@ -21,16 +22,18 @@ def bfs(graph: PropertyGraph, starts: DataFrame, max_depth: int | None = None, d
         F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")
     )
     level = cut(level, "level")
-    out, depth = level, 0
+    out, recent, depth = level, level.select("start", "node"), 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = level.select("start", F.col("node").alias("src")).join(arcs, "src")
         step = step.groupBy("start", "dst").agg(F.min("src").alias("parent")).withColumnRenamed("dst", "node")
-        fresh = step.join(out.select("start", "node"), ["start", "node"], "left_anti")
-        level = cut(fresh.select("start", "node", F.lit(depth).alias("depth"), "parent"), "level")
-        if level.limit(1).count() == 0:
+        seen = out.select("start", "node") if graph.directed else recent
+        fresh = step.join(seen, ["start", "node"], "left_anti")
+        following = cut(fresh.select("start", "node", F.lit(depth).alias("depth"), "parent"), "level")
+        if following.limit(1).count() == 0:
             break
-        out = out.union(level)
+        recent = level.select("start", "node").union(following.select("start", "node"))
+        out, level = out.union(following), following
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import stats
-from graphloom.operators import dense, explore, linalg, metrics, ranking, seeds, traversal
+from graphloom.operators import dense, explore, extract, linalg, metrics, ranking, seeds, traversal
 from graphloom.operators.neighbours import clustering, triangle_counts, type_entropy
 from graphloom.plans.explore_queries import seed_sets
 from graphloom.plans.queries import _MI, CLUSTERING, DIGITS, ENTROPY, FORMULAS, SCORED, _salience, query, rounded
@@ -162,6 +162,21 @@ def resistance(spark, d):
     return rounded(dense.resistance(part, pairs), "r", digits=4)
 
 
+@query("salience_counts", "SELECT x AS id, count(*) AS salience FROM (SELECT unnest(nodes) AS x FROM paths) GROUP BY x", PATHS_SQL)
+def salience_counts(spark, d):
+    return metrics.salience_counts(trade_paths(spark, d))
+
+
+@query(
+    "motif_instances",
+    "SELECT array_to_string(list_sort([a, b, c]), '>') AS nodes FROM tri",
+    CLUSTERING,
+)
+def motif_instances(spark, d):
+    found = extract.motif_instances(trade_graph(spark, d).settled(), "0-1,0-2,1-2")
+    return found.select(F.array_join("nodes", ">").alias("nodes"))
+
+
 @query("path_diversity", "SELECT count(DISTINCT x) AS diversity FROM (SELECT unnest(nodes[2:3]) AS x FROM paths)", PATHS_SQL)
 def path_diversity(spark, d):
     return metrics.path_diversity(trade_paths(spark, d))

@@ -50,6 +50,62 @@ def test_motif4(spark):
     assert extract.motif_name("0-1,0-2,0-3,1-2") == "paw" and extract.motif_name("?") == "?"
 
 
+def test_motif_instances_match_the_census(spark):
+    graph = build(spark, "two-department").settled()
+    for size in (3, 4):
+        census = {r.pattern: r["count"] for r in extract.motif_census(graph, size).collect()}
+        for pattern, name in extract.MOTIF_NAMES[size].items():
+            places = {x for e in pattern.split(",") for x in e.split("-")}
+            if name in ("empty", "1-edge", "matching") or len(places) < size:
+                continue
+            rows = extract.motif_instances(graph, pattern).collect()
+            assert len(rows) == census.get(pattern, 0) and all(len(set(r.nodes)) == size for r in rows), pattern
+    names = {extract.motif_name(p) for p in ("", "0-1", "0-1,0-2", "0-1,0-2,1-2", "0-1,0-2,1-3,2-3", "0-1,0-2,0-3,1-2,1-3,2-3")}
+    assert names == {"empty", "1-edge", "2-star", "triangle", "4-cycle", "K4"}
+    with pytest.raises(ValueError):
+        extract.motif_instances(graph, "0-1,2-3")
+
+
+def test_ensemble_tables():
+    listed = {n: [(c, w, blind) for c, w, blind in parts] for n, (parts, _) in seeds.ENSEMBLES.items()}
+    blind = ["stride", "crest", "spine", "grasp", "degree_diverse"]
+    assert [c for c, _, _ in listed["prism"]] == [*blind, "max_distance", "crisp"]
+    assert [c for c, _, _ in listed["omnia"]] == [*blind, "crisp", "max_distance", "community_bridge"]
+    assert [c for c, _, _ in listed["basil"]] == [*blind, "crisp"]
+    assert sorted(c for c, _, _ in listed["brisk"]) == sorted(blind)
+    assert [w for _, w, _ in listed["omnia"]] == [1.0, 1.0, 0.9, 0.8, 0.7, 0.85, 0.9, 0.9]
+    assert [w for _, w, _ in listed["prism"]] == [1.0, 1.0, 0.9, 0.8, 0.7, 0.7, 0.8]
+    assert [w for _, w, _ in listed["basil"]] == [1.0, 1.0, 0.95, 0.85, 0.6, 0.25]
+    for parts in listed.values():
+        assert all(b == (c in blind) for c, _, b in parts)
+    assert {n: bias for n, (_, bias) in seeds.ENSEMBLES.items()} == {"brisk": 0.1, "basil": 0.2, "prism": 0.1, "omnia": 0.05}
+
+
+def test_pair_distances_and_diverse_blocks(spark):
+    graph = build(spark, "three-community").settled()
+    ids = sorted(r.id for r in graph.nodes.collect())
+    table = [(a, b) for a in ids for b in ids if a < b]
+    pairs = spark.createDataFrame(table, "source string, target string")
+    found = {(r.source, r.target): r.dist for r in seeds.pair_distances(graph, pairs, 5).collect()}
+    near = {x: {y for e in edges("three-community") for y in e if x in e and y != x} for x in ids}
+    for a, b in table:
+        level, seen, d = {a}, {a}, 0
+        while level and b not in level:
+            level = {y for x in level for y in near[x]} - seen
+            seen |= level
+            d += 1
+        assert found.get((a, b)) == (d if level and d <= 5 else None), (a, b)
+    ranked = pairs.selectExpr("source", "target", "cast(crc32(concat(source, target)) % 97 as double) as score")
+    order = sorted((-r.score, r.source, r.target) for r in ranked.collect())
+    alike = lambda x, y: len(near[x] & near[y]) >= 0.5 * len(near[x] | near[y])
+    wanted = []
+    for _, s, t in order:
+        if len(wanted) < 6 and not any(alike(s, a) and alike(t, b) for a, b in wanted):
+            wanted.append((s, t))
+    for pool in (1, 50):
+        assert sorted((r.source, r.target) for r in seeds.diverse(graph, ranked, 6, pool=pool).collect()) == sorted(wanted)
+
+
 def test_similarity_goldens(spark):
     graph = build(spark, "two-department")
     pairs = spark.createDataFrame([("alice", "bob"), ("carol", "frank"), ("alice", "nobody")], "u string, v string")
@@ -113,7 +169,45 @@ def test_store(spark):
     assert graph.remove_nodes(spark.createDataFrame([("a",)], "id string")).edges.count() == 0
     assert graph.remove_edges(spark.createDataFrame([("b", "a")], "src string, dst string")).edges.count() == 0
     assert {r.n for r in graph.violations().collect()} == {0}
+    found = graph.lookup_nodes(spark.createDataFrame([("a",), ("zz",)], "id string")).collect()
+    assert {(r.id, r.type, r.found) for r in found} == {("a", "x", True), ("zz", None, False)}
+    bad = PropertyGraph(
+        spark.createDataFrame([("", 1.0), ("a", -1.0), ("a", 1.0), (None, 1.0)], "id string, weight double"),
+        spark.createDataFrame([("a", "zz", -2.0), ("a", "zz", 1.0)], "src string, dst string, weight double"),
+    )
+    assert {r.rule: r.n for r in bad.violations().collect()} == {
+        "empty node id": 2,
+        "negative node weight": 1,
+        "negative edge weight": 1,
+        "unknown endpoint": 2,
+        "repeated node": 1,
+        "repeated edge": 1,
+    }
+
+
+def test_tables_round_trip(spark, tmp_path):
+    graph = build(spark, "linear-chain", types={"A": "x"})
+    folder = "file://" + str(tmp_path / "graph")
+    graph.write_parquet(folder)
+    again = PropertyGraph.from_parquet(spark, folder)
+    for a, b in ((graph.nodes, again.nodes), (graph.edges, again.edges)):
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    into = build(spark, "linear-chain", directed=True).neighbours("in").collect()
+    assert {(r.src, r.dst) for r in into} == {("B", "A"), ("C", "B"), ("D", "C"), ("E", "D")}
+
+
+def test_own_similarity(spark):
+    graph = build(spark, "linear-chain")
+    paths = spark.createDataFrame([("p", ["A", "B", "C"])], "path_id string, nodes array<string>")
+    half = lambda g, pairs: pairs.selectExpr("u", "v", "if(u = 'A', 0.25, 1.0) as mi")
+    assert math.isclose(one(ranking.parse(graph, paths, half)).salience, 0.5)
+
 
+def test_clustering_of_some(spark):
+    graph = build(spark, "social-hub")
+    some = spark.createDataFrame([("alice",), ("bob",), ("nobody",)], "id string")
+    every = {r.id: r.clustering for r in neighbours.clustering(graph).collect()}
+    assert {r.id: r.clustering for r in neighbours.clustering(graph, some).collect()} == {x: every[x] for x in ("alice", "bob")}
 
 def test_random_walk_is_repeatable(spark):
     graph = build(spark, "social-hub").settled()

@@ -54,7 +54,53 @@ def test_metrics(spark):
     assert 0 < metrics.hub_deferral_ratio(graph, all_nodes).first().ratio <= 1
     a = spark.createDataFrame([("p", 1.0), ("q", 2.0), ("r", 3.0)], "item string, score double")
     b = spark.createDataFrame([("p", 9.0), ("q", 5.0), ("r", 1.0)], "item string, score double")
-    assert math.isclose(metrics.spearman(a, b).first().rho, -1.0)
+    assert math.isclose(metrics.spearman(a, b).first().rho, -1.0) and metrics.kendall(a, b).first().tau == -1.0
+    flat = spark.createDataFrame([("p", 1.0), ("q", 1.0), ("r", 1.0)], "item string, score double")
+    assert metrics.spearman(a, flat).first().rho == 0.0 and metrics.kendall(a, flat).first().tau == -1.0
+    assert metrics.spearman(a, b.where("item = 'p'")).first().rho == 1.0 == metrics.kendall(a, b.where("item = 'p'")).first().tau
+    assert metrics.spearman(a, b.limit(0)).first().rho == 0.0 == metrics.kendall(a, b.limit(0)).first().tau
+    ranked = spark.createDataFrame([(["a", "b"], 0.5), (["a", "b"], 0.5)], "nodes array<string>, salience double")
+    assert tuple(metrics.score_spread(ranked).first()) == (0.0, 0.0)
+    ranked = spark.createDataFrame([(["a", "b"], 0.5), (["a", "b", "c"], 0.25), (["a"], 0.75)], "nodes array<string>, salience double")
+    spread = metrics.score_spread(ranked).first()
+    assert math.isclose(spread.score_variance, 0.0625) and math.isclose(spread.length_bias, -1.0)
+    assert metrics.mean_ratio(ranked, F.col("salience") < 0.4, F.col("salience") > 0.4).first().ratio == 0.4
+    assert metrics.mean_ratio(ranked, F.col("salience") > 2, F.col("salience") > 3).first().ratio == 1.0
+    assert metrics.mean_ratio(ranked, F.col("salience") > 0, F.col("salience") > 3).first().ratio == math.inf
+    assert {r.id: r.salience for r in metrics.salience_counts(ranked).collect()} == {"a": 3, "b": 2, "c": 1}
+    hops = spark.createDataFrame([("p", 0.5), ("p", 0.125), ("q", 0.0), ("q", 1.0)], "path_id string, mi double")
+    assert {r.path_id: round(r.mi, 9) for r in metrics.path_mi(hops).collect()} == {"p": 0.25, "q": 0.0}
+
+
+def test_kendall_against_all_pairs(spark):
+    r = random.Random(9)
+    xs = [(f"i{i}", float(r.randrange(12)), float(r.randrange(9))) for i in range(60)]
+    frame = spark.createDataFrame(xs, "item string, x double, y double")
+    sign = lambda v: (v > 0) - (v < 0)
+    agree = sum(1 if sign(a[1] - b[1]) == sign(a[2] - b[2]) else -1 for i, a in enumerate(xs) for b in xs[:i])
+    found = metrics.kendall(frame.selectExpr("item", "x as score"), frame.selectExpr("item", "y as score")).first().tau
+    assert math.isclose(found, agree / (60 * 59 / 2))
+
+
+def test_minibatch_kmeans(spark):
+    r = random.Random(3)
+    centres = [(0.0, 0.0, 0.0), (10.0, 0.0, 5.0), (0.0, 12.0, -5.0)]
+    points = [(i, [c + r.gauss(0, 0.3) for c in centres[i % 3]]) for i in range(300)]
+    frame = spark.createDataFrame(points, "id long, v array<double>").cache()
+    assigned, found = stats.minibatch_kmeans(frame, 3, iterations=15)
+    assert len(found) == 3
+    for c in centres:
+        assert min(math.dist(c, f) for f in found) < 1.0
+    groups = {}
+    for row in assigned.collect():
+        groups.setdefault(row.cluster, set()).add(row.id % 3)
+    assert len(groups) == 3 and all(len(g) == 1 for g in groups.values())
+    again = stats.minibatch_kmeans(frame, 3, iterations=15)[1]
+    assert all(math.dist(a, b) < 1e-9 for a, b in zip(found, again, strict=True))
+    few = stats.minibatch_kmeans(frame.where("id < 2"), 5, iterations=2)[1]
+    assert len(few) == 2 and stats.minibatch_kmeans(frame.limit(0), 3)[1] == []
+    empty = stats.update_centroids(frame.where("id < 3"), frame.selectExpr("id", "0 as cluster"), spark.createDataFrame([(0,), (1,)], "cluster int"))
+    assert {r.value for r in empty.where("cluster = 1").collect()} == {0.0} and empty.where("cluster = 0").count() == 3
 
 
 def test_entropies(spark):
