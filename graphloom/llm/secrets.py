@@ -165,16 +165,21 @@ def scan(docs: DataFrame) -> DataFrame:
     A null or empty text has no spans; whole texts are scanned; null ids, repeated rows and other columns pass through;
     an empty table gives no rows. Columns named base or spans are replaced.
     """
+    return _scanned(docs, "base", "spans")
+
+
+def _scanned(docs: DataFrame, base: str, spans: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumn("base", base_spans(text))
-    more = entropy_spans(text, F.col("base"))
-    return found.withColumn("spans", F.array_sort(F.concat(F.col("base"), more)))
+    found = docs.withColumn(base, base_spans(text))
+    return found.withColumn(spans, F.array_sort(F.concat(F.col(base), entropy_spans(text, F.col(base)))))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents, columns as they came, with every span in their text replaced by ``mark``; n_chars follows."""
-    columns = docs.columns
-    found = scan(docs)
+    columns, spans = docs.columns, "spans"
+    while {spans, spans + "base"} & {c.lower() for c in columns}:
+        spans += "_"
+    found = _scanned(docs, spans + "base", spans)
     text, state = F.col("text"), "struct<at:int,out:string>"
 
     def step(acc: Column, s: Column) -> Column:
@@ -184,10 +189,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(state)
     tail = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    clean = F.when(F.size("spans") > 0, F.aggregate(F.col("spans"), first, step, tail)).otherwise(text)
+    clean = F.when(F.size(spans) > 0, F.aggregate(F.col(spans), first, step, tail)).otherwise(text)
     out = found.withColumn("text", clean)
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text")).otherwise(F.col("n_chars")))
     return out.select(*columns)
 
 
