@@ -15,7 +15,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group, the document with the smallest doc_id stays."""
+    """Of each near-duplicate group, one row with the smallest doc_id stays."""
     return simhash.keep_one(docs)
 
 
