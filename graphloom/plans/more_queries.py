@@ -156,10 +156,10 @@ def hitting_time(spark, d):
 
 @query("resistance")
 def resistance(spark, d):
+    """Between every nation and its region, over the whole graph."""
     graph = trade_graph(spark, d)
-    part = PropertyGraph(graph.nodes.where("type in ('region', 'nation', 'supplier')"), graph.edges.where("type <> 'trades' and src not like 'C:%'"))
-    pairs = part.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    return rounded(dense.resistance(part, pairs), "r", digits=4)
+    pairs = graph.edges.where("type = 'part_of'").select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    return rounded(dense.resistance(graph, pairs), "r", digits=6)
 
 
 @query("salience_counts", "SELECT x AS id, count(*) AS salience FROM (SELECT unnest(nodes) AS x FROM paths) GROUP BY x", PATHS_SQL)

@@ -97,7 +97,15 @@ def degree_stats(spark, d):
     return neighbours.degree_stats(trade_graph(spark, d))
 
 
-@query("validate", "SELECT unnest(['empty node id', 'negative node weight', 'negative edge weight', 'unknown endpoint', 'repeated node', 'repeated edge']) AS rule, CAST(0 AS BIGINT) AS n")
+@query(
+    "validate",
+    """SELECT 'empty node id' AS rule, (SELECT count(*) FROM nodes WHERE id IS NULL OR id = '') AS n
+UNION ALL SELECT 'negative node weight', CAST(0 AS BIGINT)
+UNION ALL SELECT 'negative edge weight', (SELECT count(*) FROM edges WHERE weight < 0)
+UNION ALL SELECT 'unknown endpoint', (SELECT count(*) FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) e ANTI JOIN nodes n ON n.id = e.id)
+UNION ALL SELECT 'repeated node', (SELECT count(*) FROM (SELECT id FROM nodes GROUP BY id HAVING count(*) > 1))
+UNION ALL SELECT 'repeated edge', (SELECT count(*) FROM (SELECT src, dst FROM edges GROUP BY ALL HAVING count(*) > 1))""",
+)
 def validate(spark, d):
     return trade_graph(spark, d).violations()
 

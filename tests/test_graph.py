@@ -81,6 +81,29 @@ def test_ensemble_tables():
     assert {n: bias for n, (_, bias) in seeds.ENSEMBLES.items()} == {"brisk": 0.1, "basil": 0.2, "prism": 0.1, "omnia": 0.05}
 
 
+def test_resistance_against_the_inverse(spark):
+    import numpy as np
+
+    graph = build(spark, "three-community")
+    more = PropertyGraph(
+        graph.nodes.select("id", "type", "weight").union(spark.createDataFrame([("x", None, 1.0), ("y", None, 1.0), ("z", None, 1.0)], "id string, type string, weight double")),
+        graph.edges.select("src", "dst", "type", "weight").union(spark.createDataFrame([("x", "y", None, 1.0)], "src string, dst string, type string, weight double")),
+    )
+    ids = sorted({x for e in edges("three-community") for x in e})
+    at = {x: i for i, x in enumerate(ids)}
+    a = np.zeros((len(ids), len(ids)))
+    for x, y in edges("three-community"):
+        a[at[x], at[y]] = a[at[y], at[x]] = 1.0
+    inverse = np.linalg.pinv(np.diag(a.sum(1)) - a)
+    asked = [("bob", "mia"), ("mia", "bob"), ("alice", "bob"), ("bob", "bob"), ("x", "y"), ("x", "bob"), ("bob", "nobody"), ("z", "x")]
+    found = {(r.u, r.v): r.r for r in dense.resistance(more, spark.createDataFrame(asked, "u string, v string")).collect()}
+    for u, v in asked[:3]:
+        i, j = at[u], at[v]
+        assert math.isclose(found[u, v], inverse[i, i] + inverse[j, j] - 2 * inverse[i, j], rel_tol=1e-6), (u, v)
+    assert found["bob", "bob"] == 1e-10 and math.isclose(found["x", "y"], 1.0, rel_tol=1e-6) and found["bob", "nobody"] == 0.0
+    assert math.isclose(found["x", "bob"], (1 / 2 + 1 / 17) * 1e10) and math.isclose(found["z", "x"], 1.5e10)
+
+
 def test_pair_distances_and_diverse_blocks(spark):
     graph = build(spark, "three-community").settled()
     ids = sorted(r.id for r in graph.nodes.collect())
