@@ -44,9 +44,9 @@ SUBSEQUENCE = 0.6
 ANSWER = 0.5
 #: Items whose cosines with the windows of a batch are computed at once.
 BLOCK_ITEMS = 2000
-#: Documents of a batch whose windows are projected together, and words of the windows summed at once, about.
+#: Documents of a batch whose windows are projected together, and words whose windows are summed at once.
 TOGETHER = 64
-SUMMED = 1 << 16
+SUMMED = 1 << 15
 #: The benchmark itself is collected; more text than this is refused.
 MAX_BYTES = 1 << 28
 
@@ -260,6 +260,21 @@ def windows(sizes: np.ndarray, widths: list[int]) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(owners), np.concatenate(starts), np.concatenate(ends)
 
 
+#: Rows whose running sums one small product with a triangle of ones makes.
+TRIANGLE = np.tril(np.ones((64, 64), np.float32), -1)
+
+
+def _sums(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of rows a..b-1 for each window, as differences of running sums within and over groups of rows."""
+    size = len(TRIANGLE)
+    groups = np.zeros((len(rows) // size + 1, size, rows.shape[1]), np.float32)
+    groups.reshape(-1, rows.shape[1])[: len(rows)] = rows
+    inner = (TRIANGLE @ groups).reshape(-1, rows.shape[1])
+    totals = groups.sum(axis=1, dtype=np.float64)
+    outer = np.cumsum(totals, axis=0) - totals
+    return (outer[b // size] - outer[a // size]).astype(np.float32) + (inner[b] - inner[a])
+
+
 def candidates(
     ids: np.ndarray, sizes: np.ndarray, space: Space, scaled: np.ndarray, energy: np.ndarray, block: int = BLOCK_ITEMS
 ) -> dict:
@@ -272,30 +287,29 @@ def candidates(
     share = (known[end] - known[start]) / np.maximum(whole[end] - whole[start], 1e-12)
     close = share >= COSINE**2
     owner, start, end, share = owner[close], start[close], end[close], np.sqrt(np.minimum(share[close], 1.0))
+    order = np.argsort(start, kind="stable")
+    owner, start, end, share = owner[order], start[order], end[order], share[order]
     offsets = np.cumsum(sizes) - sizes
     found: dict[tuple[int, int], list] = {}
-    part = np.cumsum(end - start) // SUMMED
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(start)]))
+    cuts = np.searchsorted(start, np.arange(0, len(ids) + SUMMED, SUMMED))
     for at, to in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        a, b = start[at:to], end[at:to]
-        if not len(a):
+        if at == to:
             continue
-        heads = np.cumsum(b - a) - (b - a)
-        words = np.arange((b - a).sum()) + np.repeat(a - heads, b - a)
-        summed = np.add.reduceat(scaled[ids[words]], heads, axis=0)
-        norm = np.maximum(np.linalg.norm(summed, axis=1, keepdims=True), 1e-12)
-        summed /= norm
+        a, b = start[at:to], end[at:to]
+        low = int(a[0])
+        summed = _sums(scaled[ids[low : int(b.max())]], a - low, b - low)
+        summed *= (share[at:to] / np.maximum(np.linalg.norm(summed, axis=1), 1e-12)).astype(np.float32)[:, None]
         for first in range(0, len(space.latent), block):
-            near = summed @ space.latent[first : first + block].T * share[at:to, None]
-            for w, item in zip(*np.nonzero(near >= COSINE), strict=True):
+            near = summed @ space.latent[first : first + block].T
+            for w, item in zip(*(x.tolist() for x in np.nonzero(near >= COSINE)), strict=True):
                 doc = int(owner[at + w])
-                held = found.setdefault((doc, first + int(item)), [0.0, []])
+                held = found.setdefault((doc, first + item), [0.0, []])
                 held[0] = max(held[0], float(near[w, item]))
                 held[1].append((int(a[w] - offsets[doc]), int(b[w] - offsets[doc])))
     return found
 
 
-def verify(words: list[int], item: Item, spans: list[tuple[int, int]], weights: list[float]) -> tuple[float, float]:
+def verify(words: np.ndarray, item: Item, spans: list[tuple[int, int]], weights: list[float]) -> tuple[float, float]:
     """Best share of the item's words, and its answer's weight there, near any candidate window.
 
     A place that has enough of the answer goes before one that has more of the item.
@@ -311,10 +325,16 @@ def verify(words: list[int], item: Item, spans: list[tuple[int, int]], weights:
             merged.append([a, b])
     for a, b in merged:
         region = words[a:b]
+        # words that the item does not have change no subsequence and no answer
+        own = np.flatnonzero(np.isin(region, item.words, kind="table"))
+        region, length = region[own].tolist(), b - a
         # a subsequence counts only if it stays within twice the item's length
         step = max(1, size // 2)
-        for at in range(0, max(1, len(region) - size), step):
-            near = region[at : at + 2 * size]
+        for at in range(0, max(1, length - size), step):
+            first, last = np.searchsorted(own, (at, at + 2 * size)).tolist()
+            if last - first < SUBSEQUENCE * size:
+                continue
+            near = region[first:last]
             share = common_subsequence(near, item.masks, size) / size
             if share >= SUBSEQUENCE:
                 have = set(near)
@@ -344,7 +364,7 @@ def _matches(rows: DataFrame, space: Space, block: int) -> DataFrame:
                 sizes = np.array([len(h) for h in held], np.int64)
                 found = candidates(np.concatenate(held), sizes, own, scaled, energy, block)
                 for (doc, n), (cosine, spans) in found.items():
-                    share, answer = verify(held[doc].tolist(), own.items[n], spans, listed)
+                    share, answer = verify(held[doc], own.items[n], spans, listed)
                     if share >= SUBSEQUENCE and answer >= ANSWER:
                         name = part.column(0)[doc].as_py()
                         out.append((name, own.items[n].item_id, min(1.0, cosine), share, answer))

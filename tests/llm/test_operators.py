@@ -579,7 +579,7 @@ def test_decontam_any_place_that_passes():
     weights = [1.0] * 21
     more, whole = list(range(16)), list(range(8)) + list(range(15, 20))
     words = [20] * 40 + more + [20] * 200 + whole + [20] * 40
-    share, answer = decontam.verify(words, item, [(40, 56), (256, 269)], weights)
+    share, answer = decontam.verify(np.array(words), item, [(40, 56), (256, 269)], weights)
     assert (share, answer) == (13 / 20, 1.0)
 
 
@@ -612,7 +612,7 @@ def test_decontam_against_brute_force(spark):
         ids = [terms.get(w, len(terms)) for w in decontam.tokens(text)]
         for item in space.items:
             places = [(k, k + len(item.words)) for k in range(0, len(ids), max(1, len(item.words) // 2))]
-            share, answer = max((decontam.verify(ids, item, [p], weights) for p in places), key=lambda x: (x[1] >= 0.5, x[0]))
+            share, answer = max((decontam.verify(np.array(ids, np.int64), item, [p], weights) for p in places), key=lambda x: (x[1] >= 0.5, x[0]))
             if share >= decontam.SUBSEQUENCE and answer >= decontam.ANSWER:
                 wanted.add((doc, item.item_id))
             if decontam.common_subsequence(ids, item.masks, len(item.words)) >= decontam.SUBSEQUENCE * len(item.words):
@@ -637,6 +637,15 @@ def test_decontam_odd_rows(spark):
     assert sorted(((x.doc_id, x.text) for x in left.collect()), key=str) == sorted([(None, other), (5, other), (6, None)], key=str)
 
 
+def test_window_sums():
+    rng = np.random.default_rng(1)
+    for n in (1, 63, 64, 65, 500):
+        rows_ = rng.standard_normal((n, 5)).astype(np.float32)
+        a = rng.integers(0, n, 40)
+        b = np.minimum(n, a + rng.integers(1, 200, 40))
+        assert np.allclose(decontam._sums(rows_, a, b), [rows_[i:j].sum(0) for i, j in zip(a, b, strict=True)], atol=1e-4)
+
+
 def test_common_subsequence():
     r = random.Random(3)
     for _ in range(200):
