@@ -13,7 +13,7 @@ from graphloom.operators import explore
 from graphloom.plans.queries import CLUSTERING, ENTROPY, query
 from graphloom.sources import trade_graph
 
-BUDGET = 20
+BUDGET = 8
 CONFIG = explore.Config(max_iterations=BUDGET)
 
 
