@@ -14,7 +14,8 @@ from graphloom.plans.queries import CLUSTERING, ENTROPY, query
 from graphloom.sources import trade_graph
 
 BUDGET = 8
-CONFIG = explore.Config(max_iterations=BUDGET)
+#: Priorities that measure many pairs each visit have a smaller one.
+SMALLER = dict.fromkeys(("lace", "fuse", "sift", "reach"), 4)
 
 
 def seed_sets(graph) -> DataFrame:
@@ -149,14 +150,14 @@ FROM (SELECT DISTINCT sid FROM seeds) s LEFT JOIN v{rounds} v ON v.sid = s.sid L
 
 
 def _exploration(name: str) -> None:
-    sql, ctes = None, ""
+    sql, ctes, budget = None, "", SMALLER.get(name, BUDGET)
     if name in RULES:
-        sql, ctes = _sql(BUDGET), f"{_ctes(name, BUDGET)}, met AS MATERIALIZED ({_meetings(BUDGET)})"
+        sql, ctes = _sql(budget), f"{_ctes(name, budget)}, met AS MATERIALIZED ({_meetings(budget)})"
 
     @query(name, sql, ctes)
     def run(spark, d):
         graph = trade_graph(spark, d).settled()
-        return summary(explore.explore(graph, seed_sets(graph), name, CONFIG))
+        return summary(explore.explore(graph, seed_sets(graph), name, explore.Config(max_iterations=budget)))
 
 
 for _name in explore.PRIORITIES:
