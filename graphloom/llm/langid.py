@@ -4,6 +4,9 @@ Every letter has a random vector of +1 and -1. A trigram is bound from its lette
 place, a text is the bundle (sum) of its trigrams, and a language the bundle of its training texts. A text gets the
 language whose prototype has the largest cosine with it. Bundling is linear, so trigrams are counted first and vectors
 are summed once per different trigram.
+
+Training texts weigh alike, however long: the counts of each are brought to unit length before they join their
+language. Vectors of different trigrams are all but orthogonal, so its bundle has unit length up to that.
 """
 
 from __future__ import annotations
@@ -86,9 +89,10 @@ class Encoder:
 
     def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         out = np.zeros(self.dimensions, np.float64)
+        kind = np.float32 if counts.dtype.kind == "i" else np.float64
         for at in range(0, len(grams), 4096):
             rows = self._rows(grams[at : at + 4096])
-            out += counts[at : at + 4096].astype(np.float32) @ self.vectors[rows].astype(np.float32)
+            out += counts[at : at + 4096].astype(kind) @ self.vectors[rows].astype(kind)
         return out
 
 
@@ -108,7 +112,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams, counts = encoder.count(text.as_py())
             if len(grams):
                 held = open_.setdefault(lang.as_py(), [])
-                held.append((grams, counts))
+                held.append((grams, counts / np.linalg.norm(counts)))
                 if sum(len(g) for g, _ in held[-64:]) > CHUNK or len(held) > 512:
                     settle(lang.as_py())
     for lang in open_:

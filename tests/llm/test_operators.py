@@ -380,9 +380,12 @@ def test_langid_against_brute_force(spark, docs, table):
             letters[c] = 2 * np.random.default_rng([langid.SEED, c]).integers(0, 2, langid.DIMENSIONS) - 1
         return letters[c]
 
-    def bundled(text):
+    def bundled(text, alike=False):
         codes = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} "))
         counts, out = Counter(codes[i : i + 3] for i in range(len(codes) - 2)), np.zeros(langid.DIMENSIONS)
+        if alike:
+            size = math.sqrt(sum(n * n for n in counts.values()))
+            counts = {g: n / size for g, n in counts.items()}
         for g, n in counts.items():
             a, b, c = (letter(ord(x) if x != " " else 0) for x in g)
             out += n * np.roll(a, 2) * np.roll(b, 1) * c
@@ -391,7 +394,7 @@ def test_langid_against_brute_force(spark, docs, table):
     sums = {}
     for doc, text, lang, *_ in rows_:
         if lang and (doc is None or zlib.crc32(str(doc).encode()) % 5):
-            sums[lang] = sums.get(lang, 0) + bundled(text)
+            sums[lang] = sums.get(lang, 0) + bundled(text, alike=True)
     unit = {k: v / np.linalg.norm(v) for k, v in sorted(sums.items())}
     wanted = []
     for doc, text, *_ in rows_:
@@ -410,6 +413,19 @@ def test_langid_against_brute_force(spark, docs, table):
     assert langid.predict(frame.limit(0), prototypes).count() == 0
 
 
+def test_langid_with_one_huge_text(spark):
+    """A row that holds 99 % of its language's letters, on a few words, does not make the prototype alone."""
+    r = random.Random(4)
+    words = {"en": "the of and with there house street water under which would".split(), "de": "der die und nicht wasser welche heute strasse unter dort".split()}
+    table = [(i, " ".join(r.choice(words[k]) for _ in range(25)), k) for i, k in enumerate(sorted(words) * 30)]
+    table.append((60, "the house with the water " * 30_000, "de"))
+    letters = [sum(map(str.isalpha, t[1])) for t in table if t[2] == "de"]
+    assert max(letters) > 0.99 * sum(letters)
+    frame = spark.createDataFrame(table, "doc_id long, text string, lang string").repartition(3)
+    found = {x.doc_id: x.lang_pred for x in langid.predict(frame, langid.train(frame)).collect()}
+    assert all(found[i] == k for i, _, k in table[:60])
+
+
 def test_langid_without_training(spark, docs, empty):
     assert {r.lang_pred for r in langid.predict(docs, langid.train(empty)).collect()} == {"und"}
 
