@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from graphloom.llm import (
     decontam,
+    exact,
     langid,
     licenses,
     mixing,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_decontam": decontam.op8_decontam,
     "op9_licenses": licenses.op9_licenses,
     "op10_mixing": mixing.op10_mixing,
+    "op13_exact_dedup": exact.op13_exact_dedup,
 }
 
 ORACLES = {
@@ -33,4 +35,5 @@ ORACLES = {
     "op5_quotes": quotes.ORACLE_SQL,
     "op6_secrets": secrets.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
+    "op13_exact_dedup": exact.ORACLE_SQL,
 }
