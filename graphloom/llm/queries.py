@@ -7,6 +7,7 @@ from graphloom.llm import (
     exact,
     langid,
     licenses,
+    merkle,
     mixing,
     quality,
     quotes,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_decontam": decontam.op8_decontam,
     "op9_licenses": licenses.op9_licenses,
     "op10_mixing": mixing.op10_mixing,
+    "op12_merkle": merkle.op12_merkle,
     "op13_exact_dedup": exact.op13_exact_dedup,
 }
 
@@ -35,5 +37,6 @@ ORACLES = {
     "op5_quotes": quotes.ORACLE_SQL,
     "op6_secrets": secrets.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
+    "op12_merkle": merkle.ORACLE_SQL,
     "op13_exact_dedup": exact.ORACLE_SQL,
 }
