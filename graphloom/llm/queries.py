@@ -9,6 +9,7 @@ from graphloom.llm import (
     licenses,
     merkle,
     mixing,
+    prefixes,
     quality,
     quotes,
     secrets,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_decontam": decontam.op8_decontam,
     "op9_licenses": licenses.op9_licenses,
     "op10_mixing": mixing.op10_mixing,
+    "op11_prefix_trie": prefixes.op11_prefix_trie,
     "op12_merkle": merkle.op12_merkle,
     "op13_exact_dedup": exact.op13_exact_dedup,
 }
@@ -37,6 +39,7 @@ ORACLES = {
     "op5_quotes": quotes.ORACLE_SQL,
     "op6_secrets": secrets.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
+    "op11_prefix_trie": prefixes.ORACLE_SQL,
     "op12_merkle": merkle.ORACLE_SQL,
     "op13_exact_dedup": exact.ORACLE_SQL,
 }
