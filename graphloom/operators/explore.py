@@ -6,8 +6,10 @@ neighbours come from an equi-join with the arcs, meetings from a join of the vis
 and priorities are columns made from degrees, from counts over earlier visits, or from pair similarities. No graph, no
 neighbourhood and no seed set is gathered in a task or on the driver. Rounds are written to the shared folder.
 
-The number of rounds is that of the visits of the longest exploration, so the limits of ``Config`` are what an
-exploration costs: it is a sampling operator with a budget. Without limits it ends when everything in reach is visited.
+With a limit, or where priorities depend on what was visited, the number of rounds is that of the visits of the longest
+exploration: a sampling operator with a budget. Without a limit, and where a node's priority is fixed or its age, the
+order of each seed is found apart, in rounds of as many visits as are certain to come next (``orders.py``), and the
+orders of a set are merged by sorting.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators import orders
 from graphloom.operators.neighbours import local_density, type_entropy
 from graphloom.operators.similarity import pair_similarity
-from graphloom.plans.lineage import cut
+from graphloom.plans.lineage import cut, drop
 from graphloom.sources.graph import PropertyGraph
 
 #: Decimal places to which priorities are compared.
@@ -48,15 +51,18 @@ class Config:
 
 
 class Log:
-    """A growing table: parts written round by round, merged now and then."""
+    """A growing table: parts written round by round, merged now and then, when the parts are deleted."""
 
     def __init__(self, first: DataFrame, label: str) -> None:
         self.label, self.parts = label, [first]
 
     def add(self, rows: DataFrame) -> None:
+        if len(self.parts) >= MERGED:
+            whole = cut(self.rows, self.label)
+            for p in self.parts:
+                drop(p)
+            self.parts = [whole]
         self.parts.append(rows)
-        if len(self.parts) > MERGED:
-            self.parts = [cut(self.rows, self.label)]
 
     @property
     def rows(self) -> DataFrame:
@@ -70,30 +76,34 @@ class Log:
 class State:
     """What a priority may look at while it ranks candidates.
 
-    ``visits``: (seed_set_id, f, node, parent, chain, turn). ``marks``: (seed_set_id, node, f, turn), every visit and
-    every seed; the latest of a node tells who holds it.
+    ``seeds``: (seed_set_id, f, node). ``visits``: (seed_set_id, f, node, parent, turn, chain). ``met``: (seed_set_id,
+    turn, a, b, nodes), every visit of a node that another frontier visited before.
     """
 
     graph: PropertyGraph
     arcs: DataFrame
     features: DataFrame
     config: Config
+    seeds: DataFrame
     visits: Log
-    marks: Log
+    met: Log
     likeness: Log | None = field(default=None)
+    #: Tables of this round, deleted when the next candidates are written.
+    written: list[DataFrame] = field(default_factory=list)
 
     @property
     def paths(self) -> DataFrame:
-        """(seed_set_id, turn, a, b, nodes): every visit of a node that another frontier visited before."""
-        visits = self.visits.rows
-        before = visits.select("seed_set_id", "node", F.col("f").alias("b"), F.col("chain").alias("tail"), F.col("turn").alias("earlier"))
-        met = visits.join(before, ["seed_set_id", "node"]).where("b <> f and earlier < turn")
-        joined = F.concat("chain", F.slice(F.reverse("tail"), F.lit(2), F.size("tail")))
-        return met.select("seed_set_id", "turn", F.col("f").alias("a"), "b", joined.alias("nodes"))
+        return self.met.rows
+
+    @property
+    def marks(self) -> DataFrame:
+        """(seed_set_id, node, f, turn), every visit and every seed; the latest of a node tells who holds it."""
+        columns = ["seed_set_id", "node", "f", "turn"]
+        return self.seeds.withColumn("turn", F.lit(0)).select(columns).union(self.visits.rows.select(columns))
 
     def holders(self) -> DataFrame:
         """(seed_set_id, node, holder): the frontier that visited each node last."""
-        last = self.marks.rows.groupBy("seed_set_id", "node").agg(F.max(F.struct("turn", "f")).alias("m"))
+        last = self.marks.groupBy("seed_set_id", "node").agg(F.max(F.struct("turn", "f")).alias("m"))
         return last.select("seed_set_id", "node", F.col("m.f").alias("holder"))
 
     def bridge(self, rows: DataFrame) -> DataFrame:
@@ -136,7 +146,9 @@ class State:
         self._measure(pairs)
         known = pairs.join(self.likeness.rows, ["u", "v"])
         weighted = F.sum(F.col("jaccard") * F.col("c")) / F.sum("c")
-        mean = known.groupBy("seed_set_id", "f", "node").agg(weighted.alias("mean"))
+        mean = cut(known.groupBy("seed_set_id", "f", "node").agg(weighted.alias("mean")), "mean")
+        drop(pairs)
+        self.written.append(mean)
         return _with_count(rows, mean, ["seed_set_id", "f", "node"], "mean")
 
     def _measure(self, pairs: DataFrame) -> None:
@@ -146,8 +158,10 @@ class State:
             wanted = wanted.join(self.likeness.rows, ["u", "v"], "left_anti")
         wanted = cut(wanted, "unmeasured")
         if self.likeness is not None and wanted.limit(1).count() == 0:
+            drop(wanted)
             return
         found = cut(pair_similarity(self.graph, wanted, ("jaccard",)), "likeness")
+        drop(wanted)
         if self.likeness is None:
             self.likeness = Log(found, "likeness")
         else:
@@ -307,13 +321,15 @@ def explore(
     graph = graph.settled()
     arcs = cut(graph.arcs.select("src", "dst").distinct(), "arcs")
     features = cut(node_features(graph, algorithm, type_of), "features")
+    limited = config.max_nodes or config.max_iterations or config.max_paths
     listed = seeds.groupBy("seed_set_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s"))
     listed = cut(listed.select("seed_set_id", F.posexplode("s").alias("f", "x")).select("seed_set_id", "f", F.col("x.id").alias("node")), "seeds")
+    if not limited and priority is None and algorithm in ORDERED:
+        return _exhausted(graph, arcs, features, config, listed, algorithm)
     none = F.lit(None).cast("string").alias("parent")
     start = listed.select("seed_set_id", "f", "node", none, F.lit(0).alias("turn"))
     visits = start.select("*", F.array("node").alias("chain")).limit(0)
-    marks = start.select("seed_set_id", "node", "f", "turn")
-    state = State(graph, arcs, features, config, Log(visits, "visits"), Log(cut(marks, "marks"), "marks"))
+    state = State(graph, arcs, features, config, listed, Log(visits, "visits"), Log(_met(visits, visits), "met"))
     ranked = cut(_ranked(state, start, rank), "open")
     turn = 0
     while not config.max_iterations or turn < config.max_iterations:
@@ -321,8 +337,8 @@ def explore(
         now = cut(_visit(state, ranked, turn, fair), "now")
         if turn % LOOKED == 0 and now.limit(1).count() == 0:
             break
+        state.met.add(cut(_met(now, state.visits.rows), "met"))
         state.visits.add(now)
-        state.marks.add(now.select("seed_set_id", "node", "f", "turn"))
         taken = now.select("seed_set_id", "f", F.col("node").alias("taken"))
         rest = ranked.join(taken, ["seed_set_id", "f"], "left").where("taken is null or taken <> node").select(*CANDIDATE)
         near = now.join(arcs, now["node"] == arcs["src"]).select("seed_set_id", "f", F.col("dst").alias("node"), F.col("src").alias("parent"), "turn")
@@ -330,8 +346,52 @@ def explore(
         both = rest.unionByName(_ranked(state, fresh, rank))
         # of the pushes of one node by one frontier only the best is ever visited
         best = both.groupBy("seed_set_id", "f", "node").agg(F.min(F.struct("p", "turn", "parent")).alias("m"))
-        ranked = cut(best.select("seed_set_id", "f", "node", "m.parent", "m.turn", "m.p"), "open")
-    return _results(state, listed, arcs, turn)
+        following = cut(best.select("seed_set_id", "f", "node", "m.parent", "m.turn", "m.p"), "open")
+        for old in (ranked, *state.written):
+            drop(old)
+        ranked, state.written = following, []
+    return _results(state, listed, arcs)
+
+
+#: Priorities whose orders can be found seed by seed: by a fixed value of the node, or by age.
+ORDERED = ("base", "dome", "dome_high_degree", "edge", "hae", "tide", "random_priority", *orders.BY_AGE)
+
+
+def _met(now: DataFrame, earlier: DataFrame) -> DataFrame:
+    """The paths that visits close with earlier visits of the same node by other frontiers."""
+    before = earlier.select("seed_set_id", "node", F.col("f").alias("b"), F.col("chain").alias("tail"), F.col("turn").alias("earlier"))
+    met = now.join(before, ["seed_set_id", "node"]).where("b <> f and earlier < turn")
+    joined = F.concat("chain", F.slice(F.reverse("tail"), F.lit(2), F.size("tail")))
+    return met.select("seed_set_id", "turn", F.col("f").alias("a"), "b", joined.alias("nodes"))
+
+
+def _exhausted(
+    graph: PropertyGraph, arcs: DataFrame, features: DataFrame, config: Config, listed: DataFrame, algorithm: str
+) -> Exploration:
+    """Everything in reach, for priorities that do not depend on other frontiers.
+
+    At any time the frontier with the best candidate goes on, so the visits of a set are sorted by the worst value that
+    their frontier has had to take so far, then by frontier, then in its order.
+    """
+    starts = cut(listed.select(F.col("node").alias("seed")).distinct(), "starts")
+    if algorithm in orders.BY_AGE:
+        found = orders.by_age(graph, arcs, starts, depth_first=algorithm == "dfs_priority")
+    else:
+        strange = starts.select(F.col("seed").alias("node")).join(features, "node", "left_anti")
+        known = features.unionByName(strange, allowMissingColumns=True).fillna(0)
+        none = Log(listed, "none")
+        ranked = PRIORITIES[algorithm](State(graph, arcs, features, config, listed, none, none), known)
+        found = orders.by_value(arcs, starts, ranked.select("node", F.round("p", DIGITS).alias("p")))
+    found = orders.with_chains(found)
+    rows = listed.select("seed_set_id", "f", F.col("node").alias("seed")).join(found, "seed")
+    if algorithm == "standard_bfs":
+        rows = orders.levelled(rows)
+    else:
+        order = {"frontier_balanced": ["f", "i"], "dfs_priority": ["f", "i"], "round_robin": ["i", "f"]}
+        rows = orders.turns(rows, order.get(algorithm, ["top", "f", "i"]))
+    visits = cut(rows.select("seed_set_id", "f", "node", "parent", "turn", "chain"), "visits")
+    state = State(graph, arcs, features, config, listed, Log(visits, "visits"), Log(_met(visits, visits), "met"))
+    return _results(state, listed, arcs)
 
 
 def _ranked(state: State, rows: DataFrame, rank: Priority) -> DataFrame:
@@ -351,7 +411,7 @@ def _visit(state: State, ranked: DataFrame, turn: int, fair: bool) -> DataFrame:
     best = rows.groupBy("seed_set_id").agg(F.min(F.struct(*order)).alias("m"))
     best = best.select("seed_set_id", "m.f", "m.node", "m.parent", F.lit(turn).alias("turn"))
     if state.config.max_nodes:
-        held = state.marks.rows.groupBy("seed_set_id").agg(F.countDistinct("node").alias("c"))
+        held = state.marks.groupBy("seed_set_id").agg(F.countDistinct("node").alias("c"))
         best = best.join(held.where(F.col("c") >= state.config.max_nodes), "seed_set_id", "left_anti")
     if state.config.max_paths:
         held = state.paths.groupBy("seed_set_id").agg(F.count("*").alias("c"))
@@ -362,7 +422,7 @@ def _visit(state: State, ranked: DataFrame, turn: int, fair: bool) -> DataFrame:
     return known.select("seed_set_id", "f", "node", "parent", "turn", chain.alias("chain"))
 
 
-def _results(state: State, listed: DataFrame, arcs: DataFrame, turns: int) -> Exploration:
+def _results(state: State, listed: DataFrame, arcs: DataFrame) -> Exploration:
     config = state.config
     paths = cut(state.paths.withColumnsRenamed({"a": "from_frontier", "b": "to_frontier"}), "paths")
     visits = cut(state.visits.rows, "visited")
@@ -371,7 +431,7 @@ def _results(state: State, listed: DataFrame, arcs: DataFrame, turns: int) -> Ex
     sets = listed.select("seed_set_id").distinct()
     key = ["seed_set_id"]
     stats = _with_count(sets, visits.groupBy(*key).agg(F.count("*").alias("iterations")), key, "iterations")
-    nodes = state.marks.rows.groupBy(*key).agg(F.countDistinct("node").alias("nodes_visited"))
+    nodes = state.marks.groupBy(*key).agg(F.countDistinct("node").alias("nodes_visited"))
     stats = _with_count(stats, nodes, key, "nodes_visited")
     stats = _with_count(stats, seen.groupBy(*key).agg(F.count("*").alias("edges_traversed")), key, "edges_traversed")
     stats = _with_count(stats, paths.groupBy(*key).agg(F.count("*").alias("paths_found")), key, "paths_found")

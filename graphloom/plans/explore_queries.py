@@ -1,7 +1,8 @@
 """Registered explorations of the trade graph, and the same visit by visit in SQL.
 
-A supplier and the customer of the same number are the seeds of a set. Exploration is a sampling operator: BUDGET is the
-number of visits of every set. The trail of a set lists its visits in order, its meetings the paths that were found.
+There is a set for each supplier: two customers of its nation, so that frontiers meet. With a budget, exploration is a
+sampling operator: BUDGET is the number of visits of every set. The trail of a set lists its visits in order, its
+meetings the paths that were found. The explorations named ``exhaust_…`` have no limit and visit everything in reach.
 """
 
 from __future__ import annotations
@@ -9,21 +10,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import explore
-from graphloom.plans.queries import CLUSTERING, ENTROPY, query
+from graphloom.operators import explore, extract
+from graphloom.plans.lineage import cut
+from graphloom.plans.numbering import numbered
+from graphloom.plans.queries import CLUSTERING, ENTROPY, ORACLES, QUERIES, query
 from graphloom.sources import trade_graph
 
-BUDGET = 8
+BUDGET = 12
 #: Priorities that measure many pairs each visit have a smaller one.
 SMALLER = dict.fromkeys(("lace", "fuse", "sift", "reach"), 4)
 
 
 def seed_sets(graph) -> DataFrame:
-    """One set per supplier: it and the customer of the same number."""
-    suppliers = graph.nodes.where("type = 'supplier'").select(F.substring("id", 3, 20).cast("long").alias("seed_set_id"))
-    pairs = F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("S:").alias("p")), F.struct(F.lit(1).alias("pos"), F.lit("C:").alias("p"))))
-    rows = suppliers.select("seed_set_id", pairs.alias("x"))
-    return rows.select("seed_set_id", "x.pos", F.concat("x.p", F.col("seed_set_id").cast("string")).alias("id"))
+    """A set per supplier: of the customers of its nation by degree, the first and the one of the supplier's rank.
+
+    The supplier of rank r in its nation, from 1, takes the customer of place r (from 0) and the first one, in this order.
+    """
+    home = graph.arcs.where("type = 'located_in' and dst like 'N:%'").select(F.col("src").alias("node"), F.col("dst").alias("home"))
+    degree = graph.arcs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"))
+    customers = home.where("node like 'C:%'").join(degree, "node").select("home", F.struct("d", "node").alias("id"))
+    suppliers = home.where("node like 'S:%'").select("home", F.col("node").alias("id"))
+    placed = cut(numbered(customers, "home").select("home", "id.node", "k"), "places")
+    ranks = numbered(suppliers, "home").select("home", F.substring("id", 3, 20).cast("long").alias("seed_set_id"), (F.col("k") + 1).alias("k"))
+    other = ranks.join(placed, ["home", "k"]).select("seed_set_id", F.lit(0).alias("pos"), F.col("node").alias("id"))
+    first = ranks.select("home", "seed_set_id").join(placed.where("k = 0"), "home").select("seed_set_id", F.lit(1).alias("pos"), F.col("node").alias("id"))
+    return other.union(first)
 
 
 def summary(found: explore.Exploration) -> DataFrame:
@@ -91,7 +102,38 @@ RULES = {
 }
 
 
-def _ctes(algorithm: str, rounds: int) -> str:
+_PLACES = """places AS MATERIALIZED (
+  SELECT a.dst AS home, a.src AS node, row_number() OVER (PARTITION BY a.dst, a.src[1] ORDER BY CASE WHEN a.src LIKE 'C:%' THEN d ELSE 0 END, a.src) AS k
+  FROM arcs a JOIN deg ON deg.id = a.src WHERE a.type = 'located_in' AND a.dst LIKE 'N:%')"""
+SEEDS = (
+    _PLACES,
+    """seeds AS MATERIALIZED (
+  SELECT CAST(substr(s.node, 3) AS BIGINT) AS sid, CASE WHEN c.k = 1 THEN 1 ELSE 0 END AS f, c.node AS id
+  FROM places s JOIN places c ON c.home = s.home AND c.node LIKE 'C:%' AND c.k IN (1, s.k + 1) WHERE s.node LIKE 'S:%')""",
+)
+NET_SEEDS = (
+    _PLACES,
+    """seeds AS MATERIALIZED (
+  SELECT CAST(substr(s.node, 3) AS BIGINT) AS sid, u.f, CASE WHEN u.f = 0 THEN s.node ELSE c.node END AS id
+  FROM places s JOIN places c ON c.home = s.home AND c.k = 1, (SELECT unnest([0, 1]) AS f) u)""",
+)
+#: Regions, nations and suppliers without the trades.
+NET_SQL = """nodes AS (
+  SELECT 'R:' || r_regionkey AS id, 'region' AS type FROM region
+  UNION ALL SELECT 'N:' || n_nationkey, 'nation' FROM nation
+  UNION ALL SELECT 'S:' || s_suppkey, 'supplier' FROM supplier
+), edges AS MATERIALIZED (
+  SELECT least(a, b) AS src, greatest(a, b) AS dst, type FROM (
+    SELECT 'N:' || n_nationkey AS a, 'R:' || n_regionkey AS b, 'part_of' AS type FROM nation
+    UNION ALL SELECT 'S:' || s_suppkey, 'N:' || s_nationkey, 'located_in' FROM supplier)
+), arcs AS MATERIALIZED (
+  SELECT src, dst, type FROM edges UNION ALL SELECT dst, src, type FROM edges
+), deg AS MATERIALIZED (
+  SELECT id, count(dst) AS d FROM nodes LEFT JOIN arcs ON src = id GROUP BY id
+)"""
+
+
+def _ctes(algorithm: str, rounds: int, seeds: tuple[str, ...] = SEEDS) -> str:
     joins, value = RULES[algorithm]
     out = [
         CLUSTERING,
@@ -99,8 +141,7 @@ def _ctes(algorithm: str, rounds: int) -> str:
         "near AS MATERIALIZED (SELECT src, list(dst) AS l FROM arcs GROUP BY src)",
         """feat AS MATERIALIZED (SELECT deg.id, deg.d, h, c, coalesce((SELECT sum(n.d) FROM arcs JOIN deg n ON n.id = dst WHERE src = deg.id), 0) AS around
   FROM deg JOIN ent ON ent.id = deg.id JOIN cc ON cc.id = deg.id)""",
-        """seeds AS MATERIALIZED (SELECT CAST(substr(id, 3) AS BIGINT) AS sid, 0 AS f, id FROM nodes WHERE type = 'supplier'
-  UNION ALL SELECT CAST(substr(id, 3) AS BIGINT), 1, 'C:' || substr(id, 3) FROM nodes WHERE type = 'supplier')""",
+        *seeds,
         "v0 AS MATERIALIZED (SELECT sid, f, id AS node, CAST(NULL AS VARCHAR) AS parent, 0 AS turn, [id] AS chain FROM seeds LIMIT 0)",
         "q0 AS MATERIALIZED (SELECT sid, f, id AS node, CAST(NULL AS VARCHAR) AS parent, 0 AS born FROM seeds)",
     ]
@@ -164,9 +205,93 @@ for _name in explore.PRIORITIES:
     _exploration(_name)
 
 
-@query("explore_paths")
+def network(spark, d):
+    """Regions, nations and suppliers, without the trades: a graph in which frontiers meet in a few visits."""
+    graph = trade_graph(spark, d)
+    return extract.filter_graph(graph, F.col("type") != "customer").settled()
+
+
+def network_seeds(graph) -> DataFrame:
+    """A set per supplier: itself and the first of its nation."""
+    home = graph.arcs.where("type = 'located_in' and src like 'S:%'").select(F.col("src").alias("id"), F.col("dst").alias("home"))
+    first = home.groupBy("home").agg(F.min("id").alias("first"))
+    ends = F.posexplode(F.array("id", "first")).alias("pos", "end")
+    rows = home.join(first, "home").select(F.substring("id", 3, 20).cast("long").alias("seed_set_id"), ends)
+    return rows.withColumnRenamed("end", "id")
+
+
+def _network_exploration(name: str) -> None:
+    def run(spark, d):
+        graph = network(spark, d)
+        return summary(explore.explore(graph, network_seeds(graph), name, explore.Config(max_iterations=BUDGET)))
+
+    QUERIES[f"net_{name}"] = run
+    met = f"met AS MATERIALIZED ({_meetings(BUDGET)})"
+    ORACLES[f"net_{name}"] = f"WITH RECURSIVE {NET_SQL}, {_ctes(name, BUDGET, NET_SEEDS)}, {met}\n{_sql(BUDGET)}"
+
+
+for _name in ("dome", "pipe", "sage", "reach", "maze", "fuse", "flux"):
+    _network_exploration(_name)
+
+PATHS_BUDGET = 2 * BUDGET
+
+
+@query(
+    "explore_paths",
+    """SELECT sid AS seed_set_id, turn, a AS from_frontier, b AS to_frontier, nodes FROM met
+WHERE (SELECT count(*) FROM met e WHERE e.sid = met.sid AND e.turn < met.turn) < 3""",
+    f"{_ctes('round_robin', PATHS_BUDGET)}, met AS MATERIALIZED ({_meetings(PATHS_BUDGET)})",
+)
 def explore_paths(spark, d):
-    """Breadth-first until the first three meetings of every set."""
+    """In turns until the first three meetings of every set."""
     graph = trade_graph(spark, d).settled()
-    found = explore.explore(graph, seed_sets(graph), "standard_bfs", explore.Config(max_paths=3, max_iterations=2 * BUDGET))
+    found = explore.explore(graph, seed_sets(graph), "round_robin", explore.Config(max_paths=3, max_iterations=PATHS_BUDGET))
     return found.paths
+
+
+def nation_seeds(graph) -> DataFrame:
+    """A set per nation: its first supplier and its first customer."""
+    home = graph.arcs.where("type = 'located_in' and dst like 'N:%'")
+    first = home.groupBy("dst", F.substring("src", 1, 1).alias("kind")).agg(F.min("src").alias("id"))
+    number = F.substring("dst", 3, 20).cast("long").alias("seed_set_id")
+    return first.select(number, F.when(F.col("kind") == "S", 0).otherwise(1).alias("pos"), "id")
+
+
+#: Levels that the SQL unrolls; the trade graph has six.
+LEVELS = 8
+_LEVELS = ["l0 AS MATERIALIZED (SELECT sid, f, id AS node, CAST(NULL AS VARCHAR) AS parent, 1 AS i, 0 AS lev FROM seeds)", "s0 AS MATERIALIZED (SELECT * FROM l0)"]
+for _k in range(1, LEVELS + 1):
+    _LEVELS += [
+        f"""l{_k} AS MATERIALIZED (SELECT *, (SELECT max(i) FROM l{_k - 1} x WHERE x.sid = z.sid AND x.f = z.f) + row_number() OVER (PARTITION BY sid, f ORDER BY born, node) AS i, {_k} AS lev
+  FROM (SELECT l.sid, l.f, dst AS node, arg_min(l.node, l.i) AS parent, min(l.i) AS born FROM l{_k - 1} l JOIN arcs ON src = l.node
+    ANTI JOIN s{_k - 1} w ON w.sid = l.sid AND w.f = l.f AND w.node = dst GROUP BY ALL) z)""",
+        f"s{_k} AS MATERIALIZED (SELECT * FROM s{_k - 1} UNION ALL SELECT sid, f, node, parent, i, lev FROM l{_k})",
+    ]
+_BY_NATION = """seeds AS MATERIALIZED (
+  SELECT CAST(substr(dst, 3) AS BIGINT) AS sid, CASE WHEN src LIKE 'S:%' THEN 0 ELSE 1 END AS f, min(src) AS id
+  FROM arcs WHERE type = 'located_in' AND dst LIKE 'N:%' GROUP BY ALL)"""
+
+
+def _bfs_turns() -> list[str]:
+    """Turns where the oldest candidate of all frontiers goes first."""
+    out = ["g0 AS MATERIALIZED (SELECT sid, f, node, 1 + f AS turn FROM l0)"]
+    for k in range(1, LEVELS + 1):
+        out.append(f"""g{k} AS MATERIALIZED (SELECT l.sid, l.f, l.node, (SELECT max(turn) FROM g{k - 1} x WHERE x.sid = l.sid)
+  + row_number() OVER (PARTITION BY l.sid ORDER BY g.turn, l.node) AS turn
+  FROM l{k} l JOIN g{k - 1} g ON g.sid = l.sid AND g.f = l.f AND g.node = l.parent)""")
+    return [*out, "g AS (" + " UNION ALL ".join(f"SELECT * FROM g{k}" for k in range(LEVELS + 1)) + ")"]
+
+
+def _exhaustive(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()) -> None:
+    @query(f"exhaust_{name}", sql, ", ".join([_BY_NATION, *_LEVELS, *ctes]))
+    def run(spark, d):
+        graph = trade_graph(spark, d).settled()
+        found = explore.explore(graph, nation_seeds(graph), name)
+        return found.visited.select("seed_set_id", "frontier", "id", F.col("turn").cast("long").alias("turn"))
+
+
+_VISITS = "SELECT sid AS seed_set_id, f AS frontier, node AS id, {} AS turn FROM {}"
+_exhaustive("standard_bfs", _VISITS.format("turn", "g"), tuple(_bfs_turns()))
+_exhaustive("round_robin", _VISITS.format("row_number() OVER (PARTITION BY sid ORDER BY i, f)", f"s{LEVELS}"))
+for _name in ("dome", "dfs_priority"):
+    _exhaustive(_name)

@@ -186,6 +186,7 @@ def run(graph: Local, seeds: list[str], priority: Priority, config: Config, fair
     visited: list[dict[int, int | None]] = [{} for _ in seeds]
     everyone: dict[int, None] = {}
     pushed = iterations = traversed = 0
+    order_of: list[tuple[int, str]] = []
     edges: set[tuple[str, str]] = set()
     for f, v in enumerate(index):
         everyone[v] = None
@@ -212,6 +213,7 @@ def run(graph: Local, seeds: list[str], priority: Priority, config: Config, fair
         _, _, v, before = heapq.heappop(heaps[chosen])
         state.turn = iterations + 1
         visited[chosen][v] = before
+        order_of.append((chosen, names[v]))
         everyone[v] = None
         state.last[v] = chosen
         for other, own in enumerate(visited):
@@ -229,6 +231,7 @@ def run(graph: Local, seeds: list[str], priority: Priority, config: Config, fair
     return {
         "paths": [(a, b, [names[n] for n in nodes]) for a, b, nodes in state.paths],
         "nodes": [(f, names[n]) for f, own in enumerate(visited) for n in own],
+        "order": order_of,
         "edges": sorted(edges),
         "stats": {
             "iterations": iterations,
