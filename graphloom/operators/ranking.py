@@ -129,11 +129,13 @@ def communicability(graph: PropertyGraph, paths: DataFrame) -> DataFrame:
     return _by_ends(paths, linalg.communicability(graph, _ends(paths)))
 
 
-def resistance(graph: PropertyGraph, paths: DataFrame) -> DataFrame:
+def resistance(graph: PropertyGraph, paths: DataFrame, error: float | None = None) -> DataFrame:
+    """By 1 / r of the ends: r exact, or with ``error`` from a sketch whose cost does not grow with the pairs."""
     from graphloom.operators import dense
 
-    scores = dense.resistance(graph, _ends(paths)).select("u", "v", F.when(F.col("r") > 0, 1 / F.col("r")).otherwise(0.0).alias("score"))
-    return _by_ends(paths, scores)
+    ends = _ends(paths)
+    found = dense.resistance(graph, ends) if error is None else dense.sketched_resistance(graph, ends, error)
+    return _by_ends(paths, found.select("u", "v", F.when(F.col("r") > 0, 1 / F.col("r")).otherwise(0.0).alias("score")))
 
 
 def hitting_time(graph: PropertyGraph, paths: DataFrame) -> DataFrame:
