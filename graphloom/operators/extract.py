@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators.neighbours import canonical_edges, oriented, triangles
@@ -116,16 +119,78 @@ def edge_triangles(graph: PropertyGraph) -> DataFrame:
     return joined.select("a", "b", F.coalesce("support", F.lit(0)).alias("triangles"))
 
 
-def truss_numbers(graph: PropertyGraph) -> DataFrame:
-    """(a, b, truss): the largest k whose k-truss has the edge; edges in no triangle have 2."""
-    pairs = cut(canonical_edges(graph), "truss")
-    numbered, live, k = pairs.withColumn("truss", F.lit(2)), pairs, 2
+def _h_indices(values: DataFrame, each: Callable[[DataFrame], DataFrame], label: str) -> tuple[DataFrame, int]:
+    """(key, value) after replacing every value by the h-index of its parts until none changes, and the rounds it took.
+
+    ``values``: (key, value), bounds from above. ``each(values)`` gives (key, part): a row per part of a key. The
+    h-index is the largest h with at least h parts of h or more. Parts are counted by value before they are ranked, and
+    those above a key's value count as it, so a key brings at most its value of rows to its window.
+    """
+    values, rounds = cut(values, label), 0
     while True:
-        k += 1
-        live = _truss_pairs(live, k)
-        if live.limit(1).count() == 0:
-            return numbered.groupBy("a", "b").agg(F.max("truss").alias("truss"))
-        numbered = numbered.union(live.withColumn("truss", F.lit(k)))
+        rounds += 1
+        parts = each(values).join(values, "key").groupBy("key", "value", F.least("part", "value").alias("part")).agg(F.count("*").alias("n"))
+        above = F.sum("n").over(W.partitionBy("key").orderBy(F.desc("part")))
+        index = parts.withColumn("h", F.least("part", above)).groupBy("key").agg(F.max("h").alias("h"))
+        found = values.join(index, "key", "left").select("key", F.least("value", F.coalesce("h", F.lit(0))).alias("value"), F.col("value").alias("before"))
+        following = cut(found, label)
+        changed = following.where("value < before").limit(1).count()
+        drop(values)
+        if not changed:
+            return following.select("key", "value"), rounds
+        path = following._cut_path
+        values = following.select("key", "value")
+        values._cut_path = path
+
+
+def core_numbers(graph: PropertyGraph) -> DataFrame:
+    """(id, core): the largest k whose k-core has the node, for all k at once.
+
+    The numbers are the limit of h-indices (Lu et al., 2016): a node's bound, at first its degree, becomes the largest h
+    such that h neighbours have a bound of h or more. A round is a join of the arcs with the bounds.
+    """
+    return _core_numbers(graph)[0]
+
+
+def _core_numbers(graph: PropertyGraph) -> tuple[DataFrame, int]:
+    pairs = canonical_edges(graph)
+    arcs = cut(pairs.select(F.col("a").alias("key"), F.col("b").alias("other")).union(pairs.select("b", "a")), "arcs")
+    degree = graph.nodes.select(F.col("id").alias("key")).join(arcs.groupBy("key").agg(F.count("*").alias("d")), "key", "left")
+    bounds = degree.select("key", F.coalesce("d", F.lit(0)).alias("value"))
+    each = lambda now: arcs.join(now.select(F.col("key").alias("other"), F.col("value").alias("part")), "other").select("key", "part")
+    found, rounds = _h_indices(bounds, each, "cores")
+    return found.select(F.col("key").alias("id"), F.col("value").cast("int").alias("core")), rounds
+
+
+def truss_numbers(graph: PropertyGraph) -> DataFrame:
+    """(a, b, truss): the largest k whose k-truss has the edge; edges in no triangle have 2.
+
+    The triangles are listed once. An edge's bound, at first the number of its triangles, becomes the h-index of its
+    triangles' lesser other bounds, until none changes; two more than that is its number.
+    """
+    return _truss_numbers(graph)[0]
+
+
+def _truss_numbers(graph: PropertyGraph) -> tuple[DataFrame, int]:
+    pairs = cut(canonical_edges(graph).select("a", "b", F.monotonically_increasing_id().alias("key")), "truss")
+    arcs = cut(oriented(pairs.select("a", "b")), "oriented")
+    first = arcs.select(F.col("lo").alias("x"), F.col("hi").alias("y"))
+    second = arcs.select(F.col("lo").alias("y"), F.col("hi").alias("z"))
+    closing = arcs.select(F.col("lo").alias("x"), F.col("hi").alias("z"))
+    found = first.join(second, "y").join(closing, ["x", "z"])
+    for name, p, q in (("xy", "x", "y"), ("yz", "y", "z"), ("xz", "x", "z")):
+        found = found.withColumns({"a": F.least(p, q), "b": F.greatest(p, q)}).join(pairs, ["a", "b"]).drop("a", "b").withColumnRenamed("key", name)
+    found = cut(found.select("xy", "yz", "xz"), "triangles")
+    sides = F.explode(F.array(*(F.struct(F.col(k).alias("key"), F.col(p).alias("p"), F.col(q).alias("q")) for k, p, q in (("xy", "yz", "xz"), ("yz", "xy", "xz"), ("xz", "xy", "yz")))))
+    three = cut(found.select(sides.alias("s")).select("s.*"), "sides")
+    bounds = pairs.select("key").join(three.groupBy("key").agg(F.count("*").alias("value")), "key", "left").fillna(0)
+
+    def each(now: DataFrame) -> DataFrame:
+        other = lambda e: now.select(F.col("key").alias(e), F.col("value").alias(f"v{e}"))
+        return three.join(other("p"), "p").join(other("q"), "q").select("key", F.least("vp", "vq").alias("part"))
+
+    values, rounds = _h_indices(bounds, each, "trusses")
+    return pairs.join(values, "key").select("a", "b", (F.col("value") + 2).cast("int").alias("truss")), rounds
 
 
 #: Canonical edge lists of the graphs of 3 and 4 nodes, and their names. The matching has no common name

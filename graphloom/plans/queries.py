@@ -449,6 +449,22 @@ def kcore(spark, d):
     return extract.k_core(trade_graph(spark, d), 33).edges.select("src", "dst")
 
 
+def _core_numbers_sql(rounds: int) -> str:
+    """CTEs h0..h{rounds}: every node's bound becomes the h-index of its neighbours'."""
+    out = ["h0 AS MATERIALIZED (SELECT id, d AS c FROM deg)"]
+    for i in range(1, rounds + 1):
+        out.append(
+            f"""h{i} AS MATERIALIZED (SELECT h.id, least(any_value(h.c), coalesce(max(x.h), 0)) AS c FROM h{i - 1} h LEFT JOIN (
+  SELECT src, least(c, row_number() OVER (PARTITION BY src ORDER BY c DESC)) AS h FROM arcs JOIN h{i - 1} ON id = dst) x ON x.src = h.id GROUP BY h.id)"""
+        )
+    return ", ".join(out)
+
+
+@query("core_numbers", "SELECT id, CAST(c AS INTEGER) AS core FROM h30", _core_numbers_sql(30))
+def core_numbers(spark, d):
+    return extract.core_numbers(trade_graph(spark, d).settled())
+
+
 @query(
     "edge_triangles",
     "SELECT e.src AS a, e.dst AS b, count(t.a) AS triangles FROM edges e LEFT JOIN sides t ON t.a = e.src AND t.b = e.dst GROUP BY ALL",
