@@ -99,41 +99,103 @@ def communicability(graph: PropertyGraph, pairs: DataFrame, length: int = 15) ->
     return _walks(graph, pairs, [1 / math.factorial(k) for k in range(1, length + 1)], 1.0)
 
 
-def betweenness(graph: PropertyGraph, sources: DataFrame | None = None, compat: bool = False) -> DataFrame:
-    """(id, betweenness): Brandes over all ordered source-target pairs, unnormalised, all sources level by level.
+#: Sources whose levels are kept at once by ``betweenness``.
+SOURCES = 512
 
-    ``sources`` (id) restricts the sources. ``compat`` gives the zeros of the surveyed implementation.
+
+def betweenness(graph: PropertyGraph, sources: DataFrame | None = None, compat: bool = False, block: int = SOURCES) -> DataFrame:
+    """(id, betweenness): Brandes over all ordered source-target pairs, unnormalised, level by level.
+
+    ``sources`` (id) restricts the sources. Without it, trees that hang on an undirected graph are folded first: what
+    they add is a closed form, and the nodes that are left carry the number folded into them as their weight. Sources
+    go in blocks of about ``block``, whose levels are deleted after each: at most block x nodes rows are kept.
+    ``compat`` gives the zeros of the surveyed implementation.
     """
     if compat:
         return graph.nodes.select("id", F.lit(0.0).alias("betweenness"))
     graph = graph.settled()
-    arcs = graph.arcs.select("src", "dst").where("src <> dst").distinct()
-    starts = graph.nodes.select("id") if sources is None else sources.select("id").join(graph.nodes.select("id"), "id")
-    level = starts.select(F.col("id").alias("s"), F.col("id").alias("node"), F.lit(1.0).alias("sigma"))
+    ids = graph.nodes.select("id")
+    arcs = cut(graph.arcs.select("src", "dst").where("src <> dst").distinct(), "arcs")
+    weights, total = ids.select(F.col("id").alias("node"), F.lit(1.0).alias("w")), None
+    if sources is None and not graph.directed:
+        arcs, weights, total = _folded(ids, arcs)
+    weights = cut(weights, "weights")
+    starts = weights if sources is None else weights.join(sources.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    starts = cut(starts, "starts")
+    blocks = max(1, -(-starts.count() // block))
+    for i in range(blocks):
+        some = starts.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == i) if blocks > 1 else starts
+        part = _dependencies(some, arcs, weights, both_ways=not graph.directed)
+        total = part if total is None else total.union(part)
+    sums = total.groupBy("node").agg(F.sum("delta").alias("b"))
+    return ids.join(sums, F.col("id") == F.col("node"), "left").select("id", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
+
+
+def _folded(ids: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Arcs and (node, w) without the trees that hang on the graph, and (node, delta) of the pairs with an end in them.
+
+    A leaf of weight w, itself and what was folded into it, goes into its neighbour u, where its pairs with all nodes
+    outside pass; those with leaves of the same u, of now or before, are counted once. N is the size of the component.
+    """
+    from graphloom.plans.components import connected_components
+
+    home = connected_components(arcs.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    home = cut(home.join(home.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "size"), "sizes")
+    weights = cut(ids.select(F.col("id").alias("node"), F.lit(1.0).alias("w")), "weights")
+    gained = weights.select("node", F.lit(0.0).alias("delta")).limit(0)
+    while True:
+        only = arcs.groupBy("src").agg(F.count("*").alias("d"), F.first("dst").alias("dst")).where("d = 1")
+        # of two that have only each other, the larger id is folded
+        back = only.select(F.col("src").alias("dst"), F.lit(True).alias("mutual"))
+        leaves = only.join(back, "dst", "left").where("mutual is null or src > dst").select(F.col("src").alias("leaf"), F.col("dst").alias("node"))
+        leaves = cut(leaves.join(weights.select(F.col("node").alias("leaf"), F.col("w").alias("own")), "leaf"), "leaves")
+        if leaves.limit(1).count() == 0:
+            return arcs, weights, gained
+        sums = leaves.groupBy("node").agg(F.sum("own").alias("s"), F.sum(F.col("own") * F.col("own")).alias("q"))
+        sums = cut(sums.join(home, "node").join(weights, "node"), "folds")
+        pairs = 2 * (F.col("s") * (F.col("size") - 1) - F.col("q")) - (F.col("s") * F.col("s") - F.col("q")) - 2 * F.col("s") * (F.col("w") - 1)
+        gained = gained.union(sums.select("node", pairs.alias("delta")))
+        gone = leaves.select(F.col("leaf").alias("node"))
+        heavier = weights.join(gone, "node", "left_anti").join(sums.select("node", "s"), "node", "left")
+        weights = cut(heavier.select("node", (F.col("w") + F.coalesce("s", F.lit(0.0))).alias("w")), "weights")
+        rest = arcs.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        arcs = cut(rest.select("src", "dst"), "arcs")
+
+
+def _dependencies(starts: DataFrame, arcs: DataFrame, weights: DataFrame, both_ways: bool) -> DataFrame:
+    """(node, delta): what paths from ``starts`` (node, w) to all nodes add, source and target counted by their weights."""
+    level = starts.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("sigma"))
     level = cut(level, "level")
-    levels, seen = [level], level.select("s", "node")
+    levels = [level]
     while True:
         step = levels[-1].join(arcs, F.col("node") == F.col("src")).groupBy("s", "dst").agg(F.sum("sigma").alias("sigma"))
+        # where arcs go both ways, a step leads back to the last two levels only
+        seen = None
+        for old in levels[-2:] if both_ways else levels:
+            seen = old.select("s", "node") if seen is None else seen.union(old.select("s", "node"))
         fresh = cut(step.withColumnRenamed("dst", "node").join(seen, ["s", "node"], "left_anti"), "level")
         if fresh.limit(1).count() == 0:
             break
         levels.append(fresh)
-        seen = seen.union(fresh.select("s", "node"))
-    total, delta = None, None
+    delta, parts = None, []
     for upper, lower in zip(reversed(levels[:-1]), reversed(levels[1:]), strict=True):
         below = lower.withColumn("delta", F.lit(0.0)) if delta is None else delta
-        below = below.select("s", F.col("node").alias("dst"), F.col("sigma").alias("sw"), F.col("delta").alias("dw"))
+        below = below.join(weights, "node").select("s", F.col("node").alias("dst"), F.col("sigma").alias("sw"), (F.col("w") + F.col("delta")).alias("dw"))
         joined = upper.join(arcs, F.col("node") == F.col("src")).join(below, ["s", "dst"])
-        gain = joined.groupBy("s", "node").agg(F.sum(F.col("sigma") / F.col("sw") * (1 + F.col("dw"))).alias("delta"))
+        gain = joined.groupBy("s", "node").agg(F.sum(F.col("sigma") / F.col("sw") * F.col("dw")).alias("delta"))
         delta = upper.join(gain, ["s", "node"], "left").select("s", "node", "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta"))
         delta = cut(delta, "delta")
-        part = delta.where("s <> node").select("node", "delta")
-        total = part if total is None else total.union(part)
-    ids = graph.nodes.select("id")
-    if total is None:
-        return ids.withColumn("betweenness", F.lit(0.0))
-    sums = total.groupBy("node").agg(F.sum("delta").alias("b"))
-    return ids.join(sums, F.col("id") == F.col("node"), "left").select("id", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
+        parts.append(delta)
+    if not parts:
+        return starts.select("node", F.lit(0.0).alias("delta"))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.union(p)
+    many = rows.where("s <> node").join(weights.select(F.col("node").alias("s"), "w"), "s")
+    total = cut(many.groupBy("node").agg(F.sum(F.col("delta") * F.col("w")).alias("delta")), "dependencies")
+    for old in [*levels, *parts]:
+        drop(old)
+    return total
 
 
 def label_propagation(graph: PropertyGraph, iterations: int = 30) -> DataFrame:
