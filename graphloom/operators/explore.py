@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import orders
 from graphloom.operators.neighbours import local_density, type_entropy
 from graphloom.operators.similarity import pair_similarity
+from graphloom.plans.draws import BITS, drawn
 from graphloom.plans.lineage import cut, drop
 from graphloom.sources.graph import PropertyGraph
 
@@ -236,7 +237,7 @@ def _flux(s: State, rows: DataFrame) -> DataFrame:
 
 
 def hashed_priority(seed: int) -> Column:
-    return F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    return drawn("node", seed=seed) / float(1 << BITS)
 
 
 _degree = _plain(lambda c: F.col("degree"))
@@ -494,10 +495,10 @@ def random_walk(
     now = known.select("seed_set_id", "pos", F.col("id").alias("home"), walk, F.col("id").alias("node"))
     visits = now.withColumn("step", F.lit(0))
     for step in range(1, length + 1):
-        key = F.xxhash64("seed_set_id", "pos", "home", "walk", F.lit(step), F.lit(seed))
+        draw = lambda n, step=step: drawn("seed_set_id", "pos", "walk", F.lit(step), F.lit(n), seed=seed)
         joined = now.join(near, now["node"] == near["src"], "left")
-        back = F.col("near").isNull() | (F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 20)) < int(restart * (1 << 20)))
-        to = F.when(back, F.col("home")).otherwise(F.get("near", F.pmod(key, F.size("near")).cast("int")))
+        back = F.col("near").isNull() | (draw("back") < int(restart * (1 << BITS)))
+        to = F.when(back, F.col("home")).otherwise(F.get("near", (draw("to") % F.size("near")).cast("int")))
         now = joined.select("seed_set_id", "pos", "home", "walk", to.alias("node"))
         if step % 5 == 0:
             now = cut(now, "walk")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import linalg
 from graphloom.operators.similarity import EPSILON, pair_similarity
+from graphloom.plans.draws import BITS, drawn
 from graphloom.plans.lineage import cut
 from graphloom.sources.graph import PropertyGraph
 
@@ -147,8 +148,8 @@ def hitting_time(graph: PropertyGraph, paths: DataFrame) -> DataFrame:
 
 def random_ranking(graph: PropertyGraph, paths: DataFrame, seed: int = 0) -> DataFrame:
     """A hash of the node list and the seed, in [0, 1)."""
-    h = F.pmod(F.xxhash64(F.array_join("nodes", ","), F.lit(seed)), F.lit(1 << 53))
-    return paths.select("path_id", "nodes", (h / float(1 << 53)).alias("score"))
+    h = drawn(F.array_join("nodes", ","), seed=seed)
+    return paths.select("path_id", "nodes", (h / float(1 << BITS)).alias("score"))
 
 
 BASELINES: dict[str, Callable[[PropertyGraph, DataFrame], DataFrame]] = {

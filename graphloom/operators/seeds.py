@@ -18,14 +18,15 @@ from graphloom.operators.linalg import label_propagation, pagerank
 from graphloom.operators.neighbours import triangle_counts
 from graphloom.operators.similarity import pair_features
 from graphloom.operators.traversal import bfs
+from graphloom.plans.draws import drawn
 from graphloom.plans.lineage import cut, drop
-from graphloom.plans.numbering import numbered
+from graphloom.plans.numbering import cumulated, numbered
 from graphloom.sources.graph import PropertyGraph
 
 
 def hashed(*parts: Column | str, seed: int) -> Column:
     """A non-negative hash."""
-    return F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(1 << 62))
+    return drawn(*parts, seed=seed)
 
 
 def draws(left: DataFrame, right: DataFrame, count: int, seed: int) -> DataFrame:
@@ -297,47 +298,45 @@ def grasp(graph: PropertyGraph, clusters: int = 100, per_cluster: int = 10, with
 def stratified(graph: PropertyGraph, field_of: Column, strata: dict[str, Column], per_stratum: int = 10, seed: int = 42) -> tuple[DataFrame, list[str]]:
     """(stratum, source, target, same_field): hashed pairs of classified nodes for each stratum, and the empty strata.
 
-    A stratum is a condition on field_a and field_b. Pairs of fields are judged, not pairs of nodes: node pairs of an
-    eligible pair of fields are drawn by number, with replacement, in proportion to how many there are.
+    A stratum is a condition on field_a and field_b, with field_a <= field_b; it is a condition of the join that makes
+    pairs of fields, so an equality in it is an equi-join. Node pairs of the eligible pairs of fields are numbered by
+    running sums of how many there are, and drawn by number, with replacement: at most ``per_stratum``, and no more than
+    there are. The draws are what is sent to the tasks; pairs of fields stay where they are.
     """
+    spark = graph.nodes.sparkSession
     known = graph.nodes.select("id", field_of.alias("field")).where("field is not null")
     ranked = cut(numbered(known, "field"), "fields")
-    sizes = ranked.groupBy("field").agg(F.count("*").alias("size"))
+    sizes = cut(ranked.groupBy("field").agg(F.count("*").alias("size")), "sizes")
     a = sizes.select(F.col("field").alias("field_a"), F.col("size").alias("na"))
     b = sizes.select(F.col("field").alias("field_b"), F.col("size").alias("nb"))
-    kinds = cut(a.join(b, F.col("field_a") <= F.col("field_b")), "kinds")
-    out, empty = None, []
-    for n, (name, condition) in enumerate(strata.items()):
-        fits = kinds.where(condition).where("field_a <> field_b or na > 1")
-        found = sorted((r.field_a, r.field_b, r.na, r.nb) for r in fits.collect())
-        if not found:
+    picked, empty = [], []
+    for name, condition in strata.items():
+        fits = a.join(b, condition & (F.col("field_a") <= F.col("field_b"))).where("field_a <> field_b or na > 1")
+        same = F.col("field_a") == F.col("field_b")
+        pairs = F.when(same, F.col("na") * (F.col("na") - 1) / 2).otherwise(F.col("na") * F.col("nb")).cast("long")
+        kinds = cut(cumulated(fits.select("*", pairs.alias("pairs"), F.struct("field_a", "field_b").alias("id")), "pairs"), "kinds")
+        total = kinds.agg(F.sum("pairs")).first()[0]
+        if not total:
             empty.append(name)
             continue
-        spark, picks = ranked.sparkSession, []
-        weight = [na * nb if fa != fb else na * (na - 1) // 2 for fa, fb, na, nb in found]
-        for draw in range(min(per_stratum, sum(weight))):
-            at = _mixed(seed, n, draw, 0) % sum(weight)
-            k = next(i for i in range(len(weight)) if at < sum(weight[: i + 1]))
-            fa, fb, na, nb = found[k]
-            i, j = _mixed(seed, n, draw, 1) % na, _mixed(seed, n, draw, 2) % (nb - (fa == fb))
-            picks.append((name, draw, fa, i, fb, j + (fa == fb and j >= i)))
-        rows = spark.createDataFrame(picks, "stratum string, draw int, field_a string, i int, field_b string, j int")
-        out = rows if out is None else out.union(rows)
-    schema = "stratum string, source string, target string, same_field boolean"
-    if out is None:
-        return ranked.sparkSession.createDataFrame([], schema), empty
+        which = lambda n, name=name: drawn(F.lit(name), "draw", F.lit(n), seed=seed)
+        rows = spark.range(min(per_stratum, total)).select(F.col("id").alias("draw"))
+        rows = rows.select("draw", (which("pair") % total).alias("at"), which("i").alias("i"), which("j").alias("j"))
+        found = kinds.join(F.broadcast(rows), (F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("pairs")))
+        i, j = F.col("i") % F.col("na"), F.col("j") % (F.col("nb") - same.cast("long"))
+        found = found.select(F.lit(name).alias("stratum"), "draw", "field_a", "field_b", i.alias("i"), j.alias("j"))
+        picked.append(found.withColumn("j", F.col("j") + (same & (F.col("j") >= F.col("i"))).cast("long")))
+    if not picked:
+        return spark.createDataFrame([], "stratum string, source string, target string, same_field boolean"), empty
+    out = picked[0]
+    for rows in picked[1:]:
+        out = out.union(rows)
     left = ranked.select(F.col("field").alias("field_a"), F.col("k").alias("i"), F.col("id").alias("source"))
     right = ranked.select(F.col("field").alias("field_b"), F.col("k").alias("j"), F.col("id").alias("target"))
     joined = out.join(left, ["field_a", "i"]).join(right, ["field_b", "j"])
     return joined.select("stratum", "source", "target", (F.col("field_a") == F.col("field_b")).alias("same_field")), empty
 
 
-def _mixed(*parts: int) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(":".join(map(str, parts)).encode())
-
-
 def degree_diverse(graph: PropertyGraph, n_pairs: int, seed: int) -> DataFrame:
     """Half low with high degree, a quarter low with low, the rest high with high; missing ones from the middle."""
     values = graph.degrees().select("id", F.col("deg_both").cast("double").alias("value"))

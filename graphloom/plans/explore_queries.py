@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import explore, extract
+from graphloom.plans.draws import BITS, drawn_sql
 from graphloom.plans.lineage import cut
 from graphloom.plans.numbering import numbered
 from graphloom.plans.queries import CLUSTERING, ENTROPY, ORACLES, QUERIES, query
@@ -87,6 +88,7 @@ RULES = {
     "dfs_priority": ("", "-born"),
     "frontier_balanced": ("", "q.f * 1e9 + born"),
     "round_robin": ("", "born"),
+    "random_priority": ("", f"{drawn_sql('q.node', seed=0)} / CAST({1 << BITS} AS DOUBLE)"),
     "pipe": (_BRIDGE, _PIPE),
     "sage": (_SALIENCE, f"CASE WHEN paths > 0 THEN d - 1000 * {_S} ELSE ln(d + 1) END"),
     "reach": (_SALIENCE + " " + _ENDS, "ln(d + 1) * CASE WHEN paths > 0 THEN 1 - mean ELSE 1 END"),

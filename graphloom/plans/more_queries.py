@@ -7,12 +7,25 @@ from pyspark.sql import functions as F
 from graphloom.functions import stats
 from graphloom.operators import dense, explore, extract, linalg, metrics, ranking, seeds, traversal
 from graphloom.operators.neighbours import clustering, triangle_counts, type_entropy
-from graphloom.plans.explore_queries import seed_sets
+from graphloom.plans.draws import BITS, drawn_sql
+from graphloom.plans.explore_queries import SEEDS, seed_sets
 from graphloom.plans.queries import _MI, CLUSTERING, DIGITS, ENTROPY, FORMULAS, SCORED, _salience, query, rounded
 from graphloom.sources import PropertyGraph, table, trade_graph, trade_paths
 from graphloom.sources.tables import PATHS_SQL
 
-@query("random_walk")
+def _walk_sql(walks: int, length: int, restart: float) -> tuple[str, str]:
+    """The meetings of all walks, and their CTEs."""
+    draw = lambda n: drawn_sql("w.sid", "w.f", "walk", "step + 1", f"'{n}'", seed=0)
+    ctes = f"""near AS MATERIALIZED (SELECT src, list_sort(list(dst)) AS l FROM arcs GROUP BY src), walked AS (
+  SELECT sid, f, id AS home, walk, 0 AS step, id AS node FROM seeds, (SELECT unnest(range({walks})) AS walk)
+  UNION ALL SELECT w.sid, w.f, home, walk, step + 1, CASE WHEN l IS NULL OR {draw("back")} < {int(restart * (1 << BITS))} THEN home ELSE l[1 + {draw("to")} % len(l)] END
+  FROM walked w LEFT JOIN near ON src = node WHERE step < {length}), seen AS (SELECT DISTINCT sid, f, home, node FROM walked)"""
+    sql = """SELECT a.sid AS seed_set_id, any_value(a.home) AS from_seed, min(a.node) AS node, any_value(b.home) AS to_seed
+FROM seen a JOIN seen b ON b.sid = a.sid AND b.node = a.node AND a.f < b.f GROUP BY a.sid, a.f, b.f"""
+    return sql, f"{', '.join(SEEDS)}, {ctes}"
+
+
+@query("random_walk", *_walk_sql(10, 20, 0.15))
 def random_walk(spark, d):
     graph = trade_graph(spark, d).settled()
     return explore.random_walk(graph, seed_sets(graph))[1]
@@ -99,7 +112,24 @@ for _name in seeds.ENSEMBLES:
     _selector(_name, lambda g, n=_name: seeds.ensemble(g, n))
 
 
-@query("stratified")
+def _stratum_sql(name: str, condition: str) -> str:
+    draw = lambda n: drawn_sql(f"'{name}'", "draw", f"'{n}'", seed=42)
+    return f"""SELECT '{name}' AS stratum, fa, fb, CAST({draw("i")} % na AS BIGINT) AS i, CAST({draw("j")} % (nb - same) AS BIGINT) AS j, same
+  FROM (SELECT *, sum(pairs) OVER (ORDER BY fa, fb) - pairs AS start, sum(pairs) OVER () AS total FROM kinds WHERE {condition}), (SELECT unnest(range(10)) AS draw)
+  WHERE draw < total AND {draw("pair")} % total >= start AND {draw("pair")} % total < start + pairs"""
+
+
+@query(
+    "stratified",
+    """SELECT p.stratum, x.id AS source, y.id AS target, p.same = 1 AS same_field FROM picks p
+JOIN ranked x ON x.type = fa AND x.k = i JOIN ranked y ON y.type = fb AND y.k = j + CASE WHEN p.same = 1 AND j >= i THEN 1 ELSE 0 END""",
+    f"""ranked AS MATERIALIZED (SELECT id, type, row_number() OVER (PARTITION BY type ORDER BY id) - 1 AS k FROM nodes),
+sizes AS (SELECT type, count(*) AS n FROM nodes GROUP BY type), kinds AS MATERIALIZED (
+  SELECT a.type AS fa, b.type AS fb, a.n AS na, b.n AS nb, CAST(a.type = b.type AS INTEGER) AS same,
+    CASE WHEN a.type = b.type THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END AS pairs
+  FROM sizes a JOIN sizes b ON a.type <= b.type WHERE a.type <> b.type OR a.n > 1
+), picks AS MATERIALIZED ({_stratum_sql("same", "same = 1")} UNION ALL {_stratum_sql("across", "same = 0")})""",
+)
 def stratified(spark, d):
     strata = {"same": F.col("field_a") == F.col("field_b"), "across": F.col("field_a") != F.col("field_b")}
     return seeds.stratified(trade_graph(spark, d), F.col("type"), strata)[0]

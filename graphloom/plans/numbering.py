@@ -27,3 +27,16 @@ def numbered(rows: DataFrame, *groups: str) -> DataFrame:
         same = same & ranked[g].eqNullSafe(offsets[g])
     joined = ranked.join(offsets, same)
     return joined.select(*(ranked[c] for c in rows.columns), (F.col("__r") + F.col("__o")).alias("k"))
+
+
+def cumulated(rows: DataFrame, value: str) -> DataFrame:
+    """``rows`` with before: the sum of the column ``value`` over the rows of smaller ``id``.
+
+    Ranges of id are summed apart; only their sums, a row each, pass through one window.
+    """
+    parts = cut(rows.repartitionByRange("id").withColumn("__p", F.spark_partition_id()), "ranges")
+    sums = parts.groupBy("__p").agg(F.sum(value).alias("__s"))
+    offsets = sums.select("__p", (F.sum("__s").over(W.orderBy("__p")) - F.col("__s")).alias("__o"))
+    own = F.sum(value).over(W.partitionBy("__p").orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col(value)
+    joined = parts.withColumn("__b", own).join(offsets, "__p")
+    return joined.select(*rows.columns, (F.col("__b") + F.col("__o")).alias("before"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import extract, linalg, neighbours, ranking, similarity, traversal
+from graphloom.plans.draws import BITS, drawn_sql
 from graphloom.sources import directed_trade_graph, table, trade_graph, trade_paths
 from graphloom.sources.tables import GRAPH_SQL, PATHS_SQL
 
@@ -303,7 +304,7 @@ _baseline("shortest", "SELECT path_id, 1.0 / len(nodes) AS s FROM paths", PATHS_
 _baseline("degree_sum", "SELECT path_id, sum(d) AS s FROM (SELECT path_id, unnest(nodes) AS id FROM paths) JOIN deg USING (id) GROUP BY 1", PATHS_SQL)
 _baseline("widest_path", f"SELECT path_id, min(mi) AS s FROM (SELECT path_id, {_JACCARD} AS mi FROM hop h {_MI}) GROUP BY 1")
 _baseline("jaccard_arithmetic", f"SELECT path_id, avg(mi) AS s FROM (SELECT path_id, {_JACCARD} AS mi FROM hop h {_MI}) GROUP BY 1")
-_baseline("random_ranking", None)
+_baseline("random_ranking", f"SELECT path_id, {drawn_sql("array_to_string(nodes, ',')", seed=0)} / CAST({1 << BITS} AS DOUBLE) AS s FROM paths")
 
 
 def _powers(steps: int) -> str:
@@ -572,7 +573,7 @@ def motif4(spark, d):
 
 def _betweenness_sql(kind: str, depth: int) -> str:
     """CTE bt (id, b) from all nodes of a type; v0..: shortest path counts by level, d0..: what hangs on them."""
-    out = [f"v0 AS MATERIALIZED (SELECT id AS s, id AS node, CAST(1 AS DOUBLE) AS sigma FROM nodes WHERE type = '{kind}')"]
+    out = [f"v0 AS MATERIALIZED (SELECT id AS s, id AS node, CAST(1 AS DOUBLE) AS sigma FROM nodes WHERE type LIKE '{kind}')"]
     for k in range(1, depth + 1):
         seen = " UNION ALL ".join(f"SELECT s, node FROM v{i}" for i in range(k))
         out.append(
@@ -600,6 +601,12 @@ def betweenness(spark, d):
     return rounded(linalg.betweenness(graph, graph.nodes.where("type = 'region'")), "betweenness", digits=6)
 
 
+@query("betweenness_all", "SELECT id, round(b, 4) AS betweenness FROM bt", _betweenness_sql("%", 7))
+def betweenness_all(spark, d):
+    """Over all pairs of nodes."""
+    return rounded(linalg.betweenness(trade_graph(spark, d)), "betweenness", digits=4)
+
+
 _baseline(
     "betweenness",
     "SELECT path_id, sum(b) AS s FROM (SELECT path_id, unnest(nodes) AS id FROM paths) JOIN bt USING (id) GROUP BY 1",

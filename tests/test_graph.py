@@ -255,3 +255,16 @@ def test_selectors(spark):
         {"same": __import__("pyspark").sql.functions.expr("field_a = field_b"), "none": __import__("pyspark").sql.functions.lit(False)},
     )
     assert empty == ["none"] and rows.count() == 10 and all(r.same_field for r in rows.collect())
+
+
+def test_stratified_with_many_fields(spark):
+    """100000 fields: pairs of equal fields come from an equi-join, draws by running sums; reruns agree."""
+    from pyspark.sql import functions as F
+
+    nodes = spark.range(200_000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 100_000).cast("string").alias("type"), F.lit(1.0).alias("weight"))
+    none = spark.createDataFrame([], "src string, dst string, type string, weight double")
+    graph = PropertyGraph(nodes, none)
+    runs = [seeds.stratified(graph, F.col("type"), {"same": F.col("field_a") == F.col("field_b")}, 25)[0].collect() for _ in range(2)]
+    assert len(runs[0]) == 25 and sorted(runs[0]) == sorted(runs[1])
+    assert all(r.same_field and r.source != r.target and int(r.source) % 100_000 == int(r.target) % 100_000 for r in runs[0])
+    assert len({r.source for r in runs[0]}) > 15
