@@ -509,8 +509,10 @@ def test_warc(spark, tmp_path):
     table += [(2, "u2", big), (9, "again", big), (None, "n1", big), (None, None, big), (None, "n3", None), (7, "u7", long), (8, "u8", long)]
     frame = spark.createDataFrame([(*t, "x", 1) for t in table], "page_id long, url string, html string, digest string, frame int").repartition(2)
     warc.write_archives(frame, archive(tmp_path))
-    found = warc.read_archives(spark, archive(tmp_path)).collect()
-    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found), key=str)
+    records = warc.read_archives(spark, archive(tmp_path))
+    found = records.collect()
+    whole = warc.resolved(records).collect()
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in whole), key=str)
     wanted = []
     for page, _, html in table:
         raw, last = (html or "").encode(), {big: 9, long: 8}.get(html)
@@ -518,6 +520,10 @@ def test_warc(spark, tmp_path):
         wanted.append((page, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", last if revisit else None))
     assert got == sorted(wanted, key=str)
     assert len({r.record_id for r in found}) == len(table)
+    pages = {r.record_id: r.page_id for r in found if r.record_type == "response"}
+    assert all(pages[r.refers_to_record] == r.refers_to for r in found if r.record_type == "revisit")
+    lost = warc.resolved(records.where("record_type = 'revisit'")).collect()
+    assert lost and all(r.payload_bytes is None and r.payload_digest is None for r in lost)
     files = {f: open(f.removeprefix("file:"), "rb").read() for f in {r.file for r in found}}
     for f, data in files.items():
         plain = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
