@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans.draws import BITS, drawn
+
 
 def shannon_entropy(shares: Column) -> Column:
     """Entropy in bits of an array of shares; shares of 0 or less count nothing."""
@@ -78,7 +78,7 @@ def plus_plus(points: DataFrame, k: int, seed: int = 42) -> list[list[float]]:
     weight in one aggregation; the times come from a hash, so reruns agree.
     """
     spark = points.sparkSession
-    draw = lambda n: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(n)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+    draw = lambda n: (drawn("id", F.lit(n), seed=seed) + 1) / float((1 << BITS) + 1)
     first = points.agg(F.min_by("v", draw(0)).alias("v")).first().v
     centres = [list(first)] if first is not None else []
     while centres and len(centres) < k:
@@ -103,26 +103,45 @@ def minibatch_kmeans(
     centres = plus_plus(points, min(k, n), seed)
     share = min(1.0, max(10, n // 10) / max(n, 1))
     for step in range(iterations if centres else 0):
-        chosen = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(step), F.lit("batch")), F.lit(1 << 30)) < int(share * (1 << 30))
-        batch = points.where(chosen)
-        moved = update_centroids(batch, assign(batch, _centre_rows(spark, centres))).collect()
-        following = [list(c) for c in centres]
-        for r in moved:
-            following[r.cluster][r.i] = r.value
-        shift = max(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5 for a, b in zip(centres, following, strict=True))
-        centres = following
+        chosen = drawn("id", F.lit(step), F.lit("batch"), seed=seed) < int(share * (1 << BITS))
+        centres, shift = _moved(points.where(chosen), centres)
         if shift < tolerance:
             break
+    return _placed(points, centres)
+
+
+def _moved(points: DataFrame, centres: list[list[float]]) -> tuple[list[list[float]], float]:
+    """Centres at the means of their points, those without any where they were, and the largest step."""
+    out = [list(c) for c in centres]
+    for r in update_centroids(points, assign(points, _centre_rows(points.sparkSession, centres))).collect():
+        out[r.cluster][r.i] = r.value
+    return out, max(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5 for a, b in zip(centres, out, strict=True))
+
+
+def _placed(points: DataFrame, centres: list[list[float]]) -> tuple[DataFrame, list[list[float]]]:
     if not centres:
         return points.select("id", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance")), centres
-    return assign(points, _centre_rows(spark, centres)), centres
+    return assign(points, _centre_rows(points.sparkSession, centres)), centres
+
+
+def lloyd(
+    points: DataFrame, k: int, seed: int = 42, iterations: int = 100, tolerance: float = 1e-6
+) -> tuple[DataFrame, list[list[float]]]:
+    """(id, cluster, distance) of all points, and the centres, by Lloyd's steps from a k-means++ start.
+
+    A step assigns all points and averages each cluster, combined before the shuffle; only centres pass through the
+    driver. Ends where no centre moves more than ``tolerance``.
+    """
+    centres = plus_plus(points, k, seed)
+    for _ in range(iterations if centres else 0):
+        centres, shift = _moved(points, centres)
+        if shift < tolerance:
+            break
+    return _placed(points, centres)
 
 
 def kmeans(points: DataFrame, k: int, seed: int = 42, iterations: int = 100) -> DataFrame:
-    """(id, cluster) of ``points`` (id, v ARRAY<DOUBLE>), k-means|| start and Lloyd's steps on Spark."""
-    rows = points.select("id", array_to_vector(F.col("v").cast("array<double>")).alias("features"))
-    n = rows.limit(k).count()
-    if n < 2:
+    """(id, cluster) of ``points`` (id, v ARRAY<DOUBLE>) by ``lloyd``; all in cluster 0 where there are fewer than two."""
+    if points.limit(2).count() < 2:
         return points.select("id", F.lit(0).alias("cluster"))
-    model = KMeans(k=n, seed=seed, maxIter=iterations, tol=1e-6).fit(rows)
-    return model.transform(rows).select("id", F.col("prediction").alias("cluster"))
+    return lloyd(points, k, seed, iterations)[0].select("id", "cluster")

@@ -10,7 +10,7 @@ from graphloom.operators.neighbours import clustering, triangle_counts, type_ent
 from graphloom.plans.draws import BITS, drawn_sql
 from graphloom.plans.explore_queries import SEEDS, seed_sets
 from graphloom.plans.queries import _MI, CLUSTERING, DIGITS, ENTROPY, FORMULAS, SCORED, _salience, query, rounded
-from graphloom.sources import PropertyGraph, table, trade_graph, trade_paths
+from graphloom.sources import PropertyGraph, directed_trade_graph, table, trade_graph, trade_paths
 from graphloom.sources.tables import PATHS_SQL
 
 def _walk_sql(walks: int, length: int, restart: float) -> tuple[str, str]:
@@ -170,9 +170,70 @@ def kmeans_assign(spark, d):
     return rounded(stats.assign(points, first), "distance", digits=6)
 
 
-@query("kmeans")
+_POINTS = "p AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
+_GAP = "list_sum(list_transform(list_zip(v, centre), lambda z: (z[1] - z[2]) ** 2))"
+
+
+def _start_sql(k: int) -> list[str]:
+    """CTEs: the points, and k-means++ centres c0, c1, …, each with those before it."""
+    draw = lambda n: f"(({drawn_sql('id', str(n), seed=42)} + 1) / {float((1 << BITS) + 1)!r})"
+    out = [_POINTS, f"c0 AS MATERIALIZED (SELECT 0 AS cluster, arg_min(v, {draw(0)}) AS centre FROM p)"]
+    for n in range(1, k):
+        out.append(f"""c{n} AS MATERIALIZED (SELECT * FROM c{n - 1} UNION ALL SELECT {n}, arg_min(v, -ln({draw(n)}) / d)
+  FROM (SELECT id, v, (SELECT min({_GAP}) FROM c{n - 1}) AS d FROM p) WHERE d > 0)""")
+    return out
+
+
+def _steps_sql(first: str, rounds: int, batch=lambda r: "true") -> list[str]:
+    """CTEs m0, m1, …: the centres after each step over the points that ``batch`` chooses."""
+    out = [f"m0 AS MATERIALIZED (SELECT * FROM {first})"]
+    for r in range(rounds):
+        out.append(f"""m{r + 1} AS MATERIALIZED (SELECT m.cluster, coalesce(n.centre, m.centre) AS centre FROM m{r} m LEFT JOIN (
+  SELECT cluster, list(x ORDER BY i) AS centre FROM (
+    SELECT cluster, i, avg(v[i]) AS x FROM (
+      SELECT v, (SELECT arg_min(cluster, [{_GAP}, cluster]) FROM m{r}) AS cluster FROM p WHERE {batch(r)}), (SELECT unnest(range(1, (SELECT max(len(v)) + 1 FROM p))) AS i)
+    GROUP BY ALL) GROUP BY cluster) n USING (cluster))""")
+    return out
+
+
+_NEAREST = "SELECT id, (SELECT arg_min(cluster, [{gap}, cluster]) FROM {m}) AS cluster, round((SELECT min({gap}) FROM {m}), 6) AS distance FROM p"
+
+
+@query("kmeans", _NEAREST.format(gap=_GAP, m="m6"), ", ".join([*_start_sql(10), *_steps_sql("c9", 6)]))
 def kmeans(spark, d):
-    return stats.kmeans(_vectors(spark, d).select("id", "v"), 10)
+    """Six steps of Lloyd's from a k-means++ start."""
+    return rounded(stats.lloyd(_vectors(spark, d).select("id", "v"), 10, iterations=6)[0], "distance", digits=6)
+
+
+def _batch_sql(step: int) -> str:
+    share = f"least(1.0, greatest(10, (SELECT count(*) FROM p) // 10) / (SELECT count(*) FROM p))"
+    return f"{drawn_sql('id', str(step), chr(39) + 'batch' + chr(39), seed=42)} < CAST(trunc({share} * {1 << BITS}) AS BIGINT)"
+
+
+@query("kmeans_minibatch", _NEAREST.format(gap=_GAP, m="m6"), ", ".join([*_start_sql(10), *_steps_sql("c9", 6, _batch_sql)]))
+def kmeans_minibatch(spark, d):
+    """Six steps over tenths of the points from a k-means++ start."""
+    return rounded(stats.minibatch_kmeans(_vectors(spark, d).select("id", "v"), 10, iterations=6)[0], "distance", digits=6)
+
+
+@query("kmeans_start", "SELECT cluster, i - 1 AS i, round(centre[i], 6) AS x FROM c9, (SELECT unnest(range(1, (SELECT max(len(v)) + 1 FROM p))) AS i)", ", ".join(_start_sql(10)))
+def kmeans_start(spark, d):
+    """Ten centres by k-means++."""
+    centres = stats.plus_plus(_vectors(spark, d).select("id", "v"), 10)
+    rows = spark.createDataFrame([(c, i, x) for c, v in enumerate(centres) for i, x in enumerate(v)], "cluster int, i long, x double")
+    return rounded(rows, "x", digits=6)
+
+
+@query(
+    "csr_in",
+    """SELECT i.idx, i.id, coalesce(string_agg(CAST(j.idx AS VARCHAR), ',' ORDER BY j.idx), '') AS neighbours
+FROM ix i LEFT JOIN links l ON l.b = i.id LEFT JOIN ix j ON j.id = l.a GROUP BY ALL""",
+    "ix AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM nodes)",
+)
+def csr_in(spark, d):
+    """Compressed rows of the in-neighbours of the directed graph."""
+    rows = directed_trade_graph(spark, d).settled().csr("in")
+    return rows.select("idx", "id", F.array_join(F.col("nbr_idx").cast("array<string>"), ",").alias("neighbours"))
 
 
 @query("hitting_time")
@@ -303,3 +364,21 @@ def components(spark, d):
     found = connected_components(graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     joined = graph.nodes.select("id").join(found, F.col("id") == F.col("node"), "left")
     return joined.select("id", F.coalesce("component", "id").alias("component"))
+
+
+_OTHERS = "type IN ('region', 'nation') OR id LIKE 'S:1%'"
+_BATCH = f"""near AS MATERIALIZED (SELECT src, list(dst) AS l FROM arcs GROUP BY src), o AS MATERIALIZED (
+  SELECT nodes.id, l FROM nodes JOIN near ON src = nodes.id WHERE {_OTHERS}
+), means AS MATERIALIZED (
+  SELECT n.id, any_value(deg.d) AS d, coalesce(avg(len(list_intersect(x.l, o.l)) / CAST(len(x.l) + len(o.l) - len(list_intersect(x.l, o.l)) AS DOUBLE)), 0) AS mean
+  FROM nodes n JOIN deg ON deg.id = n.id JOIN near x ON x.src = n.id LEFT JOIN o ON o.id <> n.id WHERE n.type = 'supplier' GROUP BY n.id)"""
+_BATCHED = {"lace": "1 - mean", "fuse": "0.5 * d + 0.5 * (1 - mean)", "sift": "CASE WHEN mean >= 0.25 THEN 1 - mean ELSE d + 100.0 END"}
+for _name, _value in _BATCHED.items():
+
+    @query(f"batch_{_name}", f"SELECT id, round({_value}, {DIGITS}) AS priority FROM means", _BATCH)
+    def _batched(spark, d, name=_name):
+        """Priorities of all suppliers at once, after the regions, the nations and a part of the suppliers were visited."""
+        graph = trade_graph(spark, d).settled()
+        visited = graph.nodes.where(F.expr(_OTHERS)).select("id")
+        found = explore.batch_priority(graph, graph.nodes.where("type = 'supplier'").select("id"), visited, name)
+        return rounded(found, "priority")
