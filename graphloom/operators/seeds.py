@@ -17,7 +17,7 @@ from graphloom.functions.stats import kmeans, z_scores
 from graphloom.operators.linalg import label_propagation, pagerank
 from graphloom.operators.neighbours import triangle_counts
 from graphloom.operators.similarity import pair_features
-from graphloom.operators.traversal import bfs
+from graphloom.operators.traversal import WORD, bfs_masks
 from graphloom.plans.draws import drawn
 from graphloom.plans.lineage import cut, drop
 from graphloom.plans.numbering import cumulated, numbered
@@ -204,15 +204,17 @@ def spine(graph: PropertyGraph, n_pairs: int = 100, seed: int = 42) -> DataFrame
 
 
 def pair_distances(graph: PropertyGraph, pairs: DataFrame, most: int) -> DataFrame:
-    """(source, target, dist) of the pairs at most ``most`` steps apart, all sources at once.
+    """(source, target, dist) of the pairs at most ``most`` steps apart.
 
-    Both ends search half the way, so a pair meets at the middle and no search goes further than ``most`` / 2.
+    The sources search as bits of words, 64 together, so no table has a row per source and node; a pair looks its source's
+    bit up in the words of its target.
     """
-    out, back = (most + 1) // 2, most // 2
-    near = bfs(graph, pairs.select(F.col("source").alias("id")), out).select(F.col("start").alias("source"), "node", F.col("depth").alias("a"))
-    into = bfs(graph, pairs.select(F.col("target").alias("id")), back, "in").select(F.col("start").alias("target"), "node", F.col("depth").alias("b"))
-    met = pairs.select("source", "target").distinct().join(near, "source").join(into, ["target", "node"])
-    return met.groupBy("source", "target").agg(F.min(F.col("a") + F.col("b")).alias("dist"))
+    pairs = cut(pairs.select("source", "target").distinct(), "pairs")
+    starts = cut(numbered(pairs.select(F.col("source").alias("id")).distinct()), "starts")
+    masks = bfs_masks(graph, starts, most).withColumnRenamed("node", "target")
+    asked = pairs.join(starts.select(F.col("id").alias("source"), (F.col("k") % WORD).cast("int").alias("bit"), F.floor(F.col("k") / WORD).cast("long").alias("block")), "source")
+    met = asked.join(masks, ["block", "target"]).where("getbit(mask, bit) = 1")
+    return met.groupBy("source", "target").agg(F.min("depth").alias("dist"))
 
 
 def crisp(graph: PropertyGraph, n_pairs: int = 100, seed: int = 42, sample: int = 5000, low: int = 2, high: int = 4, common: int = 2) -> DataFrame:
@@ -361,10 +363,23 @@ def degree_diverse(graph: PropertyGraph, n_pairs: int, seed: int) -> DataFrame:
 
 
 def max_distance(graph: PropertyGraph, n_pairs: int, seed: int, sources: int = 64) -> DataFrame:
-    """The farthest pairs from at most ``sources`` hashed starts."""
-    starts = graph.nodes.select("id").orderBy(hashed("id", seed=seed), "id").limit(sources)
-    found = bfs(graph, starts).where("depth > 0")
-    rows = found.select(F.col("start").alias("source"), F.col("node").alias("target"), F.col("depth").cast("double").alias("score"))
+    """The farthest pairs from at most ``sources`` hashed starts.
+
+    The starts search as bits of one word a node; pairs are made of the deepest levels only, as many as it takes.
+    """
+    starts = cut(graph.nodes.select("id").orderBy(hashed("id", seed=seed), "id").limit(sources), "starts")
+    starts = cut(numbered(starts), "numbered")
+    masks = cut(bfs_masks(graph, starts).where("depth > 0"), "masks")
+    sizes = masks.groupBy("depth").agg(F.sum(F.bit_count("mask")).alias("n")).orderBy(F.desc("depth")).collect()
+    enough, least = 0, 0
+    for r in sizes:
+        enough, least = enough + r.n, r.depth
+        if enough >= n_pairs:
+            break
+    bit = F.explode(F.expr(f"filter(sequence(0, {WORD - 1}), b -> getbit(mask, b) = 1)"))
+    found = masks.where(F.col("depth") >= least).select("block", "node", "depth", bit.alias("bit"))
+    named = starts.select(F.col("id").alias("source"), F.floor(F.col("k") / WORD).cast("long").alias("block"), (F.col("k") % WORD).cast("int").alias("bit"))
+    rows = found.join(named, ["block", "bit"]).select("source", F.col("node").alias("target"), F.col("depth").cast("double").alias("score"))
     return rows.orderBy(F.desc("score"), hashed("source", "target", seed=seed), "source", "target").limit(n_pairs)
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.lineage import cut
+from graphloom.plans.lineage import cut, drop
 from graphloom.sources.graph import PropertyGraph
 
 
@@ -37,6 +37,37 @@ def bfs(graph: PropertyGraph, starts: DataFrame, max_depth: int | None = None, d
     return out
 
 
+#: Starts of a block of ``bfs_masks``, a bit each.
+WORD = 64
+
+
+def bfs_masks(graph: PropertyGraph, starts: DataFrame, max_depth: int | None = None, direction: str = "out") -> DataFrame:
+    """(block, node, depth, mask) of many searches at once: the bits of the starts that first reach node at depth.
+
+    ``starts`` is (id, k), numbered from 0: start k is bit k % 64 of block k / 64. A level joins the arcs with the nodes
+    that any start of a block has just reached and ORs their masks, so it costs arcs x blocks, not arcs x starts.
+    """
+    arcs = cut(graph.neighbours(direction).select("src", "dst"), "arcs")
+    known = starts.join(graph.nodes.select("id"), "id", "left_semi")
+    bits = known.select(F.floor(F.col("k") / WORD).cast("long").alias("block"), F.col("id").alias("node"), F.expr(f"shiftleft(1L, cast(k % {WORD} as int))").alias("mask"))
+    fresh = cut(bits.groupBy("block", "node").agg(F.bit_or("mask").alias("mask")), "fresh")
+    seen, out, depth = fresh, fresh.withColumn("depth", F.lit(0)), 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        step = fresh.join(arcs, F.col("node") == F.col("src")).groupBy("block", F.col("dst").alias("to")).agg(F.bit_or("mask").alias("come"))
+        step = step.withColumnRenamed("to", "node").join(seen.select("block", "node", F.col("mask").alias("had")), ["block", "node"], "left")
+        new = F.col("come").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long"))))
+        fresh = cut(step.select("block", "node", new.alias("mask")).where("mask <> 0"), "fresh")
+        if fresh.limit(1).count() == 0:
+            break
+        out = out.unionByName(fresh.withColumn("depth", F.lit(depth)))
+        following = cut(seen.select("block", "node", "mask").union(fresh).groupBy("block", "node").agg(F.bit_or("mask").alias("mask")), "masks")
+        if depth > 1:
+            drop(seen)
+        seen = following
+    return out.select("block", "node", "depth", "mask")
+
+
 def bfs_levels(graph: PropertyGraph, start: str) -> DataFrame:
     """(id, level) for every node, -1 where unreachable; an unknown start is an error."""
     first = graph.nodes.where(F.col("id") == start).select("id")
