@@ -19,8 +19,8 @@ of windows and items is taken in blocks of ``BLOCK_ITEMS`` items, to bound its m
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 from functools import cached_property
 from itertools import repeat
 
@@ -47,8 +47,9 @@ BLOCK_ITEMS = 2000
 #: Documents of a batch whose windows are projected together, and words whose windows are summed at once.
 TOGETHER = 64
 SUMMED = 1 << 15
-#: The benchmark itself is collected; more text than this is refused.
-MAX_BYTES = 1 << 28
+#: Text of the items that are collected and sent at once, and different words of a benchmark, 300 bytes each where held.
+PART_BYTES = 1 << 28
+MAX_TERMS = 1 << 22
 
 _APART = b""".,;:!?"'()[]{}#*$%&|<>"""
 _TABLE = bytes.maketrans(_APART, b" " * len(_APART))
@@ -207,10 +208,18 @@ def basis_of(sketch: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
 
 def fit(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -> tuple[Space, DataFrame]:
     """Weights and latent space for all items over all documents, and the documents as term numbers."""
-    made = [(i, tokens(t), last_sentence(t)) for i, t in items]
-    made = [m for m in made if m[1]]
-    terms = {w: n for n, w in enumerate(sorted({w for _, words, _ in made for w in words}))}
-    listed = [Item(i, _ids(w, terms).astype(_kind(len(terms))), _ids(a, terms).astype(_kind(len(terms)))) for i, w, a in made]
+    listed = [tokens(t) for _, t in items]
+    terms = _terms(w for words in listed for w in words)
+    space, rows = fit_terms(docs, terms, window_sizes([len(w) for w in listed if w]), rank)
+    return with_items(space, terms, items), rows
+
+
+def _terms(words: Iterable[bytes]) -> dict[bytes, int]:
+    return {w: n for n, w in enumerate(sorted(set(words)))}
+
+
+def fit_terms(docs: DataFrame, terms: dict[bytes, int], widths: list[int], rank: int = RANK) -> tuple[Space, DataFrame]:
+    """The space of ``terms`` over all documents, as yet without items, and the documents as term numbers."""
     rows = _numbered(docs, docs.sparkSession.sparkContext.broadcast(terms))
     found, passages = _frequencies(rows, len(terms))
     idf = np.log((passages + 1.0) / (found + 1.0)) + 1e-3
@@ -220,12 +229,20 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -> tupl
         width = min(rank + OVERSAMPLE, len(terms))
         omega = np.linalg.qr(np.random.default_rng(SEED).standard_normal((len(terms), width)))[0]
         basis = basis_of(_sketch(rows, idf, omega), omega, rank)
-    latent = np.zeros((len(listed), basis.shape[1]))
+    none = np.zeros((0, basis.shape[1]), np.float32)
+    return Space([], len(terms), idf, foreign, basis, none, widths), rows
+
+
+def with_items(space: Space, terms: dict[bytes, int], items: list[tuple[int, str]]) -> Space:
+    """The same space with these items in it; others change nothing for them."""
+    kind = _kind(len(terms))
+    made = [(i, tokens(t), last_sentence(t)) for i, t in items]
+    listed = [Item(i, _ids(w, terms).astype(kind), _ids(a, terms).astype(kind)) for i, w, a in made if w]
+    latent = np.zeros((len(listed), space.basis.shape[1]))
     for n, m in enumerate(listed):
-        latent[n] = idf[m.words] @ basis[m.words]
-    widths = window_sizes([len(m.words) for m in listed])
+        latent[n] = space.idf[m.words] @ space.basis[m.words]
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return Space(listed, len(terms), idf, foreign, basis.astype(np.float32), latent.astype(np.float32), widths), rows
+    return replace(space, items=listed, latent=latent.astype(np.float32), basis=space.basis.astype(np.float32))
 
 
 def window_sizes(lengths: list[int]) -> list[int]:
@@ -377,20 +394,43 @@ def _matches(rows: DataFrame, space: Space, block: int) -> DataFrame:
     return rows.mapInArrow(search, RESULT)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS) -> DataFrame:
+def _words_and_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different words of the items of a batch, and a row of each different number of words (-1: no length)."""
+    for batch in batches:
+        listed = [tokens(t.as_py()) for t in batch.column(0)]
+        words, sizes = sorted({w for x in listed for w in x}), sorted({len(x) for x in listed if x})
+        columns = [pa.array([*words, *[b""] * len(sizes)], pa.binary()), pa.array([-1] * len(words) + sizes, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["word", "size"])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS, part: int = PART_BYTES) -> DataFrame:
     """(doc_id, item_id, cosine, subsequence, answer): documents and the benchmark items that they hold.
 
     Null and empty texts and items match nothing; repeated rows give repeated results; a null doc_id is carried; an
     empty table on either side gives no rows. Whole texts are searched. Only doc_id, item_id and the texts are read.
-    A benchmark of more than MAX_BYTES bytes of text is refused. ``block`` changes no result.
+    The space is fitted once, on the words of the whole benchmark; its items are sent in parts of about ``part`` bytes
+    of text, and a part more reads the documents' term numbers once more. ``block`` and ``part`` change no result. The
+    benchmark's different words are held by every task; more than MAX_TERMS of them are refused.
     """
     benchmark = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MAX_BYTES:
-        raise ValueError(f"a benchmark of {size} bytes; at most {MAX_BYTES} are taken")
-    items = sorted({(r.item_id, r.text) for r in benchmark.collect()})
-    space, rows = fit(docs, items)
-    return _matches(rows, space, block)
+    listed = lambda rows: sorted({(r.item_id, r.text) for r in rows.collect()})
+    if size <= part:
+        space, rows = fit(docs, listed(benchmark))
+        return _matches(rows, space, block)
+    benchmark, parts = cut(benchmark.distinct(), "benchmark"), -(-size // part)
+    facts = cut(benchmark.select("text").mapInArrow(_words_and_lengths, "word binary, size long").distinct(), "words")
+    if facts.where("size < 0").count() > MAX_TERMS:
+        raise ValueError(f"a benchmark of more than {MAX_TERMS} different words")
+    terms = _terms(bytes(r.word) for r in facts.where("size < 0").select("word").collect())
+    ends = facts.where("size > 0").agg(F.min("size"), F.max("size")).first()
+    space, rows = fit_terms(docs, terms, window_sizes([x for x in ends if x]))
+    out = None
+    for i in range(parts):
+        some = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i)
+        found = _matches(rows, with_items(space, terms, listed(some)), block)
+        out = found if out is None else out.union(found)
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
