@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ def pagerank(
         return graph.nodes.select("id", F.lit(0.0).alias("rank"))
     out = graph.arcs.groupBy("src").agg(F.count("*").alias("d"))
     share = cut(graph.arcs.select("src", "dst").join(out, "src").select("src", "dst", (1.0 / F.col("d")).alias("p")), "share")
+    # dealt by src once, so that a round exchanges ranks and sums but not the arcs; lost parts are made again from the table
+    share = share.repartition("src").persist(StorageLevel.DISK_ONLY)
     base = graph.nodes.select("id")
     ranks, written = base.withColumn("rank", F.lit(1.0 / n)), None
     for i in range(1, iterations + 1):
@@ -56,6 +59,8 @@ def pagerank(
                 ranks = following.select("id", "rank")
                 break
         ranks = following.select("id", "rank")
+    ranks = cut(ranks, "ranks")
+    share.unpersist()
     return ranks
 
 

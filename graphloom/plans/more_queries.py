@@ -248,14 +248,16 @@ def hitting_time(spark, d):
 
 @query("rank_hitting_time")
 def rank_hitting_time(spark, d):
-    found = ranking.rank(trade_graph(spark, d).settled(), trade_paths(spark, d), "hitting_time")
+    graph = trade_graph(spark, d).settled()
+    found = ranking.rank(graph, trade_paths(spark, d, graph), "hitting_time")
     return rounded(found.select("path_id", "score"), "score", digits=6)
 
 
 @query("rank_resistance")
 def rank_resistance(spark, d):
     """From a sketch with a standard error of 13 % of a resistance at this size; no pair is measured on its own."""
-    found = ranking.rank(trade_graph(spark, d).settled(), trade_paths(spark, d), "resistance", error=0.5)
+    graph = trade_graph(spark, d).settled()
+    found = ranking.rank(graph, trade_paths(spark, d, graph), "resistance", error=0.5)
     return rounded(found.select("path_id", "score"), "score", digits=6)
 
 
@@ -301,7 +303,8 @@ FROM (SELECT CAST(len(nodes) AS DOUBLE) AS l, salience FROM sal JOIN paths USING
     f"{SCORED}, {_salience('jaccard')}",
 )
 def salience_spread(spark, d):
-    found = metrics.score_spread(ranking.parse(trade_graph(spark, d).settled(), trade_paths(spark, d)))
+    graph = trade_graph(spark, d).settled()
+    found = metrics.score_spread(ranking.parse(graph, trade_paths(spark, d, graph)))
     return rounded(found, "score_variance", "length_bias")
 
 
@@ -316,7 +319,7 @@ def hub_penalty(spark, d):
     graph = trade_graph(spark, d).settled()
     degree = graph.degrees().select(F.col("id").alias("first"), F.col("out_deg").alias("d"))
     top = degree.agg(F.expr("percentile_disc(0.9) within group (order by d)").alias("q"))
-    ranked = ranking.parse(graph, trade_paths(spark, d)).withColumn("first", F.get("nodes", F.lit(0)))
+    ranked = ranking.parse(graph, trade_paths(spark, d, graph)).withColumn("first", F.get("nodes", F.lit(0)))
     ranked = ranked.join(degree, "first").crossJoin(F.broadcast(top))
     return rounded(metrics.mean_ratio(ranked, F.col("d") >= F.col("q"), F.col("d") < F.col("q")), "ratio")
 
@@ -327,7 +330,8 @@ def hub_penalty(spark, d):
     SCORED,
 )
 def path_mi(spark, d):
-    return rounded(metrics.path_mi(ranking.scored_hops(trade_graph(spark, d).settled(), trade_paths(spark, d), "overlap")), "mi")
+    graph = trade_graph(spark, d).settled()
+    return rounded(metrics.path_mi(ranking.scored_hops(graph, trade_paths(spark, d, graph), "overlap")), "mi")
 
 
 @query(

@@ -270,7 +270,8 @@ for _variant in ("jaccard", "scale"):
         f"{SCORED}, {_salience(_variant)}",
     )
     def _parse(spark, d, variant=_variant):
-        found = ranking.parse(trade_graph(spark, d).settled(), trade_paths(spark, d), variant)
+        graph = trade_graph(spark, d).settled()
+        found = ranking.parse(graph, trade_paths(spark, d, graph), variant)
         return rounded(found.select("path_id", "salience"), "salience")
 
 
@@ -282,7 +283,8 @@ for _variant in ("jaccard", "scale"):
     f"{SCORED}, {_salience('jaccard')}",
 )
 def parse_stats(spark, d):
-    stats = ranking.parse_stats(ranking.parse(trade_graph(spark, d).settled(), trade_paths(spark, d)))
+    graph = trade_graph(spark, d).settled()
+    stats = ranking.parse_stats(ranking.parse(graph, trade_paths(spark, d, graph)))
     return rounded(stats, *(c for c in stats.columns if c != "paths_ranked"))
 
 
@@ -295,7 +297,7 @@ def _baseline(name: str, score: str | None, ctes: str = SCORED, digits: int = DI
     @query(f"rank_{name}", sql, ctes)
     def run(spark, d):
         graph = trade_graph(spark, d).settled()
-        found = ranking.rank(graph, trade_paths(spark, d), name, **options(graph))
+        found = ranking.rank(graph, trade_paths(spark, d, graph), name, **options(graph))
         return rounded(found.select("path_id", "score"), "score", digits=digits)
 
 

@@ -68,18 +68,17 @@ def directed_trade_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph(_nodes(spark, sf_dir), _links(spark, sf_dir), directed=True)
 
 
-def trade_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path_id, nodes): customer, supplier, the supplier's nation and region, for every trade."""
-    links = _links(spark, sf_dir)
-    trades = links.where("type = 'trades'").select(F.col("src").alias("c"), F.col("dst").alias("s"))
-    suppliers = table(spark, sf_dir, "supplier").join(
-        table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
-    )
-    homes = suppliers.select(
-        _key("S", "s_suppkey").alias("s"), _key("N", "n_nationkey").alias("n"), _key("R", "n_regionkey").alias("r")
-    )
+def trade_paths(spark: SparkSession, sf_dir: str, graph: PropertyGraph | None = None) -> DataFrame:
+    """(path_id, nodes): customer, supplier, the supplier's nation and region, for every trade.
+
+    They are read off the edges of the trade ``graph`` where the caller has it, written or not.
+    """
+    edges = (graph or trade_graph(spark, sf_dir)).edges
+    kind = lambda name, a, b: edges.where(F.col("type") == name).select(F.col("src").alias(a), F.col("dst").alias(b))
+    # edges run from the smaller id: C to S, N to S, N to R
+    homes = kind("located_in", "n", "s").where("s like 'S:%'").join(kind("part_of", "n", "r"), "n")
     nodes = F.array("c", "s", "n", "r")
-    return trades.join(homes, "s").select(F.array_join(nodes, ">").alias("path_id"), nodes.alias("nodes"))
+    return kind("trades", "c", "s").join(homes, "s").select(F.array_join(nodes, ">").alias("path_id"), nodes.alias("nodes"))
 
 
 #: The same graph in SQL: CTEs nodes, edges, arcs and deg.
