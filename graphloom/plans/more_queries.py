@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import stats
 from graphloom.operators import dense, explore, extract, linalg, metrics, ranking, seeds, traversal
 from graphloom.operators.neighbours import clustering, triangle_counts, type_entropy
+from graphloom.plans import cut, numbered
 from graphloom.plans.draws import BITS, drawn_sql
 from graphloom.plans.explore_queries import SEEDS, seed_sets
 from graphloom.plans.queries import _MI, CLUSTERING, DIGITS, ENTROPY, FORMULAS, SCORED, _salience, query, rounded
@@ -386,3 +387,38 @@ for _name, _value in _BATCHED.items():
         visited = graph.nodes.where(F.expr(_OTHERS)).select("id")
         found = explore.batch_priority(graph, graph.nodes.where("type = 'supplier'").select("id"), visited, name)
         return rounded(found, "priority")
+
+
+def _searches_sql(starts: str, levels: int = 6) -> str:
+    """CTE reached (s, node, depth) from the ids of ``starts``, level by level; the trade graph has fewer than six."""
+    out = [f"a0 AS MATERIALIZED (SELECT id AS s, id AS node FROM ({starts}))"]
+    for k in range(1, levels + 1):
+        seen = " ".join(f"ANTI JOIN a{i} x{i} ON x{i}.s = w.s AND x{i}.node = w.node" for i in range(max(0, k - 2), k))
+        out.append(f"a{k} AS MATERIALIZED (SELECT w.s, w.node FROM (SELECT DISTINCT s, dst AS node FROM a{k - 1} JOIN arcs ON src = node) w {seen})")
+    return ", ".join([*out, "reached AS (" + " UNION ALL ".join(f"SELECT s, node, {k} AS depth FROM a{k}" for k in range(levels + 1)) + ")"])
+
+
+@query(
+    "farthest_pairs",
+    f"""SELECT s AS source, node AS target, CAST(depth AS DOUBLE) AS score FROM reached WHERE depth > 0
+ORDER BY depth DESC, {drawn_sql("s", "node", seed=42)}, s, node LIMIT 500""",
+    _searches_sql(f"SELECT id FROM nodes ORDER BY {drawn_sql('id', seed=42)}, id LIMIT 64"),
+)
+def farthest_pairs(spark, d):
+    """The 500 pairs that are farthest apart, from 64 drawn starts."""
+    return seeds.max_distance(trade_graph(spark, d).settled(), 500, 42)
+
+
+@query(
+    "drawn_distances",
+    "SELECT p.source, p.target, min(depth) AS dist FROM pairs p JOIN reached r ON r.s = p.source AND r.node = p.target GROUP BY ALL",
+    f"""num AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM nodes), pairs AS MATERIALIZED (
+  SELECT a.id AS source, b.id AS target FROM (SELECT unnest(range(2000)) AS draw), (SELECT count(*) AS n FROM nodes)
+  JOIN num a ON a.k = {drawn_sql("draw", "'a'", seed=42)} % n JOIN num b ON b.k = {drawn_sql("draw", "'b'", seed=42)} % n WHERE a.id <> b.id
+), {_searches_sql("SELECT DISTINCT source AS id FROM pairs")}""",
+)
+def drawn_distances(spark, d):
+    """Steps between the nodes of 2000 drawn pairs, as CRISP measures its candidates."""
+    graph = trade_graph(spark, d).settled()
+    nodes = cut(numbered(graph.nodes.select("id")), "numbered")
+    return seeds.pair_distances(graph, seeds.draws(nodes, nodes, 2000, 42), 6)
