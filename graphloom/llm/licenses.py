@@ -6,17 +6,19 @@ a few words around; a gap of more than ``GAP`` words starts another passage. Tex
 and loses nothing by that: confirmation asks for half of the smaller side's runs, so it could not be confirmed.
 
 Sparse counts of words and word pairs are hashed and fed to a multinomial logistic regression over licence families and
-an `unknown` class. It is trained on the templates below, their parts, and a bounded sample of corpus paragraphs, half of
-them with a stray run of words that several families share put in. The probability of being any family is calibrated on
-other such rows that training never sees. A passage that reaches it is confirmed if enough word trigrams of the passage
-or of one of its family's templates are common to both.
+an `unknown` class. It is trained on the templates below, their parts, and the corpus: every paragraph without such a run
+is `unknown`, half of them as the passage around a stray run of words that several families share. The words of a paragraph
+deal it to training or calibration, so the probability of being any family is calibrated on rows that training never sees,
+copies included. A passage that reaches it is confirmed if enough word trigrams of the passage or of one of its family's
+templates are common to both.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, SQLTransformer, StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -25,18 +27,21 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.tables import table
 from graphloom.plans import cut
+from graphloom.plans.numbering import cumulated
 
 UNKNOWN = "unknown"
 FEATURES = 1 << 13
-#: Paragraphs of the corpus, at most, that the classifier is trained and calibrated on as `unknown`, half for each.
-SAMPLE = 2000
 SEED = 5
 #: Least calibrated probability of being a licence, and share of the calibration rows that may lie above it.
 LEAST_PROBABILITY = 0.5
 FALSE_SHARE = 0.005
-#: Weights of a sentence that states no licence and of a corpus paragraph in training; parts of licences have 1.
+#: Digits of probabilities that are told and judged: sums over the corpus come in any order, so the last ones vary.
+DIGITS = 6
+#: Weights of a sentence that states no licence and, at most, of a corpus paragraph in training; parts of licences have 1.
 OTHERS_WEIGHT = 2.0
-SAMPLE_WEIGHT = 0.2
+PARAGRAPH_WEIGHT = 0.2
+#: Weight of all corpus paragraphs in training, at most, so that a large corpus does not outweigh the licences.
+CORPUS_WEIGHT = 200.0
 #: Share of common trigrams, of the smaller side, from which a template confirms.
 SIMILARITY = 0.5
 #: Words between two runs of template words that part passages, and words kept around a passage.
@@ -255,6 +260,10 @@ SHARED_RUNS = sorted(
 )
 
 
+#: The first words of template trigrams: only where one stands is a trigram made and looked up.
+FIRST_WORDS = sorted({r.split(" ")[0] for r in TEMPLATE_RUNS})
+#: Whether a paragraph has a template's run.
+HIT = "size(hits) > 0"
 #: What is put into corpus paragraphs that are trained and calibrated on as `unknown`; phrases count as often as runs.
 STRAY = SHARED_RUNS + list(PHRASES) * max(1, len(SHARED_RUNS) // len(PHRASES))
 
@@ -263,14 +272,34 @@ def _literal(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def _hits(words: Column) -> Column:
+    """The places, from 0, of the runs that a template has."""
+    places = F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0)))
+
+    def known(i: Column) -> Column:
+        return F.get(words, i).isin(FIRST_WORDS) & F.array_join(F.slice(words, i + 1, 3), " ").isin(TEMPLATE_RUNS)
+
+    return F.filter(places, known)
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, paragraph, words, hits): every paragraph, numbered from 0, and the places of its template runs."""
+
+    def read(words: Column) -> Column:
+        return F.struct(words.alias("words"), _hits(words).alias("hits"))
+
+    # made inside the generator, so that a filter on words or hits does not make them again
+    each = F.transform(F.split("text", BREAK), lambda part: F.get(F.transform(F.array(_words(part)), read), F.lit(0)))
+    found = docs.select("doc_id", F.posexplode(each).alias("paragraph", "p"))
+    return found.select("doc_id", "paragraph", "p.words", "p.hits")
+
+
 def passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, words): the passages with template words, numbered by paragraph from 0 and then by place."""
-    known = _literal(TEMPLATE_RUNS)
-    found = docs.select("doc_id", "text").where(F.arrays_overlap(_runs(_words(F.col("text"))), known))
-    parts = found.select("doc_id", F.posexplode(F.split("text", BREAK)).alias("paragraph", "part"))
-    parts = parts.select("doc_id", "paragraph", _words(F.col("part")).alias("words"))
-    parts = parts.withColumn("runs", _runs(F.col("words"))).where(F.arrays_overlap("runs", known))
-    hits = F.filter(F.transform("runs", lambda r, i: F.when(F.array_contains(known, r), i)), lambda i: i.isNotNull())
+    """(doc_id, paragraph, place, words): the passages with template words, numbered by paragraph from 0, then by place."""
+    return _passages(paragraphs(docs).where(HIT))
+
+
+def _passages(parts: DataFrame) -> DataFrame:
     kind = "array<struct<a:int,b:int>>"
 
     def step(spans: Column, at: Column) -> Column:
@@ -279,7 +308,7 @@ def passages(docs: DataFrame) -> DataFrame:
         new = F.concat(spans, F.array(F.struct(at.alias("a"), at.alias("b"))))
         return F.when((F.size(spans) > 0) & (at - last["b"] <= GAP + 3), grown).otherwise(new).cast(kind)
 
-    spans = F.aggregate(hits, F.array().cast(kind), step)
+    spans = F.aggregate("hits", F.array().cast(kind), step)
     each = parts.select("doc_id", "paragraph", "words", F.posexplode(spans).alias("place", "s"))
     start = F.greatest(F.col("s.a") - AROUND, F.lit(0))
     size = F.col("s.b") + 3 + AROUND - start
@@ -300,45 +329,100 @@ def _labelled(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, text string, weight double")
 
 
+def _negative(h: Column, words: Column) -> Column:
+    """What is trained and calibrated on of a paragraph without a template's run, by the hash of its words.
+
+    Every second one is the passage around a run of words that several families share, or around a phrase of the law, that
+    is put in at a hashed place, as prose has them; the others are whole.
+    """
+    runs = _literal([" ".join(plain_words(x)) for x in STRAY])
+    stray = F.split(F.get(runs, F.pmod(F.xxhash64(h, F.lit(2)), F.lit(len(STRAY))).cast("int")), " ")
+    at = F.pmod(F.xxhash64(h, F.lit(1)), F.size(words) + 1).cast("int")
+    before = F.slice(words, F.greatest(at - AROUND, F.lit(0)) + 1, F.least(at, F.lit(AROUND)))
+    mixed = F.concat(before, stray, F.slice(words, at + 1, F.lit(AROUND)))
+    return F.when(F.pmod(h, F.lit(4)) < 2, mixed).otherwise(words)
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    """(doc_id, paragraph, hits, own, h, words): every paragraph that has words, under a hash of them.
+
+    ``own`` is what passages are cut from where a template's run is; elsewhere ``words`` is the negative.
+    """
+    rows = paragraphs(docs).where(F.size("words") > 0)
+    rows = rows.select("doc_id", "paragraph", "hits", F.xxhash64("words", F.lit(SEED)).alias("h"), F.col("words").alias("own"))
+    negative = F.when(F.expr(HIT), F.array().cast("array<string>")).otherwise(_negative(F.col("h"), F.col("own")))
+    return rows.select("doc_id", "paragraph", "hits", F.when(F.expr(HIT), F.col("own")).alias("own"), "h", negative.alias("words"))
+
+
 def _sampled(docs: DataFrame, size: int) -> DataFrame:
-    """(h, text): at most ``size`` paragraphs, the first by seeded hash, one of each document at a hashed place.
+    """(h, text): the first ``size`` negatives by hash, to look at; training takes them all."""
+    rows = _read(docs).where(f"NOT {HIT}").select("h", F.array_join("words", " ").alias("text"))
+    return rows.orderBy("h", "text").limit(size)
+
+
+def _counting() -> PipelineModel:
+    """Words to hashed counts of words and pairs."""
+    return PipelineModel(
+        [
+            NGram(n=2, inputCol="words", outputCol="pairs"),
+            SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"),
+            HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features"),
+        ]
+    )
+
 
-    Paragraphs that have a template's words themselves may be licences and are left out. Every second one gets a run of
-    words that several families share, or a phrase of the law, as prose has them.
+def _counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, paragraph, hits, words, h, features): all paragraphs with words, written once.
+
+    Passages are cut from ``words`` where a template's run is; ``features`` are those of the negatives elsewhere.
     """
-    hashed = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text", F.lit(SEED)).alias("h"), F.split("text", BREAK).alias("parts"))
-    place = F.pmod(F.xxhash64("h", F.lit(1)), F.size("parts")).cast("int")
-    lines = hashed.select("h", F.get("parts", place).alias("text"))
-    some = _words(F.col("text"))
-    lines = lines.where((F.size(some) > 0) & ~F.arrays_overlap(_runs(some), _literal(TEMPLATE_RUNS)))
-    lines = lines.orderBy("h", "text").limit(size)
-    stray = F.get(_literal(STRAY), F.pmod(F.xxhash64("h", F.lit(2)), F.lit(len(STRAY))).cast("int"))
-    words = F.slice(F.split("text", " "), 1, 2 * AROUND)
-    mixed = F.concat_ws(" ", F.slice(words, 1, AROUND), stray, F.slice(words, AROUND + 1, AROUND))
-    return lines.select("h", F.when(F.pmod("h", F.lit(4)) < 2, mixed).otherwise(F.col("text")).alias("text"))
-
-
-def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[PipelineModel, float]:
+    rows = _counting().transform(_read(docs))
+    return cut(rows.select("doc_id", "paragraph", "hits", F.col("own").alias("words"), "h", "features"), "paragraphs")
+
+
+def _quantile(values: DataFrame, share: float) -> float | None:
+    """The exact quantile of the column ``id``, between neighbours as ``percentile`` has it; None without rows.
+
+    It is found by running sums over ranges of values; no task takes all of them, as one does for ``percentile``.
+    """
+    counts = cut(values.groupBy("id").agg(F.count("*").alias("n")), "values")
+    size = counts.agg(F.sum("n")).first()[0]
+    if not size:
+        return None
+    place = (size - 1) * share
+    low = math.floor(place)
+    ends = [F.min(F.when(F.col("before") + F.col("n") > k, F.col("id"))) for k in (low, math.ceil(place))]
+    below, above = cumulated(counts, "n").agg(*ends).first()
+    return below + (place - low) * (above - below)
+
+
+def _any_family(labels: list[str]) -> Column:
+    """The probability of being any family."""
+    return 1.0 - F.get(vector_to_array("probability"), F.lit(labels.index(UNKNOWN)))
+
+
+def train(docs: DataFrame) -> tuple[PipelineModel, float]:
     """The fitted pipeline and the calibrated least probability of being a licence.
 
-    Trained on the labelled rows and on half of at most ``sample`` paragraphs of ``docs`` as `unknown`; calibrated on the
-    other half.
+    Trained on the labelled rows and, as `unknown`, on every paragraph of ``docs`` that has words, none of a template's
+    runs, and an even hash; calibrated on all such paragraphs with an odd hash.
     """
-    negatives = cut(_sampled(docs, sample), "sample")
-    seen = negatives.where(F.pmod("h", F.lit(2)) == 0).select(F.lit(UNKNOWN).alias("family"), "text", F.lit(SAMPLE_WEIGHT).alias("weight"))
-    rows = _labelled(docs.sparkSession).union(seen).withColumn("words", _words(F.col("text")))
-    indexer = StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc")
-    stages = [
-        indexer,
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"),
-        HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features"),
-        LogisticRegression(maxIter=40, regParam=0.002, elasticNetParam=0.0, weightCol="weight"),
-    ]
-    model = Pipeline(stages=stages).fit(rows.coalesce(2))
-    unseen = negatives.where(F.pmod("h", F.lit(2)) == 1).select(_words(F.col("text")).alias("words"))
-    tail = predict(model, unseen).agg(F.percentile("probability", F.lit(1.0 - FALSE_SHARE))).first()[0]
-    return model, max(LEAST_PROBABILITY, tail or 0.0)
+    return _train(_counted(docs))
+
+
+def _train(parts: DataFrame) -> tuple[PipelineModel, float]:
+    seen, unseen = (parts.where(f"NOT {HIT} AND pmod(h, 2) = {k}") for k in (0, 1))
+    weight = min(PARAGRAPH_WEIGHT, CORPUS_WEIGHT / max(1, seen.count()))
+    labelled = _labelled(parts.sparkSession).withColumn("words", _words(F.col("text"))).coalesce(1)
+    counting = _counting()
+    rows = counting.transform(labelled).select("family", "features", "weight")
+    rows = rows.union(seen.select(F.lit(UNKNOWN), "features", F.lit(weight)))
+    indexer = StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc").fit(labelled)
+    regression = LogisticRegression(maxIter=40, regParam=0.002, elasticNetParam=0.0, weightCol="weight")
+    fitted = regression.fit(indexer.transform(rows))
+    told = fitted.transform(unseen.select("features")).select(_any_family(indexer.labels).alias("id"))
+    tail = _quantile(told, 1.0 - FALSE_SHARE)
+    return PipelineModel([indexer, *counting.stages, fitted]), max(LEAST_PROBABILITY, tail or 0.0)
 
 
 def predict(model: PipelineModel, found: DataFrame) -> DataFrame:
@@ -349,11 +433,10 @@ def predict(model: PipelineModel, found: DataFrame) -> DataFrame:
         rows = stage.transform(rows)
     pairs = F.arrays_zip(vector_to_array("probability").alias("p"), _literal(labels).alias("f"))
     best = F.array_max(F.filter(pairs, lambda x: x["f"] != UNKNOWN))
-    none = F.array_max(F.filter(pairs, lambda x: x["f"] == UNKNOWN))
-    return rows.select(*columns, (1.0 - F.coalesce(none["p"], F.lit(0.0))).alias("probability"), best["f"].alias("family"))
+    return rows.select(*columns, _any_family(labels).alias("probability"), best["f"].alias("family"))
 
 
-def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def scan(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text, any more columns) to one row per candidate passage.
 
     Columns: doc_id, paragraph and place (numbers from 0: the paragraph of the text, the passage in it), family
@@ -362,11 +445,12 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     rows are carried; whole texts are scanned; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    model, least = train(docs, sample)
+    parts = _counted(docs)
+    model, least = _train(parts)
     templates = spark.createDataFrame(list(TEMPLATES), "family string, template string")
     templates = templates.withColumn("grams", F.array_distinct(_runs(_words(F.col("template")))))
     templates = F.broadcast(templates.groupBy("family").agg(F.collect_list("grams").alias("templates")))
-    rows = predict(model, passages(docs)).withColumn("grams", F.array_distinct(_runs(F.col("words"))))
+    rows = predict(model, _passages(parts.where(HIT))).withColumn("grams", F.array_distinct(_runs(F.col("words"))))
 
     def common(template: Column) -> Column:
         shared = F.size(F.array_intersect(F.col("grams"), template))
@@ -374,14 +458,15 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     similar = F.coalesce(F.array_max(F.transform("templates", common)), F.lit(0.0))
     rows = rows.join(templates, "family").withColumn("similarity", similar)
-    confirmed = (F.col("probability") >= least) & (F.col("similarity") >= SIMILARITY)
+    probability = F.round("probability", DIGITS)
+    confirmed = (probability >= round(least, DIGITS)) & (F.col("similarity") >= SIMILARITY)
     return rows.select(
         "doc_id",
         F.col("paragraph").cast("long").alias("paragraph"),
         F.col("place").cast("long").alias("place"),
         F.when(confirmed, F.col("family")).otherwise(UNKNOWN).alias("family"),
         F.col("family").alias("predicted"),
-        "probability",
+        probability.alias("probability"),
         "similarity",
         confirmed.alias("confirmed"),
     )

@@ -14,6 +14,7 @@ import numpy as np
 import pytest
 import xxhash
 import zstandard
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontam, langid, licenses, mixing, quality, quotes, secrets, simhash, substring, warc
@@ -791,6 +792,50 @@ def test_licenses_calibration_rows(spark, docs):
     assert not all(stray)
 
 
+def test_licenses_train_on_every_paragraph(spark, monkeypatch):
+    """Each paragraph of each document is trained on or calibrated on, all copies of one on the same side; held against
+    plain Python, the threshold against a percentile of all that is calibrated on."""
+    r = random.Random(9)
+    words = [word(r) for _ in range(3000)]
+    texts = [".\n".join(prose(r, 8, words) for _ in range(3)) for _ in range(1000)]
+    texts += texts[:100] + [None, "", " \n\n", "Released under the MIT License."]
+    fitted, fit = [], LogisticRegression.fit
+
+    def spied(self, rows_, *more):
+        fitted.append(rows_.where("family = 'unknown'").select("features", "weight").collect())
+        return fit(self, rows_, *more)
+
+    monkeypatch.setattr(LogisticRegression, "fit", spied)
+    monkeypatch.setattr(licenses, "LEAST_PROBABILITY", 0.0)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model, least = licenses.train(frame)
+    parts = [licenses.plain_words(part) for text in texts[:1100] for part in re.split(licenses.BREAK, text)]
+    assert len(parts) == 3300
+    hashed = spark.createDataFrame([(p,) for p in parts], "words array<string>")
+    hashed = [(x.h, x.words) for x in hashed.select(F.xxhash64("words", F.lit(licenses.SEED)).alias("h"), "words").collect()]
+    even = [(h, p) for h, p in hashed if h % 2 == 0]
+    plain = len(licenses.OTHERS + licenses.PHRASES)
+    assert len(fitted[0]) == plain + len(even)
+    assert sum(x.weight for x in fitted[0]) == pytest.approx(licenses.OTHERS_WEIGHT * plain + licenses.CORPUS_WEIGHT)
+    hashing = model.stages[-2]
+    wanted = Counter(tuple(sorted({hashing.indexOf(g) for g in p + [f"{a} {b}" for a, b in zip(p, p[1:], strict=False)]})) for h, p in even if h % 4 == 2)
+    assert wanted <= Counter(tuple(int(i) for i in x.features.indices) for x in fitted[0])
+    told = licenses._sampled(frame, 10_000).collect()
+    assert Counter(x.h for x in told) == Counter(h for h, _ in hashed)
+    odd = spark.createDataFrame([(licenses.plain_words(x.text),) for x in told if x.h % 2], "words array<string>")
+    shares = [x.probability for x in licenses.predict(model, odd).collect()]
+    assert least == pytest.approx(np.quantile(shares, 1 - licenses.FALSE_SHARE), abs=1e-9)
+
+
+def test_quantile(spark):
+    r = random.Random(4)
+    for values in ([0.25], [0.5, 0.25], [0.1] * 300 + [0.7, 0.9], [r.random() for _ in range(999)]):
+        frame = spark.createDataFrame([(v,) for v in values], "id double").repartition(3)
+        for share in (0.0, 0.5, 0.995, 1.0):
+            assert licenses._quantile(frame, share) == pytest.approx(np.quantile(values, share), abs=1e-12)
+    assert licenses._quantile(spark.createDataFrame([], "id double"), 0.5) is None
+
+
 def slow_targets(sizes):
     """Targets of sources in their order, by plain Python."""
     weight, out = [(1, 2, 3)[i % 3] for i in range(len(sizes))], [None] * len(sizes)
