@@ -17,13 +17,17 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
+import xxhash
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, SQLTransformer, StringIndexer
+from pyspark.ml.feature import HashingTF, SQLTransformer, StringIndexer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from graphloom.llm.tables import table
 from graphloom.plans import cut
@@ -32,6 +36,10 @@ from graphloom.plans.numbering import cumulated
 UNKNOWN = "unknown"
 FEATURES = 1 << 13
 SEED = 5
+#: Bits of the numbers that words and pairs are hashed to before they are hashed to features.
+CODE = (1 << 31) - 1
+#: MB of the regression's blocks of rows: each is added to a matrix of all coefficients apart, so small ones cost more.
+BLOCK_MB = 4.0
 #: Least calibrated probability of being a licence, and share of the calibration rows that may lie above it.
 LEAST_PROBABILITY = 0.5
 FALSE_SHARE = 0.005
@@ -53,6 +61,8 @@ WORD = "[a-z0-9+]+(?:[.-]+[a-z0-9+]+)*"
 HYPHENATED = "-[ \\t]*\\r?\\n[ \\t]*"
 #: A blank line, or a line that ends a sentence, ends a paragraph.
 BREAK = "\\r?\\n[ \\t\\r]*(?=\\n)|(?<=[.!?])[ \\t]*\\r?\\n"
+#: The same breaks; characters that begin none are passed over at once.
+GUARDED_BREAK = "(?=[ \\t\\r\\n])(?:" + BREAK + ")"
 
 #: Wording of public licences, their notices, grants and disclaimers.
 TEMPLATES = (
@@ -227,7 +237,8 @@ PHRASES = (
 
 def _words(text: Column) -> Column:
     """Lower-case runs of letters, digits and pluses, joined by dots and dashes; a dash at a line's end joins lines."""
-    return F.regexp_extract_all(F.lower(F.regexp_replace(text, HYPHENATED, "-")), F.lit(WORD), F.lit(0))
+    joined = F.when(F.contains(text, F.lit("\n")), F.regexp_replace(text, HYPHENATED, "-")).otherwise(text)
+    return F.regexp_extract_all(F.lower(joined), F.lit(WORD), F.lit(0))
 
 
 def _runs(words: Column) -> Column:
@@ -260,8 +271,8 @@ SHARED_RUNS = sorted(
 )
 
 
-#: The first words of template trigrams: only where one stands is a trigram made and looked up.
-FIRST_WORDS = sorted({r.split(" ")[0] for r in TEMPLATE_RUNS})
+#: The first, second and third words of template runs: only where all stand is a trigram made and looked up.
+RUN_WORDS = [sorted({(r.split(" ") + ["", ""])[k] for r in TEMPLATE_RUNS}) for k in range(3)]
 #: Whether a paragraph has a template's run.
 HIT = "size(hits) > 0"
 #: What is put into corpus paragraphs that are trained and calibrated on as `unknown`; phrases count as often as runs.
@@ -277,7 +288,10 @@ def _hits(words: Column) -> Column:
     places = F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0)))
 
     def known(i: Column) -> Column:
-        return F.get(words, i).isin(FIRST_WORDS) & F.array_join(F.slice(words, i + 1, 3), " ").isin(TEMPLATE_RUNS)
+        likely = F.get(words, i).isin(RUN_WORDS[0])
+        for k in (1, 2):
+            likely = likely & F.coalesce(F.get(words, i + k), F.lit("")).isin(RUN_WORDS[k])
+        return likely & F.array_join(F.slice(words, i + 1, 3), " ").isin(TEMPLATE_RUNS)
 
     return F.filter(places, known)
 
@@ -285,18 +299,16 @@ def _hits(words: Column) -> Column:
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, paragraph, words, hits): every paragraph, numbered from 0, and the places of its template runs."""
 
-    def read(words: Column) -> Column:
-        return F.struct(words.alias("words"), _hits(words).alias("hits"))
-
-    # made inside the generator, so that a filter on words or hits does not make them again
-    each = F.transform(F.split("text", BREAK), lambda part: F.get(F.transform(F.array(_words(part)), read), F.lit(0)))
-    found = docs.select("doc_id", F.posexplode(each).alias("paragraph", "p"))
-    return found.select("doc_id", "paragraph", "p.words", "p.hits")
+    # no filter here: it would be pushed below the words and make them again
+    parts = docs.select("doc_id", F.posexplode(F.split("text", GUARDED_BREAK)).alias("paragraph", "part"))
+    found = parts.select("doc_id", "paragraph", _words(F.col("part")).alias("words"))
+    return found.select("doc_id", "paragraph", "words", _hits(F.col("words")).alias("hits"))
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, paragraph, place, words): the passages with template words, numbered by paragraph from 0, then by place."""
-    return _passages(paragraphs(docs).where(HIT))
+    # written first: a filter on the hits would be pushed below the words, and make them again for each place
+    return _passages(cut(paragraphs(docs), "paragraphs").where(HIT))
 
 
 def _passages(parts: DataFrame) -> DataFrame:
@@ -344,29 +356,42 @@ def _negative(h: Column, words: Column) -> Column:
 
 
 def _read(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, hits, own, h, words): every paragraph that has words, under a hash of them.
+    """(doc_id, paragraph, hits, own, h, words): every paragraph, under a hash of its words; h is null where it has none.
 
     ``own`` is what passages are cut from where a template's run is; elsewhere ``words`` is the negative.
     """
-    rows = paragraphs(docs).where(F.size("words") > 0)
-    rows = rows.select("doc_id", "paragraph", "hits", F.xxhash64("words", F.lit(SEED)).alias("h"), F.col("words").alias("own"))
+    h = F.when(F.size("words") > 0, F.xxhash64("words", F.lit(SEED)))
+    rows = paragraphs(docs).select("doc_id", "paragraph", "hits", h.alias("h"), F.col("words").alias("own"))
     negative = F.when(F.expr(HIT), F.array().cast("array<string>")).otherwise(_negative(F.col("h"), F.col("own")))
     return rows.select("doc_id", "paragraph", "hits", F.when(F.expr(HIT), F.col("own")).alias("own"), "h", negative.alias("words"))
 
 
 def _sampled(docs: DataFrame, size: int) -> DataFrame:
     """(h, text): the first ``size`` negatives by hash, to look at; training takes them all."""
-    rows = _read(docs).where(f"NOT {HIT}").select("h", F.array_join("words", " ").alias("text"))
+    rows = cut(_read(docs), "negatives").where(f"h IS NOT NULL AND NOT {HIT}").select("h", F.array_join("words", " ").alias("text"))
     return rows.orderBy("h", "text").limit(size)
 
 
+def _code(gram: str) -> int:
+    """The number that Spark makes of a word, or of two words parted by a space."""
+    return reduce(lambda seed, word: xxhash.xxh64_intdigest(word.encode(), seed), gram.split(" "), 42) & CODE
+
+
+class GramHashing(HashingTF):
+    """Hashes the codes of words and pairs; the feature of a word, or of two words parted by a space, is ``indexOf``."""
+
+    def indexOf(self, term: str) -> int:
+        return super().indexOf(_code(term))
+
+
 def _counting() -> PipelineModel:
-    """Words to hashed counts of words and pairs."""
+    """Words to hashed counts of words and pairs, which are never made as strings."""
+    ones = f"transform(words, w -> CAST(xxhash64(w) & {CODE} AS INT))"
+    pairs = f"transform(slice(words, 2, size(words)), (w, i) -> CAST(xxhash64(get(words, i), w) & {CODE} AS INT))"
     return PipelineModel(
         [
-            NGram(n=2, inputCol="words", outputCol="pairs"),
-            SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"),
-            HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features"),
+            SQLTransformer(statement=f"SELECT *, concat({ones}, {pairs}) AS codes FROM __THIS__"),
+            GramHashing(numFeatures=FEATURES, binary=True, inputCol="codes", outputCol="features"),
         ]
     )
 
@@ -376,8 +401,15 @@ def _counted(docs: DataFrame) -> DataFrame:
 
     Passages are cut from ``words`` where a template's run is; ``features`` are those of the negatives elsewhere.
     """
-    rows = _counting().transform(_read(docs))
-    return cut(rows.select("doc_id", "paragraph", "hits", F.col("own").alias("words"), "h", "features"), "paragraphs")
+    rows = _counting().stages[0].transform(_read(docs))
+    # what the hashing stage makes of the codes, in the layout that vectors have in Parquet
+    places = F.transform("codes", lambda c: F.pmod(F.hash(c), F.lit(FEATURES)))
+    rows = rows.withColumn("places", F.sort_array(F.array_distinct(places)))
+    ones = F.array_repeat(F.lit(1.0), F.size("places"))
+    layout = [F.lit(0).cast("byte").alias("type"), F.lit(FEATURES).alias("size"), F.col("places").alias("indices"), ones.alias("values")]
+    rows = cut(rows.select("doc_id", "paragraph", "hits", F.col("own").alias("words"), "h", F.struct(*layout).alias("features")), "paragraphs")
+    schema = StructType([*(f for f in rows.schema if f.name != "features"), StructField("features", VectorUDT())])
+    return rows.sparkSession.read.schema(schema).parquet(rows._cut_path).where("h IS NOT NULL")
 
 
 def _quantile(values: DataFrame, share: float) -> float | None:
@@ -418,7 +450,7 @@ def _train(parts: DataFrame) -> tuple[PipelineModel, float]:
     rows = counting.transform(labelled).select("family", "features", "weight")
     rows = rows.union(seen.select(F.lit(UNKNOWN), "features", F.lit(weight)))
     indexer = StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc").fit(labelled)
-    regression = LogisticRegression(maxIter=40, regParam=0.002, elasticNetParam=0.0, weightCol="weight")
+    regression = LogisticRegression(maxIter=40, regParam=0.002, elasticNetParam=0.0, weightCol="weight", maxBlockSizeInMB=BLOCK_MB)
     fitted = regression.fit(indexer.transform(rows))
     told = fitted.transform(unseen.select("features")).select(_any_family(indexer.labels).alias("id"))
     tail = _quantile(told, 1.0 - FALSE_SHARE)

@@ -827,6 +827,35 @@ def test_licenses_train_on_every_paragraph(spark, monkeypatch):
     assert least == pytest.approx(np.quantile(shares, 1 - licenses.FALSE_SHARE), abs=1e-9)
 
 
+def test_licenses_read_natively(spark):
+    """Paragraphs become features without a function that Spark cannot compile, none twice; words, places and features of
+    odd texts are those of plain Python and of the hashing stage."""
+    texts = ["a co-\r\n  operative Re-\n\nturn.  \n-x.y- ...\r\n \t\r\n..z é-ß All rights\nreserved. Now", "all rights", "one", " \n\n.", "", None]
+    texts += ["Released under the MIT License!\t\nb.-c+ +d\n" + "w " * 300 + "all all rights reserved rights"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = set(licenses.TEMPLATE_RUNS)
+    wanted = []
+    for doc, text in enumerate(texts):
+        for number, part in enumerate(re.split(licenses.BREAK, text) if text is not None else []):
+            words = licenses.plain_words(part)
+            wanted.append((doc, number, words, [i for i in range(max(1, len(words) - 2)) if " ".join(words[i : i + 3]) in known]))
+    got = sorted((r.doc_id, r.paragraph, r.words, r.hits) for r in licenses.paragraphs(frame).collect())
+    assert got == wanted
+    counted = licenses._counted(frame)
+    assert {(r.doc_id, r.paragraph) for r in counted.collect()} == {(d, k) for d, k, words, _ in wanted if words}
+    hashing = licenses._counting().stages[-1]
+    hashed = {(r.doc_id, r.paragraph): r for r in licenses._counting().transform(licenses._read(frame)).collect()}
+    for r in counted.collect():
+        words = hashed[r.doc_id, r.paragraph]["words"]
+        grams = set(words) | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
+        assert r.features == hashed[r.doc_id, r.paragraph].features
+        assert list(r.features.indices) == sorted({hashing.indexOf(g) for g in grams})
+    coded = licenses._counting().stages[0].transform(licenses._read(frame))
+    assert coded.schema["codes"].dataType.simpleString() == "array<int>"
+    plan = coded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and "UDF" not in plan
+
+
 def test_quantile(spark):
     r = random.Random(4)
     for values in ([0.25], [0.5, 0.25], [0.1] * 300 + [0.7, 0.9], [r.random() for _ in range(999)]):
