@@ -40,6 +40,8 @@ SEED = 5
 CODE = (1 << 31) - 1
 #: MB of the regression's blocks of rows: each is added to a matrix of all coefficients apart, so small ones cost more.
 BLOCK_MB = 4.0
+#: Rows of the regression that one task takes, unless there are fewer tasks than cores: each task sends all coefficients' sums.
+TASK_ROWS = 100_000
 #: Least calibrated probability of being a licence, and share of the calibration rows that may lie above it.
 LEAST_PROBABILITY = 0.5
 FALSE_SHARE = 0.005
@@ -384,13 +386,18 @@ class GramHashing(HashingTF):
         return super().indexOf(_code(term))
 
 
+def _grams(code: str) -> str:
+    """SQL: ``code`` of the hash of each word, then of each pair; neither is made as a string."""
+    ones = f"transform(words, w -> {code.format(f'CAST(xxhash64(w) & {CODE} AS INT)')})"
+    pair = code.format(f"CAST(xxhash64(get(words, i), w) & {CODE} AS INT)")
+    return f"concat({ones}, transform(slice(words, 2, size(words)), (w, i) -> {pair}))"
+
+
 def _counting() -> PipelineModel:
-    """Words to hashed counts of words and pairs, which are never made as strings."""
-    ones = f"transform(words, w -> CAST(xxhash64(w) & {CODE} AS INT))"
-    pairs = f"transform(slice(words, 2, size(words)), (w, i) -> CAST(xxhash64(get(words, i), w) & {CODE} AS INT))"
+    """Words to hashed counts of words and pairs."""
     return PipelineModel(
         [
-            SQLTransformer(statement=f"SELECT *, concat({ones}, {pairs}) AS codes FROM __THIS__"),
+            SQLTransformer(statement=f"SELECT *, {_grams('{}')} AS codes FROM __THIS__"),
             GramHashing(numFeatures=FEATURES, binary=True, inputCol="codes", outputCol="features"),
         ]
     )
@@ -401,10 +408,10 @@ def _counted(docs: DataFrame) -> DataFrame:
 
     Passages are cut from ``words`` where a template's run is; ``features`` are those of the negatives elsewhere.
     """
-    rows = _counting().stages[0].transform(_read(docs))
-    # what the hashing stage makes of the codes, in the layout that vectors have in Parquet
-    places = F.transform("codes", lambda c: F.pmod(F.hash(c), F.lit(FEATURES)))
-    rows = rows.withColumn("places", F.sort_array(F.array_distinct(places)))
+    # what the hashing stage makes of the codes, in the layout that vectors have in Parquet; FEATURES is a power of two, and
+    # its remainder is taken by bits, as that is never null and so sorted as plain numbers
+    places = F.expr(_grams(f"(hash({{}}) & {FEATURES - 1})"))
+    rows = _read(docs).withColumn("places", F.sort_array(F.array_distinct(places)))
     ones = F.array_repeat(F.lit(1.0), F.size("places"))
     layout = [F.lit(0).cast("byte").alias("type"), F.lit(FEATURES).alias("size"), F.col("places").alias("indices"), ones.alias("values")]
     rows = cut(rows.select("doc_id", "paragraph", "hits", F.col("own").alias("words"), "h", F.struct(*layout).alias("features")), "paragraphs")
@@ -444,11 +451,13 @@ def train(docs: DataFrame) -> tuple[PipelineModel, float]:
 
 def _train(parts: DataFrame) -> tuple[PipelineModel, float]:
     seen, unseen = (parts.where(f"NOT {HIT} AND pmod(h, 2) = {k}") for k in (0, 1))
-    weight = min(PARAGRAPH_WEIGHT, CORPUS_WEIGHT / max(1, seen.count()))
+    size = seen.count()
+    weight = min(PARAGRAPH_WEIGHT, CORPUS_WEIGHT / max(1, size))
     labelled = _labelled(parts.sparkSession).withColumn("words", _words(F.col("text"))).coalesce(1)
     counting = _counting()
     rows = counting.transform(labelled).select("family", "features", "weight")
     rows = rows.union(seen.select(F.lit(UNKNOWN), "features", F.lit(weight)))
+    rows = rows.coalesce(max(parts.sparkSession.sparkContext.defaultParallelism, size // TASK_ROWS))
     indexer = StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc").fit(labelled)
     regression = LogisticRegression(maxIter=40, regParam=0.002, elasticNetParam=0.0, weightCol="weight", maxBlockSizeInMB=BLOCK_MB)
     fitted = regression.fit(indexer.transform(rows))

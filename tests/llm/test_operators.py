@@ -856,6 +856,26 @@ def test_licenses_read_natively(spark):
     assert plan.count("regexp_extract_all(") == 1 and "UDF" not in plan
 
 
+def test_licenses_sums_and_places(spark, monkeypatch):
+    """No more tasks than cores send sums of all coefficients where rows are few; places are never null, so they are sorted
+    as plain numbers."""
+    given, fit = [], LogisticRegression.fit
+
+    def spied(self, rows_, *more):
+        given.append(rows_.rdd.getNumPartitions())
+        return fit(self, rows_, *more)
+
+    monkeypatch.setattr(LogisticRegression, "fit", spied)
+    frame = spark.createDataFrame([(i, f"some words of text {i}") for i in range(80)], "doc_id long, text string").repartition(8)
+    licenses.train(frame)
+    assert 1 <= given[0] <= spark.sparkContext.defaultParallelism
+    places = spark.createDataFrame([(["a", None, "b"],), (None,), ([],)], "words array<string>").select(
+        F.expr(licenses._grams(f"(hash({{}}) & {licenses.FEATURES - 1})")).alias("x")
+    )
+    assert not places.schema["x"].dataType.containsNull
+    assert [len(r.x) if r.x is not None else None for r in places.collect()] == [5, None, 0]
+
+
 def test_quantile(spark):
     r = random.Random(4)
     for values in ([0.25], [0.5, 0.25], [0.1] * 300 + [0.7, 0.9], [r.random() for _ in range(999)]):
